@@ -25,8 +25,14 @@ AS_OF = "2024-01-31"
 ORACLE: dict[str, str] = {}
 
 
+# Values that are only copied, never summed: equal to the last bit, so not rounded.
+RAW = {"open", "high", "low", "close", "future_close", "latest_close"}
+
+
 def r(x: str, name: str | None = None) -> str:
-    """Four decimals without negative zero."""
+    """Four decimals without negative zero; copied values as they are."""
+    if x in RAW:
+        return f"{x} AS {name or x}"
     return f"round(CAST({x} AS DOUBLE), 4) + 0.0 AS {name or x}"
 
 
@@ -58,8 +64,8 @@ BARS = """bars AS MATERIALIZED (
   GROUP BY 1, 2)"""
 
 EVENT_BARS = """bars AS MATERIALIZED (
-  SELECT event_type AS symbol, ts AS event_time, value * 1.01 AS high, value * 0.99 AS low,
-         value AS close FROM events)"""
+  SELECT event_type AS symbol, ts AS event_time, sqrt(value) * 1.01 AS high,
+         sqrt(value) * 0.99 AS low, sqrt(value) AS close FROM events)"""
 
 BANDS = f"""bands AS (
   SELECT *, mid + 2 * sd AS bb_upper, mid - 2 * sd AS bb_lower FROM (
@@ -172,8 +178,8 @@ def periods_ctes(rows: str, keys: list[str], thresholds: list[float], top_n: int
   SELECT *, lag(names) OVER (PARTITION BY {k}threshold ORDER BY event_date) AS before FROM held)""",
         f"""turned AS (
   SELECT *, CASE WHEN gross IS NULL THEN 0.0 WHEN before IS NULL OR len(before) = 0 THEN 1.0
-                 ELSE (len(list_filter(names, x -> NOT list_contains(before, x)))
-                     + len(list_filter(before, x -> NOT list_contains(names, x)))) / {2.0 * top_n} END AS turnover
+                 ELSE (len(list_filter(names, lambda x: NOT list_contains(before, x)))
+                     + len(list_filter(before, lambda x: NOT list_contains(names, x)))) / {2.0 * top_n} END AS turnover
   FROM moved)""",
         """periods AS MATERIALIZED (
   SELECT *, coalesce(gross - 0.002 * turnover, 0.0) AS ret FROM turned)""",
@@ -186,7 +192,9 @@ def stats_cte(keys: list[str], holding: int, name: str = "stats") -> str:
     per_year = 252.0 / holding
 
     def growth(eq: str) -> str:
-        return f"pow(arg_max({eq}, event_date), {per_year} / count(*)) - 1"
+        # a negative end value has no real root
+        end = f"arg_max({eq}, event_date)"
+        return f"CASE WHEN {end} >= 0 THEN pow({end}, {per_year} / count(*)) - 1 END"
 
     def ratio(x: str) -> str:
         return (
@@ -735,7 +743,7 @@ edges AS (SELECT feature, CASE WHEN len(u) < 3 THEN [q[1], m, q[11]] ELSE u END
     SELECT feature, quantile_cont(v, [0, .1, .2, .3, .4, .5, .6, .7, .8, .9, 1]) AS q, avg(v) AS m
     FROM long WHERE side = 'b' GROUP BY 1))),
 binned AS (SELECT feature, side, CASE WHEN v = e[-1] THEN len(e) - 1
-    ELSE len(list_filter(e, x -> x <= v)) END AS i
+    ELSE len(list_filter(e, lambda x: x <= v)) END AS i
   FROM long JOIN edges USING (feature) WHERE v >= e[1] AND v <= e[-1]),
 cells AS (SELECT feature, i, count(*) FILTER (WHERE side = 'b') AS b,
   count(*) FILTER (WHERE side = 'r') AS rc FROM binned GROUP BY ALL),

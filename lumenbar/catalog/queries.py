@@ -15,6 +15,7 @@ from lumenbar.operators.nav import nav_features
 from lumenbar.operators.panel import growth_as_of, latest_per
 from lumenbar.plans import scoring, serving, training, walkforward
 from lumenbar.schemas import FEATURES, HORIZONS, NAV_FEATURES
+from lumenbar.session import cut_lineage
 from lumenbar.sources import payloads, reports
 from lumenbar.sources.tables import key_bounds
 from lumenbar.sources.testdata import audit_log, bars, logistic_score, table
@@ -24,13 +25,17 @@ BAR_KEYS = ["symbol", "event_time"]
 PRICES = ["open", "high", "low", "close", "volume"]
 
 
+# Values that are only copied, never summed: equal to the last bit, so not rounded.
+RAW = {"open", "high", "low", "close", "future_close", "latest_close"}
+
+
 def present(df: DataFrame) -> DataFrame:
     """Comparable output: 4 decimals, long integers, dates and arrays as text."""
     out = []
     for f in df.schema:
         c, t = F.col(f.name), f.dataType
         if isinstance(t, (T.DoubleType, T.FloatType)):
-            c = F.round(c.cast("double"), 4) + 0.0
+            c = c if f.name in RAW else F.round(c.cast("double"), 4) + 0.0
         elif isinstance(t, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
             c = c.cast("long")
         elif isinstance(t, (T.DateType, T.TimestampType, T.TimestampNTZType)):
@@ -48,19 +53,25 @@ def features(spark: SparkSession, d: str) -> DataFrame:
     return indicators.all_indicators(bars(spark, d))
 
 
+def silver(spark: SparkSession, d: str) -> DataFrame:
+    """The feature table as a job would store it, for queries that read it repeatedly."""
+    return cut_lineage(features(spark, d))
+
+
 def labelled(spark: SparkSession, d: str, horizon: str = "1y") -> DataFrame:
     return labels.validation_rows(features(spark, d), HORIZONS[horizon])
 
 
 def scored(spark: SparkSession, d: str, horizon: str = "1y") -> DataFrame:
-    """Labelled rows with the deterministic stand-in probability."""
-    return labelled(spark, d, horizon).select(
+    """Labelled rows with the deterministic stand-in probability, stored."""
+    rows = labelled(spark, d, horizon).select(
         "symbol",
         "event_date",
         "target",
         "realized_return",
         logistic_score(F.col("rsi_14")).alias("prob"),
     )
+    return cut_lineage(rows)
 
 
 def split_scored(spark: SparkSession, d: str) -> DataFrame:
@@ -68,8 +79,8 @@ def split_scored(spark: SparkSession, d: str) -> DataFrame:
     return splits.test_rows(rows, splits.walk_forward_splits(rows))
 
 
-def signal_history(spark: SparkSession, d: str) -> DataFrame:
-    rows = features(spark, d).dropna(subset=["rsi_14", "sma_50", "sma_200"])
+def signal_history(spark: SparkSession, d: str, table: DataFrame | None = None) -> DataFrame:
+    rows = (features(spark, d) if table is None else table).dropna(subset=["rsi_14", "sma_50", "sma_200"])
     return scoring.signals_from_scores(
         rows.fillna(0.0, subset=FEATURES).withColumns(
             {"_p1y": logistic_score(F.col("rsi_14")), "_p5y": logistic_score(F.col("stoch_k"))}
@@ -79,7 +90,7 @@ def signal_history(spark: SparkSession, d: str) -> DataFrame:
 
 def intraday(spark: SparkSession, d: str) -> DataFrame:
     """Events as a timestamped panel: one series per event type."""
-    v = F.col("value")
+    v = F.sqrt("value")
     return table(spark, d, "events").select(
         F.col("event_type").alias("symbol"),
         F.col("ts").alias("event_time"),
@@ -320,32 +331,37 @@ def _training(spark, d):
     return labels.training_rows(features(spark, d), HORIZONS["1y"])
 
 
+def _stored_training(spark, d):
+    """The training frame as the training job keeps it."""
+    return cut_lineage(_training(spark, d).select(*BAR_KEYS, "close", "target", *FEATURES))
+
+
 def training_profile(spark, d):
     return labels.training_profile(_training(spark, d))
 
 
 def winsorize_features(spark, d):
-    return quantiles.winsorize(features(spark, d), FEATURES).select(*BAR_KEYS, *FEATURES)
+    return quantiles.winsorize(silver(spark, d), FEATURES).select(*BAR_KEYS, *FEATURES)
 
 
 def outlier_rate(spark, d):
-    return quantiles.outlier_rate(features(spark, d), FEATURES)
+    return quantiles.outlier_rate(silver(spark, d), FEATURES)
 
 
 def feature_quantiles(spark, d):
     q = quantiles.exact_quantiles(
-        quantiles.unpivot_values(features(spark, d), FEATURES), [0.005, 0.25, 0.5, 0.75, 0.995]
+        quantiles.unpivot_values(silver(spark, d), FEATURES), [0.005, 0.25, 0.5, 0.75, 0.995]
     )
     names = ["q005", "q250", "q500", "q750", "q995"]
     return q.select("feature", "n", *[F.col("q")[i].alias(n) for i, n in enumerate(names)])
 
 
 def recency_cap(spark, d):
-    return labels.most_recent(_training(spark, d), 10_000).select(*BAR_KEYS, "target")
+    return labels.most_recent(_stored_training(spark, d), 10_000).select(*BAR_KEYS, "target")
 
 
 def chrono_split(spark, d):
-    older, newer = labels.chronological_split(_training(spark, d))
+    older, newer = labels.chronological_split(_stored_training(spark, d))
     return older.select(F.lit("train").alias("side"), *BAR_KEYS).unionByName(
         newer.select(F.lit("test").alias("side"), *BAR_KEYS)
     )
@@ -360,8 +376,8 @@ def signals_scored(spark, d):
 
 def signals_latest(spark, d):
     """The daily job: score the latest rows, merge them into last year's signals."""
-    f = features(spark, d)
-    stored = signal_history(spark, d).where(F.col("trade_date") < F.lit("2001-06-30").cast("date"))
+    f = silver(spark, d)
+    stored = signal_history(spark, d, f).where(F.col("trade_date") < F.lit("2001-06-30").cast("date"))
     return scoring.generate_signals(
         f,
         scoring.column_scorer(logistic_score(F.col("rsi_14"))),
@@ -375,11 +391,13 @@ def api_signals(spark, d):
 
 
 def opportunities(spark, d):
-    return serving.opportunities(signal_history(spark, d), features(spark, d))
+    f = silver(spark, d)
+    return serving.opportunities(signal_history(spark, d, f), f)
 
 
 def market_overview(spark, d):
-    return serving.market_overview(signal_history(spark, d), features(spark, d))
+    f = silver(spark, d)
+    return serving.market_overview(signal_history(spark, d, f), f)
 
 
 def growth_asof(spark, d):
@@ -399,7 +417,7 @@ def walk_forward_splits(spark, d):
 
 
 def leakage_checks(spark, d):
-    rows = labelled(spark, d).select("symbol", "event_date", "target")
+    rows = scored(spark, d)
     return splits.leakage_checks(rows, splits.walk_forward_splits(rows), target="target")
 
 
@@ -455,21 +473,25 @@ def horizon_summary(spark, d):
 
 
 def _drift_windows(spark, d):
-    rows = features(spark, d).withColumnRenamed("event_time", "event_date")
+    rows = silver(spark, d).withColumnRenamed("event_time", "event_date")
     return drift.drift_windows(rows)
 
 
+def _drift_counts(windows):
+    return cut_lineage(drift.value_counts(windows, FEATURES))
+
+
 def drift_psi(spark, d):
-    return drift.psi(drift.value_counts(_drift_windows(spark, d), FEATURES))
+    return drift.psi(_drift_counts(_drift_windows(spark, d)))
 
 
 def drift_ks(spark, d):
-    return drift.ks(drift.value_counts(_drift_windows(spark, d), FEATURES))
+    return drift.ks(_drift_counts(_drift_windows(spark, d)))
 
 
 def drift_summary(spark, d):
     windows = _drift_windows(spark, d)
-    return drift.drift_summary(windows, drift.feature_drift(drift.value_counts(windows, FEATURES)))
+    return drift.drift_summary(windows, drift.feature_drift(_drift_counts(windows)))
 
 
 def _regime_rows(spark, d):
@@ -562,7 +584,8 @@ def _brands(spark, d):
 
 
 def validation_summary(spark, d):
-    rows = reports.with_regimes(reports.report_rows(_symbol_reports(spark, d), _brands(spark, d)))
+    stored = cut_lineage(_symbol_reports(spark, d))
+    rows = reports.with_regimes(reports.report_rows(stored, _brands(spark, d)))
     return rows.select(
         "asset_class", "source_table", "horizon", "status", "selected_model_type",
         "recommended_min_prob", "avg_roc_auc", "avg_f1", "avg_brier", "avg_hit_rate",
@@ -573,7 +596,7 @@ def validation_summary(spark, d):
 
 
 def validation_lines(spark, d):
-    rows = reports.report_rows(_symbol_reports(spark, d), _brands(spark, d))
+    rows = reports.report_rows(cut_lineage(_symbol_reports(spark, d)), _brands(spark, d))
     return reports.validation_lines(reports.with_regimes(rows, missing_as_zero=True))
 
 
@@ -582,7 +605,7 @@ def validation_lines(spark, d):
 
 def promotion_gate(spark, d):
     brands = _brands(spark, d)
-    rows = reports.report_rows(_symbol_reports(spark, d), brands).where(
+    rows = reports.report_rows(cut_lineage(_symbol_reports(spark, d)), brands).where(
         F.col("generated_at").isNotNull()
     )
     return guards.promotion_gate(
@@ -802,7 +825,9 @@ def quality_dashboard(spark, d):
 
 # --- machine learning (rows only) -------------------------------------------------
 
-SMALL_MODELS = training.ModelSettings(boost_rounds=5, boost_depth=4, trees=10, trees_5y=10, tree_depth=6, linear_iterations=50)
+SMALL_MODELS = training.ModelSettings(
+    boost_rounds=3, boost_depth=3, trees=5, trees_5y=5, tree_depth=4, linear_iterations=20
+)
 
 
 def _small_training():
@@ -811,18 +836,14 @@ def _small_training():
 
 def train_candidates(spark, d):
     """Leaderboard of the three candidates on the newest 20 % of the labelled rows."""
-    train, test = labels.chronological_split(_training(spark, d))
-    rows, _ = training.rank_candidates(
-        train.persist(), test.persist(), FEATURES, "1y", _small_training()
-    )
-    train.unpersist()
-    test.unpersist()
+    train, test = labels.chronological_split(_stored_training(spark, d))
+    rows, _ = training.rank_candidates(train, test, FEATURES, "1y", _small_training())
     return spark.createDataFrame(rows)
 
 
 def ensemble_scores(spark, d):
     """Latest signals scored by trained ensembles of both horizons."""
-    f = features(spark, d).persist()
+    f = silver(spark, d)
     newest = f.agg(F.max("event_time")).first()[0]
     as_of = datetime(newest.year, newest.month, newest.day)
     models = training.train_all_horizons(f, "silver.bars", as_of, _small_training())
@@ -833,9 +854,9 @@ def ensemble_scores(spark, d):
 def walk_forward_ml(spark, d):
     """Walk-forward split metrics of a small logistic model and a small forest."""
     settings = walkforward.ValidationSettings(
-        candidates=("logreg", "rf"), models=SMALL_MODELS, step_days=252
+        candidates=("logreg", "rf"), models=SMALL_MODELS, step_days=504
     )
-    result = walkforward.evaluate_horizon(features(spark, d), "1y", settings)
+    result = walkforward.evaluate_horizon(silver(spark, d), "1y", settings)
     if result.splits is None:
         return spark.createDataFrame([(result.status,)], "status string")
     return result.splits

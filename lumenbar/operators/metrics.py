@@ -106,14 +106,20 @@ def class_report(df: DataFrame, label: str = "target", predicted: str = "pred")
         _ratio(2.0 * F.col("_tp"), F.col("_called") + F.col("support")).alias("f1"),
         "support",
     )
-    measures = ["precision", "recall", "f1"]
-    macro = report.agg(*[F.avg(m).alias(m) for m in measures], F.sum("support").alias("support"))
-    weighted = report.agg(
-        *[_ratio(F.sum(F.col(m) * F.col("support")), F.sum("support")).alias(m) for m in measures],
-        F.sum("support").alias("support"),
+    # each class counts once for itself, once in the plain and once in the weighted mean
+    rows = F.array(
+        F.struct(F.col("class").alias("c"), F.lit(1.0).alias("w")),
+        F.struct(F.lit("macro avg").alias("c"), F.lit(1.0).alias("w")),
+        F.struct(F.lit("weighted avg").alias("c"), F.col("support").cast("double").alias("w")),
     )
-    return report.unionByName(macro.withColumn("class", F.lit("macro avg"))).unionByName(
-        weighted.withColumn("class", F.lit("weighted avg"))
+    measures = ["precision", "recall", "f1"]
+    return (
+        report.withColumn("_row", F.explode(rows))
+        .groupBy(F.col("_row.c").alias("class"))
+        .agg(
+            *[_ratio(F.sum(F.col(m) * F.col("_row.w")), F.sum("_row.w")).alias(m) for m in measures],
+            F.sum("support").alias("support"),
+        )
     )
 
 

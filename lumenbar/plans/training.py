@@ -183,25 +183,46 @@ def fit_model(
     return model_pipeline(name, features, rows, horizon, settings).fit(weighted)
 
 
+@dataclass
+class CalibrationFrames:
+    """Older rows to fit on and the most recent ones to calibrate on, both persisted."""
+
+    fit: DataFrame
+    recent: DataFrame | None
+    fit_rows: int
+    held: int = 0
+
+    def release(self) -> None:
+        self.fit.unpersist()
+        if self.recent is not None:
+            self.recent.unpersist()
+
+
+def calibration_frames(df: DataFrame, fraction: float) -> CalibrationFrames:
+    """Splits once for all candidates; too small a frame is kept whole."""
+    rows = df.count()
+    held = int(rows * fraction)
+    if rows < 3000 or held < 800 or rows - held < 1500:
+        return CalibrationFrames(df.persist(), None, rows)
+    cut = with_side_of_cut(df, str(rows - held), out="_fit")
+    older, recent = cut.where("_fit").drop("_fit"), cut.where(~F.col("_fit")).drop("_fit")
+    return CalibrationFrames(older.persist(), recent.persist(), rows - held, held)
+
+
 def fit_calibrated(
-    df: DataFrame,
+    frames: CalibrationFrames,
     name: str,
     features: Sequence[str],
     horizon: str,
     settings: TrainingSettings,
 ) -> Component:
-    """Fit on the older rows, Platt-calibrate on the most recent fraction when both are
-    large enough; otherwise fit on everything, uncalibrated."""
-    rows = df.count()
-    held = int(rows * settings.calibration_fraction)
-    if rows < 3000 or held < 800 or rows - held < 1500:
-        return Component(name, fit_model(df, name, features, rows, horizon, settings.models))
-    cut = with_side_of_cut(df, str(rows - held), out="_fit")
-    older, recent = cut.where("_fit").drop("_fit"), cut.where(~F.col("_fit")).drop("_fit")
-    model = fit_model(older, name, features, rows - held, horizon, settings.models)
+    """Fit on the older rows and Platt-calibrate on the held ones, when there are any."""
+    model = fit_model(frames.fit, name, features, frames.fit_rows, horizon, settings.models)
+    if frames.recent is None:
+        return Component(name, model)
     calibrator = None
-    if recent.select("target").distinct().count() == 2:
-        raw = model.transform(recent).select(
+    if frames.recent.select("target").distinct().count() == 2:
+        raw = model.transform(frames.recent).select(
             "target", vector_to_array("probability")[1].alias("_raw")
         )
         calibrator = LogisticRegression(
@@ -212,10 +233,10 @@ def fit_calibrated(
             rawPredictionCol="_calibrated_raw",
             predictionCol="_calibrated_label",
             maxIter=1000,
-            regParam=1.0 / held,
+            regParam=1.0 / frames.held,
             standardization=False,
         ).fit(_calibration_input(with_class_weights(raw)))
-    return Component(name, model, calibrator, calibration_rows=held)
+    return Component(name, model, calibrator, calibration_rows=frames.held)
 
 
 def active_features(df: DataFrame) -> list[str]:
@@ -287,7 +308,7 @@ def train_horizon(
     if settings.max_rows:
         labelled = most_recent(labelled, settings.max_rows)
     labelled = labelled.persist()
-    clean = None
+    clean, halves = None, []
     try:
         profile = training_profile(labelled).first()
         reason = _gate_profile(profile, settings, spec.bars_ahead)
@@ -298,7 +319,8 @@ def train_horizon(
             return fallback(f"outlier_rate_{rate:.4f}_gt_{settings.max_outlier_rate}")
         clean = winsorize(labelled, features).persist()
         rate_after = float(outlier_rate(clean, features).first()[0])
-        older, newer = chronological_split(clean)
+        older, newer = (side.persist() for side in chronological_split(clean))
+        halves = [older, newer]
         if newer.isEmpty() or older.select("target").distinct().count() < 2:
             return fallback("invalid_train_test_split")
 
@@ -312,11 +334,13 @@ def train_horizon(
         weights = {r["model_name"]: max(0.01, float(r["roc_auc"] or 0.01)) for r in chosen}
         held_out = Artifact(features, [fitted[n] for n in weights])
         components = []
+        frames = calibration_frames(clean, settings.calibration_fraction)
         for name, weight in weights.items():
             fitted[name].weight = weight
-            part = fit_calibrated(clean, name, features, horizon, settings)
+            part = fit_calibrated(frames, name, features, horizon, settings)
             part.weight = weight
             components.append(part)
+        frames.release()
         artifact = Artifact(features, components)
         metrics = {}
         for prefix, scorer in (("eval", held_out), ("refit", artifact)):
@@ -344,8 +368,9 @@ def train_horizon(
         return artifact
     finally:
         labelled.unpersist()
-        if clean is not None:
-            clean.unpersist()
+        for frame in [clean, *halves]:
+            if frame is not None:
+                frame.unpersist()
 
 
 def rank_candidates(
@@ -356,10 +381,12 @@ def rank_candidates(
     settings: TrainingSettings,
 ):
     """Fit every candidate, score the hold-out rows, rank. One metrics job for all."""
+    frames = calibration_frames(train, settings.calibration_fraction)
     fitted = {
-        name: fit_calibrated(train, name, features, horizon, settings)
+        name: fit_calibrated(frames, name, features, horizon, settings)
         for name in dict.fromkeys(settings.candidates)
     }
+    frames.release()
     scored = None
     for name, component in fitted.items():
         part = component_score(test, component, "prob").select(

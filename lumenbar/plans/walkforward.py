@@ -161,7 +161,8 @@ def evaluate_horizon(
         windows = drift_windows(
             labelled, settings.drift_recent_days, settings.drift_baseline_days
         )
-        counts = value_counts(windows, settings.features)
+        # five reads of the counts follow
+        counts = cut_lineage(value_counts(windows, settings.features))
         drift = feature_drift(counts, settings.drift_min_samples)
         # a row per feature, and one row
         result.drift = cut_lineage(drift)
