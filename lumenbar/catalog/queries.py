@@ -830,15 +830,19 @@ SMALL_MODELS = training.ModelSettings(
 )
 
 
-def _small_training():
-    return training.TrainingSettings(models=SMALL_MODELS)
+def _small_training(candidates=("histgb", "rf", "logreg")):
+    return training.TrainingSettings(candidates=candidates, models=SMALL_MODELS)
 
 
 def train_candidates(spark, d):
     """Leaderboard of the three candidates on the newest 20 % of the labelled rows."""
-    train, test = labels.chronological_split(_stored_training(spark, d))
-    rows, _ = training.rank_candidates(train, test, FEATURES, "1y", _small_training())
-    return spark.createDataFrame(rows)
+    rows = _stored_training(spark, d)
+    older_rows = int(rows.count() * 0.8)
+    is_older = labels.first_rows_filter(rows, older_rows)
+    ranking, _ = training.rank_candidates(
+        rows.where(is_older), older_rows, rows.where(~is_older), FEATURES, "1y", _small_training()
+    )
+    return spark.createDataFrame(ranking)
 
 
 def ensemble_scores(spark, d):
@@ -846,7 +850,8 @@ def ensemble_scores(spark, d):
     f = silver(spark, d)
     newest = f.agg(F.max("event_time")).first()[0]
     as_of = datetime(newest.year, newest.month, newest.day)
-    models = training.train_all_horizons(f, "silver.bars", as_of, _small_training())
+    settings = _small_training(("rf", "logreg"))
+    models = training.train_all_horizons(f, "silver.bars", as_of, settings)
     scorers = [lambda df, out, m=models[h]: m.score(df, out) for h in ("1y", "5y")]
     return scoring.generate_signals(f, *scorers)
 

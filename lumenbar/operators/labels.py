@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenbar.functions.nulls import finite_or_null
@@ -103,6 +103,36 @@ def with_side_of_cut(
     )
 
 
+def first_rows_filter(df: DataFrame, count: int, time: str = "event_time") -> Column:
+    """The same cut as a predicate of literals, for a stored frame that is cut repeatedly.
+
+    Two small jobs: rows per calendar day (one driver row per day), then the key at the
+    cut inside one day. The predicate is a plain filter, so nothing is joined or sorted.
+    """
+    day = F.to_date(time)
+    seen, boundary, take = 0, None, 0
+    for at, n in df.groupBy(day.alias("d")).agg(F.count("*")).orderBy("d").collect():
+        if seen + n > count:
+            boundary, take = at, count - seen
+            break
+        seen += n
+    if boundary is None:
+        return F.lit(True)
+    if take <= 0:
+        return day < F.lit(boundary)
+    in_order = Window.partitionBy("_day").orderBy("_t", "_s")
+    last = (
+        df.where(day == F.lit(boundary))
+        .select(day.alias("_day"), F.col(time).alias("_t"), F.col("symbol").alias("_s"))
+        .withColumn("_rn", F.row_number().over(in_order))
+        .where(F.col("_rn") == take)
+        .first()
+    )
+    t, symbol = F.col(time), F.col("symbol")
+    at_time = F.lit(last["_t"])
+    return (t < at_time) | ((t == at_time) & (symbol <= F.lit(last["_s"])))
+
+
 def most_recent(df: DataFrame, rows: int, time: str = "event_time") -> DataFrame:
     """The last ``rows`` rows in (time, symbol) order."""
     cut = with_side_of_cut(df, f"greatest(n - {int(rows)}, 0)", time, out="_old")

@@ -22,16 +22,16 @@ from pyspark.sql import functions as F
 
 from lumenbar.functions.nulls import clip
 from lumenbar.operators.labels import (
-    chronological_split,
+    first_rows_filter,
     most_recent,
     training_profile,
     training_rows,
-    with_side_of_cut,
 )
 from lumenbar.operators.metrics import candidate_order, classification_metrics
 from lumenbar.operators.panel import latest_per
 from lumenbar.operators.quantiles import outlier_rate, winsorize
 from lumenbar.schemas import FEATURES, HORIZONS, MODEL_NAMES, NAV_FEATURES
+from lumenbar.session import cut_lineage
 
 FALLBACK = "dummy_constant_0"
 
@@ -185,28 +185,21 @@ def fit_model(
 
 @dataclass
 class CalibrationFrames:
-    """Older rows to fit on and the most recent ones to calibrate on, both persisted."""
+    """Older rows to fit on, the most recent ones to calibrate on (filters of one frame)."""
 
     fit: DataFrame
     recent: DataFrame | None
     fit_rows: int
     held: int = 0
 
-    def release(self) -> None:
-        self.fit.unpersist()
-        if self.recent is not None:
-            self.recent.unpersist()
 
-
-def calibration_frames(df: DataFrame, fraction: float) -> CalibrationFrames:
-    """Splits once for all candidates; too small a frame is kept whole."""
-    rows = df.count()
+def calibration_frames(df: DataFrame, rows: int, fraction: float) -> CalibrationFrames:
+    """Splits a stored frame of ``rows`` rows; too small a frame is kept whole."""
     held = int(rows * fraction)
     if rows < 3000 or held < 800 or rows - held < 1500:
-        return CalibrationFrames(df.persist(), None, rows)
-    cut = with_side_of_cut(df, str(rows - held), out="_fit")
-    older, recent = cut.where("_fit").drop("_fit"), cut.where(~F.col("_fit")).drop("_fit")
-    return CalibrationFrames(older.persist(), recent.persist(), rows - held, held)
+        return CalibrationFrames(df, None, rows)
+    older = first_rows_filter(df, rows - held)
+    return CalibrationFrames(df.where(older), df.where(~older), rows - held, held)
 
 
 def fit_calibrated(
@@ -307,86 +300,81 @@ def train_horizon(
     )
     if settings.max_rows:
         labelled = most_recent(labelled, settings.max_rows)
-    labelled = labelled.persist()
-    clean, halves = None, []
-    try:
-        profile = training_profile(labelled).first()
-        reason = _gate_profile(profile, settings, spec.bars_ahead)
-        if reason:
-            return fallback(reason)
-        rate = float(outlier_rate(labelled, features).first()[0])
-        if rate > settings.max_outlier_rate:
-            return fallback(f"outlier_rate_{rate:.4f}_gt_{settings.max_outlier_rate}")
-        clean = winsorize(labelled, features).persist()
-        rate_after = float(outlier_rate(clean, features).first()[0])
-        older, newer = (side.persist() for side in chronological_split(clean))
-        halves = [older, newer]
-        if newer.isEmpty() or older.select("target").distinct().count() < 2:
-            return fallback("invalid_train_test_split")
-
-        sample = older
-        if settings.candidate_rows:
-            sample = most_recent(older, settings.candidate_rows)
-        ranking, fitted = rank_candidates(sample, newer, features, horizon, settings)
-        if not ranking:
-            return fallback("all_candidate_models_failed")
-        chosen = ranking[: 2 if settings.ensemble else 1]
-        weights = {r["model_name"]: max(0.01, float(r["roc_auc"] or 0.01)) for r in chosen}
-        held_out = Artifact(features, [fitted[n] for n in weights])
-        components = []
-        frames = calibration_frames(clean, settings.calibration_fraction)
-        for name, weight in weights.items():
-            fitted[name].weight = weight
-            part = fit_calibrated(frames, name, features, horizon, settings)
-            part.weight = weight
-            components.append(part)
-        frames.release()
-        artifact = Artifact(features, components)
-        metrics = {}
-        for prefix, scorer in (("eval", held_out), ("refit", artifact)):
-            row = classification_metrics(scorer.score(newer)).first()
-            for m in ("accuracy", "f1", "brier", "roc_auc"):
-                metrics[f"{prefix}_{m}"] = row[m]
-        artifact.metadata = {
-            **base,
-            "status": "ok",
-            "reason": None,
-            "row_count": profile["row_count"],
-            "symbol_count": profile["symbol_count"],
-            "positive_rate": profile["positive_rate"],
-            "schema_check": schema_msg,
-            "freshness_check": fresh_msg,
-            "outlier_rate_pre_winsor": rate,
-            "outlier_rate_post_winsor": rate_after,
-            "candidate_leaderboard": [r.asDict() for r in ranking],
-            "selected_model_type": chosen[0]["model_name"],
-            "selected_models": list(weights),
-            "model_kind": artifact.kind,
-            "calibration_fraction": settings.calibration_fraction,
-            **metrics,
-        }
-        return artifact
-    finally:
-        labelled.unpersist()
-        for frame in [clean, *halves]:
-            if frame is not None:
-                frame.unpersist()
+    labelled = cut_lineage(labelled)
+    profile = training_profile(labelled).first()
+    reason = _gate_profile(profile, settings, spec.bars_ahead)
+    if reason:
+        return fallback(reason)
+    rate = float(outlier_rate(labelled, features).first()[0])
+    if rate > settings.max_outlier_rate:
+        return fallback(f"outlier_rate_{rate:.4f}_gt_{settings.max_outlier_rate}")
+    clean = cut_lineage(winsorize(labelled, features))
+    rate_after = float(outlier_rate(clean, features).first()[0])
+    rows = int(profile["row_count"])
+    older_rows = int(rows * 0.8)
+    is_older = first_rows_filter(clean, older_rows)
+    older, newer = clean.where(is_older), clean.where(~is_older)
+    if older_rows == rows or older.select("target").distinct().count() < 2:
+        return fallback("invalid_train_test_split")
+
+    sample_rows = min(older_rows, settings.candidate_rows or older_rows)
+    sample = older
+    if sample_rows < older_rows:
+        sample = older.where(~first_rows_filter(older, older_rows - sample_rows))
+    ranking, fitted = rank_candidates(sample, sample_rows, newer, features, horizon, settings)
+    if not ranking:
+        return fallback("all_candidate_models_failed")
+    chosen = ranking[: 2 if settings.ensemble else 1]
+    weights = {r["model_name"]: max(0.01, float(r["roc_auc"] or 0.01)) for r in chosen}
+    frames = calibration_frames(clean, rows, settings.calibration_fraction)
+    components = []
+    for name, weight in weights.items():
+        fitted[name].weight = weight
+        part = fit_calibrated(frames, name, features, horizon, settings)
+        part.weight = weight
+        components.append(part)
+    held_out = Artifact(features, [fitted[n] for n in weights])
+    artifact = Artifact(features, components)
+    metrics = {}
+    for prefix, scorer in (("eval", held_out), ("refit", artifact)):
+        row = classification_metrics(scorer.score(newer)).first()
+        for m in ("accuracy", "f1", "brier", "roc_auc"):
+            metrics[f"{prefix}_{m}"] = row[m]
+    artifact.metadata = {
+        **base,
+        "status": "ok",
+        "reason": None,
+        "row_count": profile["row_count"],
+        "symbol_count": profile["symbol_count"],
+        "positive_rate": profile["positive_rate"],
+        "schema_check": schema_msg,
+        "freshness_check": fresh_msg,
+        "outlier_rate_pre_winsor": rate,
+        "outlier_rate_post_winsor": rate_after,
+        "candidate_leaderboard": [r.asDict() for r in ranking],
+        "selected_model_type": chosen[0]["model_name"],
+        "selected_models": list(weights),
+        "model_kind": artifact.kind,
+        "calibration_fraction": settings.calibration_fraction,
+        **metrics,
+    }
+    return artifact
 
 
 def rank_candidates(
     train: DataFrame,
+    train_rows: int,
     test: DataFrame,
     features: Sequence[str],
     horizon: str,
     settings: TrainingSettings,
 ):
     """Fit every candidate, score the hold-out rows, rank. One metrics job for all."""
-    frames = calibration_frames(train, settings.calibration_fraction)
+    frames = calibration_frames(train, train_rows, settings.calibration_fraction)
     fitted = {
         name: fit_calibrated(frames, name, features, horizon, settings)
         for name in dict.fromkeys(settings.candidates)
     }
-    frames.release()
     scored = None
     for name, component in fitted.items():
         part = component_score(test, component, "prob").select(

@@ -151,27 +151,21 @@ def evaluate_horizon(
     table: DataFrame, horizon: str, settings: ValidationSettings = ValidationSettings()
 ) -> HorizonResult:
     spec = HORIZONS[horizon]
-    labelled = (
-        validation_rows(table, spec, settings.features)
-        .select("symbol", "event_date", "target", "realized_return", *settings.features)
-        .persist()
-    )
-    try:
-        result = _evaluate_labelled(labelled, horizon, spec.bars_ahead, settings)
-        windows = drift_windows(
-            labelled, settings.drift_recent_days, settings.drift_baseline_days
-        )
-        # five reads of the counts follow
-        counts = cut_lineage(value_counts(windows, settings.features))
-        drift = feature_drift(counts, settings.drift_min_samples)
-        # a row per feature, and one row
-        result.drift = cut_lineage(drift)
-        result.drift_summary = cut_lineage(
-            drift_summary(windows, result.drift, settings.drift_min_samples)
+    labelled = cut_lineage(
+        validation_rows(table, spec, settings.features).select(
+            "symbol", "event_date", "target", "realized_return", *settings.features
         )
-        return result
-    finally:
-        labelled.unpersist()
+    )
+    result = _evaluate_labelled(labelled, horizon, spec.bars_ahead, settings)
+    windows = drift_windows(labelled, settings.drift_recent_days, settings.drift_baseline_days)
+    # five reads of the counts follow
+    counts = cut_lineage(value_counts(windows, settings.features))
+    # a row per feature, and one row
+    result.drift = cut_lineage(feature_drift(counts, settings.drift_min_samples))
+    result.drift_summary = cut_lineage(
+        drift_summary(windows, result.drift, settings.drift_min_samples)
+    )
+    return result
 
 
 def _evaluate_labelled(
