@@ -283,14 +283,14 @@ def warm_rows(spark, d):
 
 
 def intraday_indicators(spark, d):
-    """Timestamped series, cut into segments of about 1,000 rows."""
+    """Timestamped series, cut into segments of about 3,000 rows."""
     return indicators.all_indicators(
         intraday(spark, d), rows_per_segment=INTRADAY_ROWS, bucket="hour"
     ).select(*BAR_KEYS, *FEATURES)
 
 
-# A multiple of the longest frame; the production default is a million rows.
-INTRADAY_ROWS = 1400
+# Longer than the longest frame; the production default is a million rows.
+INTRADAY_ROWS = 3000
 
 
 def intraday_labels(spark, d):

@@ -6,11 +6,12 @@ import uuid
 from collections.abc import Callable, Sequence
 from datetime import datetime, timezone
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lumenbar.operators.panel import latest_per
 from lumenbar.schemas import AUDIT_EVENT_SCHEMA
+from lumenbar.sources.tables import table_exists
 
 
 def audit_event(spark: SparkSession, **fields) -> DataFrame:
@@ -80,25 +81,37 @@ def current_state(events: DataFrame) -> DataFrame:
     return latest_per(done, ["audit_id"], ["event_time", "_done"]).drop("_done")
 
 
+def stored_rows(spark: SparkSession, path: str) -> int:
+    """Rows of a parquet table, from the file footers only; 0 when there is none."""
+    return spark.read.parquet(path).count() if table_exists(spark, path) else 0
+
+
 def audited_write(
     df: DataFrame,
-    write: Callable[[DataFrame], None],
+    path: str,
     log: Callable[[DataFrame], None],
     job: str,
     source: str,
     target: str,
     rows_source: int | None = None,
+    mode: str = "overwrite",
     operation: str = "LOAD",
     clock: Callable[[], datetime] = lambda: datetime.now(timezone.utc),
 ) -> int:
-    """Start event, one write, end event. Rows are counted during the write itself."""
+    """Start event, one parquet write, end event.
+
+    The plan runs once; rows are counted from the written footers. (``observe`` would
+    count during the write, but in Spark 4.1 it makes later model plans of the same
+    session unserializable.)
+    """
     spark = df.sparkSession
     started = clock()
     audit_id, row = start_event(spark, job, source, target, operation, started)
     log(row)
-    seen = Observation()
     try:
-        write(df.observe(seen, F.count(F.lit(1)).alias("rows")))
+        before = stored_rows(spark, path) if mode == "append" else 0
+        df.write.mode(mode).parquet(path)
+        rows = stored_rows(spark, path) - before
     except Exception as failure:
         log(
             end_event(
@@ -107,7 +120,6 @@ def audited_write(
             )
         )
         raise
-    rows = int(seen.get["rows"])
     log(
         end_event(
             spark, audit_id, job, source, target, operation, started, clock(),
