@@ -236,7 +236,7 @@ def metrics_ctes(rows: str, keys: list[str], name: str = "metrics") -> list[str]
     return [
         f"""auc_ranks AS (
   SELECT {lead}target, rank() OVER ({part}ORDER BY prob)
-         + (count(*) OVER ({part.replace('PARTITION BY ', 'PARTITION BY ') if keys else 'PARTITION BY '}{', ' if keys else ''}prob) - 1) / 2.0 AS rk
+         + (count(*) OVER ({part or 'PARTITION BY '}{', ' if keys else ''}prob) - 1) / 2.0 AS rk
   FROM {rows})""",
         f"""aucs AS (
   SELECT {lead}CASE WHEN sum(target) > 0 AND sum(1 - target) > 0 THEN
@@ -1005,8 +1005,7 @@ ORACLE["audit_current_state"] = sql(
     "SELECT audit_id, status, event_type AS source_table, rin AS rows_source FROM st", STATES
 )
 ORACLE["table_lineage"] = sql(
-    f"""SELECT event_type AS source_table, 'gold' AS target_table,
-    row_number() OVER (PARTITION BY CAST(ts AS DATE) ORDER BY ts, audit_id) AS step, rin AS rows_in, rout AS rows_out,
+    f"""SELECT audit_id, event_type AS source_table, 'gold' AS target_table, rin AS rows_in, rout AS rows_out,
     {r('CASE WHEN rin = 0 THEN 0 ELSE (rin - rout) * 100.0 / rin END', 'loss_percent')},
     {day('ts', 'end_time')} FROM st WHERE status = 'SUCCESS'""",
     STATES,

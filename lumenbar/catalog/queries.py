@@ -770,7 +770,8 @@ def audit_current_state(spark, d):
 
 def table_lineage(spark, d):
     return audit.lineage(_audit_events(spark, d)).select(
-        "source_table", "target_table", "step", "rows_in", "rows_out", "loss_percent", "end_time"
+        "audit_id", "source_table", "target_table", "rows_in", "rows_out", "loss_percent",
+        "end_time",
     )
 
 

@@ -6,7 +6,7 @@ import uuid
 from collections.abc import Callable, Sequence
 from datetime import datetime, timezone
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenbar.operators.panel import latest_per
@@ -323,18 +323,17 @@ def assert_reconciled(reconciliation: DataFrame, fail_at: float = 5.0) -> None:
 
 
 def lineage(events: DataFrame) -> DataFrame:
-    """Rows in, rows out and loss percent per finished job, with a step number per target."""
+    """Source, target, rows in and out and loss percent of every finished job."""
     done = current_state(events).where(F.col("status") == "SUCCESS")
     loss = F.coalesce(
         F.try_divide((F.col("rows_source") - F.col("rows_target")) * 100.0, F.col("rows_source")),
         F.lit(0.0),
     )
-    steps = Window.partitionBy("target_table", F.to_date("end_time")).orderBy("end_time", "audit_id")
     return done.select(
+        "audit_id",
         "source_table",
         "target_table",
         "operation",
-        F.row_number().over(steps).alias("step"),
         F.col("rows_source").alias("rows_in"),
         F.col("rows_target").alias("rows_out"),
         loss.alias("loss_percent"),

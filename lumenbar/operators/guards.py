@@ -156,17 +156,18 @@ def report_completeness(
 
 def completeness_summary(checked: DataFrame) -> DataFrame:
     """One row: counts and up to three samples of missing, stale and invalid artifacts."""
-    name = F.concat_ws("/", "source_table", "artifact")
-
-    def sample(flag: str) -> Column:
-        # tables x seven artifacts, all of them names
-        return F.slice(F.array_sort(F.collect_set(F.when(F.col(flag), name))), 1, 3)
-
     flags = ["missing", "stale", "invalid"]
-    out = checked.agg(
-        *[F.count_if(f"is_{f}").alias(f) for f in flags],
-        *[sample(f"is_{f}").alias(f"{f}_sample") for f in flags],
-    )
+    out = checked.agg(*[F.count_if(f"is_{f}").alias(f) for f in flags])
+    for f in flags:
+        # a top three, then one row
+        names = (
+            checked.where(f"is_{f}")
+            .select(F.concat_ws("/", "source_table", "artifact").alias("_n"))
+            .orderBy("_n")
+            .limit(3)
+        )
+        sample = names.agg(F.array_sort(F.collect_list("_n")).alias(f"{f}_sample"))
+        out = out.crossJoin(F.broadcast(sample))
     bad = (F.col("missing") > 0) | (F.col("stale") > 0) | (F.col("invalid") > 0)
     return out.withColumn("status", F.when(bad, "failed").otherwise("ok"))
 

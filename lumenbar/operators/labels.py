@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenbar.functions.nulls import finite_or_null
-from lumenbar.operators.panel import per_series
+from lumenbar.operators.panel import is_daily, per_series
 from lumenbar.schemas import FEATURES, Horizon
 
 
@@ -57,91 +57,52 @@ def training_profile(df: DataFrame) -> DataFrame:
     )
 
 
-def with_side_of_cut(
-    df: DataFrame, first_rows: str, time: str = "event_time", out: str = "is_first"
-) -> DataFrame:
-    """True for the first ``first_rows`` rows in (time, symbol) order.
-
-    ``first_rows`` is a SQL expression over ``n`` (the row count). Rows are counted per
-    calendar day; every day but one lies wholly on one side of the cut, and only that
-    day's keys are ordered, to find the last key inside. No global sort of the rows.
-    """
-    dated = df.withColumn("_day", F.to_date(time))
-    # one row per calendar day
-    so_far = Window.orderBy("_day").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    per_day = dated.groupBy("_day").agg(F.count("*").alias("_c"))
-    cut = per_day.agg(F.sum("_c").alias("n")).select(
-        F.expr(f"CAST({first_rows} AS BIGINT)").alias("_cut")
-    )
-    boundary = (
-        per_day.withColumn("_end", F.sum("_c").over(so_far))
-        .crossJoin(F.broadcast(cut))
-        .where((F.col("_end") > F.col("_cut")) & (F.col("_end") - F.col("_c") <= F.col("_cut")))
-        .select("_day", (F.col("_cut") - F.col("_end") + F.col("_c")).alias("_take"))
-    )
-    key = F.struct(F.col(time).alias("t"), F.col("symbol").alias("s"))
-    by_key = Window.partitionBy("_day").orderBy("_key")
-    edge = (
-        dated.select("_day", key.alias("_key"))
-        .join(F.broadcast(boundary), "_day")
-        .withColumn("_rn", F.row_number().over(by_key))
-        .groupBy()
-        .agg(
-            F.max("_day").alias("_cut_day"),
-            F.max(F.when(F.col("_rn") <= F.col("_take"), F.col("_key"))).alias("_last"),
-        )
-    )
-    inside = (
-        F.col("_cut_day").isNull()
-        | (F.col("_day") < F.col("_cut_day"))
-        | ((F.col("_day") == F.col("_cut_day")) & F.coalesce(key <= F.col("_last"), F.lit(False)))
-    )
-    return (
-        dated.crossJoin(F.broadcast(edge))
-        .withColumn(out, inside)
-        .drop("_day", "_cut_day", "_last")
-    )
-
-
 def first_rows_filter(df: DataFrame, count: int, time: str = "event_time") -> Column:
-    """The same cut as a predicate of literals, for a stored frame that is cut repeatedly.
+    """Predicate that keeps the first ``count`` rows in (time, symbol) order.
 
-    Two small jobs: rows per calendar day (one driver row per day), then the key at the
-    cut inside one day. The predicate is a plain filter, so nothing is joined or sorted.
+    No global sort: rows are counted per day, then (timestamps only) per hour, minute and
+    second of the one slice the cut falls in, and only that last slice is ordered. The
+    driver sees one count per calendar day and at most 60 counts per finer step. The
+    result is a filter of literals, so give a stored frame that is read repeatedly.
     """
-    day = F.to_date(time)
-    seen, boundary, take = 0, None, 0
-    for at, n in df.groupBy(day.alias("d")).agg(F.count("*")).orderBy("d").collect():
-        if seen + n > count:
-            boundary, take = at, count - seen
-            break
-        seen += n
-    if boundary is None:
-        return F.lit(True)
-    if take <= 0:
-        return day < F.lit(boundary)
-    in_order = Window.partitionBy("_day").orderBy("_t", "_s")
+    t, symbol = F.col(time), F.col("symbol")
+    steps = ["day"] if is_daily(df, time) else ["day", "hour", "minute", "second"]
+    left, inside, here = count, F.lit(False), F.lit(True)
+    for step in steps:
+        unit = F.date_trunc(step, t)
+        boundary = None
+        sizes = df.where(here).groupBy(unit.alias("u")).agg(F.count("*")).orderBy("u")
+        for at, n in sizes.collect():
+            if n > left:
+                boundary = at
+                break
+            left -= n
+        if boundary is None:
+            return F.lit(True)
+        inside = inside | (here & (unit < F.lit(boundary)))
+        here = here & (unit == F.lit(boundary))
+        if left == 0:
+            return inside
+    in_order = Window.partitionBy(unit).orderBy(t, symbol)
     last = (
-        df.where(day == F.lit(boundary))
-        .select(day.alias("_day"), F.col(time).alias("_t"), F.col("symbol").alias("_s"))
-        .withColumn("_rn", F.row_number().over(in_order))
-        .where(F.col("_rn") == take)
+        df.where(here)
+        .select(t, symbol, F.row_number().over(in_order).alias("_rn"))
+        .where(F.col("_rn") == left)
         .first()
     )
-    t, symbol = F.col(time), F.col("symbol")
-    at_time = F.lit(last["_t"])
-    return (t < at_time) | ((t == at_time) & (symbol <= F.lit(last["_s"])))
+    at_time = F.lit(last[0])
+    return inside | (here & ((t < at_time) | ((t == at_time) & (symbol <= F.lit(last[1])))))
 
 
 def most_recent(df: DataFrame, rows: int, time: str = "event_time") -> DataFrame:
     """The last ``rows`` rows in (time, symbol) order."""
-    cut = with_side_of_cut(df, f"greatest(n - {int(rows)}, 0)", time, out="_old")
-    return cut.where(~F.col("_old")).drop("_old")
+    surplus = df.count() - int(rows)
+    return df if surplus <= 0 else df.where(~first_rows_filter(df, surplus, time))
 
 
 def chronological_split(
     df: DataFrame, fraction: float = 0.8, time: str = "event_time"
 ) -> tuple[DataFrame, DataFrame]:
     """First ``fraction`` of the rows by (time, symbol), and the rest."""
-    cut = with_side_of_cut(df, f"floor(n * {float(fraction)!r}D)", time, out="_first")
-    return cut.where("_first").drop("_first"), cut.where(~F.col("_first")).drop("_first")
+    first = first_rows_filter(df, int(df.count() * fraction), time)
+    return df.where(first), df.where(~first)
