@@ -66,10 +66,11 @@ def first_rows_filter(df: DataFrame, count: int, time: str = "event_time") -> Co
     result is a filter of literals, so give a stored frame that is read repeatedly.
     """
     t, symbol = F.col(time), F.col("symbol")
-    steps = ["day"] if is_daily(df, time) else ["day", "hour", "minute", "second"]
+    daily = is_daily(df, time)
     left, inside, here = count, F.lit(False), F.lit(True)
-    for step in steps:
-        unit = F.date_trunc(step, t)
+    for step in ["day"] if daily else ["day", "hour", "minute", "second"]:
+        # a bare date column can be filtered in the scan
+        unit = t if daily else F.date_trunc(step, t)
         boundary = None
         sizes = df.where(here).groupBy(unit.alias("u")).agg(F.count("*")).orderBy("u")
         for at, n in sizes.collect():

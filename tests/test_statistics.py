@@ -71,6 +71,20 @@ def test_chronological_cut(spark, panel, frame, fraction):
     assert {(r.symbol, r.event_date) for r in frame.where(predicate).collect()} == keys
 
 
+@pytest.mark.parametrize("k", [0, 1, 777, 1200, 2999, 3000])
+def test_cut_of_timestamps(spark, k):
+    """Most rows in one minute, several symbols at the same instant."""
+    rng = np.random.default_rng(8)
+    hot = rng.random(3000) < 0.7
+    seconds = np.where(hot, 86_400 + rng.integers(0, 40, 3000), rng.integers(0, 300_000, 3000))
+    p = pd.DataFrame({"event_time": pd.Timestamp("2024-01-01") + pd.to_timedelta(seconds, unit="s")})
+    p["symbol"] = [f"S{i:04d}" for i in rng.permutation(3000)]
+    df = spark.createDataFrame(p.astype({"event_time": "datetime64[us]"})).cache()
+    want = set(p.sort_values(["event_time", "symbol"]).head(k).symbol)
+    got = {r.symbol for r in df.where(labels.first_rows_filter(df, k)).collect()}
+    assert got == want
+
+
 def test_most_recent(panel, frame):
     want = panel.sort_values(["event_date", "symbol"]).tail(100)
     got = labels.most_recent(frame, 100, "event_date").collect()
