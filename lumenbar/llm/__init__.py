@@ -1 +1,10 @@
-"""Training-data operators: one module per operator, `catalog` for the queries."""
+"""Training-data operators: one module per operator, `catalog` for the queries.
+
+What tasks run is sent by value, so executors need no copy of this package.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

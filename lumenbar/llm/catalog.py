@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenbar.llm import exact_dedup, mixing, packing, sharding
+from lumenbar.llm import exact_dedup, mixing, packing, quality_rules, sharding, simhash, toxicity
 from lumenbar.sources.testdata import table
 
 
@@ -13,6 +13,12 @@ def op1_harmonic_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"))
 
 
+def op3_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    return quality_rules.quality_scores(
+        table(spark, folder, "documents"), table(spark, folder, "labels")
+    )
+
+
 def op4_capped_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(table(spark, folder, "documents"))
 
@@ -24,14 +30,27 @@ def op6_histogram_sharding(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op7_anchor_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash.near_duplicate_groups(table(spark, folder, "documents"))
+
+
+def op8_counterfactual_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.toxicity_scores(
+        table(spark, folder, "documents"), table(spark, folder, "labels")
+    )
+
+
 def op9_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.duplicate_groups(table(spark, folder, "documents"))
 
 
 QUERIES = {
     "op1_harmonic_packing": op1_harmonic_packing,
+    "op3_quality_rules": op3_quality_rules,
     "op4_capped_mixing": op4_capped_mixing,
     "op6_histogram_sharding": op6_histogram_sharding,
+    "op7_anchor_simhash": op7_anchor_simhash,
+    "op8_counterfactual_toxicity": op8_counterfactual_toxicity,
     "op9_exact_dedup": op9_exact_dedup,
 }
 

@@ -17,7 +17,6 @@ from __future__ import annotations
 import struct
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -38,7 +37,6 @@ def cuts(n: int, capacity: int = CAPACITY) -> list[int]:
     return [capacity] * (n // capacity) + low
 
 
-@lru_cache(maxsize=1)
 def encoder(ranks_path: str, pattern: str):
     """Byte-level BPE with the same vocabulary and ids as the tokenizers file, about four
     times as fast; strings of special tokens in a text are ordinary text."""
