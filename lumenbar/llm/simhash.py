@@ -189,7 +189,7 @@ def _matches(homes, nears, distance: int) -> Iterator[pa.RecordBatch]:
         left = np.repeat(near_fp[at:stop], count)
         first = np.repeat(low[at:stop] - (upto[at:stop] - count - before), count)
         right = home_fp[first + np.arange(len(left))]
-        linked = (np.bitwise_count(left ^ right) <= distance) & (left != right)
+        linked = (np.bitwise_count((left ^ right).view(np.uint64)) <= distance) & (left != right)
         if linked.any():
             a, b = local_forest(left[linked], right[linked])
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
