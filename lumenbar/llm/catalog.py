@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenbar.llm import exact_dedup, mixing, packing, quality_rules, sharding, simhash, toxicity
+from lumenbar.llm import curves, exact_dedup, mixing, packing, quality_rules, sharding, simhash, toxicity
 from lumenbar.sources.testdata import table
 
 
@@ -44,6 +44,11 @@ def op9_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.duplicate_groups(table(spark, folder, "documents"))
 
 
+def op10_hilbert_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "embeddings")
+    return curves.nearest(rows, rows.where("vec_id % 20 = 0"))
+
+
 QUERIES = {
     "op1_harmonic_packing": op1_harmonic_packing,
     "op3_quality_rules": op3_quality_rules,
@@ -52,6 +57,7 @@ QUERIES = {
     "op7_anchor_simhash": op7_anchor_simhash,
     "op8_counterfactual_toxicity": op8_counterfactual_toxicity,
     "op9_exact_dedup": op9_exact_dedup,
+    "op10_hilbert_neighbours": op10_hilbert_neighbours,
 }
 
 ORACLE = {
