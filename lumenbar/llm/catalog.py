@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenbar.llm import curves, exact_dedup, mixing, packing, quality_rules, sharding, simhash, toxicity
+from lumenbar.llm import curves, exact_dedup, html_diff, mixing, packing, quality_rules, sharding, simhash, toxicity
 from lumenbar.sources.testdata import table
 
 
@@ -23,6 +23,10 @@ def op4_capped_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(table(spark, folder, "documents"))
 
 
+def op5_page_differencing(spark: SparkSession, folder: str) -> DataFrame:
+    return html_diff.main_text(table(spark, folder, "pages"))
+
+
 def op6_histogram_sharding(spark: SparkSession, folder: str) -> DataFrame:
     found = sharding.histogram_shards(table(spark, folder, "documents"))
     return found.withColumns(
@@ -53,6 +57,7 @@ QUERIES = {
     "op1_harmonic_packing": op1_harmonic_packing,
     "op3_quality_rules": op3_quality_rules,
     "op4_capped_mixing": op4_capped_mixing,
+    "op5_page_differencing": op5_page_differencing,
     "op6_histogram_sharding": op6_histogram_sharding,
     "op7_anchor_simhash": op7_anchor_simhash,
     "op8_counterfactual_toxicity": op8_counterfactual_toxicity,
