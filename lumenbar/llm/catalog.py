@@ -5,7 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenbar.llm import curves, exact_dedup, html_diff, mixing, packing, quality_rules, sharding, simhash, toxicity
+from lumenbar.llm import (
+    curves,
+    exact_dedup,
+    html_diff,
+    lm_scoring,
+    mixing,
+    packing,
+    quality_rules,
+    sharding,
+    simhash,
+    toxicity,
+)
 from lumenbar.sources.testdata import table
 
 
@@ -13,6 +24,10 @@ def op1_harmonic_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"))
 
 
+def op2_recurrent_scoring(spark: SparkSession, folder: str) -> DataFrame:
+    return lm_scoring.language_scores(table(spark, folder, "documents"))
+
+
 def op3_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules.quality_scores(
         table(spark, folder, "documents"), table(spark, folder, "labels")
@@ -55,6 +70,7 @@ def op10_hilbert_neighbours(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "op1_harmonic_packing": op1_harmonic_packing,
+    "op2_recurrent_scoring": op2_recurrent_scoring,
     "op3_quality_rules": op3_quality_rules,
     "op4_capped_mixing": op4_capped_mixing,
     "op5_page_differencing": op5_page_differencing,

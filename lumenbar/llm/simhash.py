@@ -1,13 +1,15 @@
 """SimHash near-duplicates by anchor-point covering.
 
-64-bit fingerprints link when they differ in few bits. The 64 bits are cut into blocks so
-that two linked fingerprints differ in at most one bit of some block. In each block the
+Fingerprints (64 bits, or several lanes of 64) link when they differ in few bits. The bits
+are cut into blocks so that two linked fingerprints differ in at most one bit of some
+block: always, with distance // 2 + 1 blocks; or nearly always, with more and wider blocks
+than that would leave for a large distance (``width``). In each block the
 anchors are a covering code: a perfect Hamming code on the low bits (covering radius 1),
 every word on the remaining bits (radius 0). A fingerprint is at home at the anchor its
 block decodes to, and is replicated to every anchor at which a fingerprint one bit away
 may be at home, that is, to all anchors within covering radius plus threshold that can be
 such a home. Linked fingerprints therefore meet at the home of either, and only homes are
-compared with what came to the anchor. No link is lost.
+compared with what came to the anchor. Without ``width`` no link is lost.
 
 Equal fingerprints are one fingerprint before anything is compared. An anchor gives a
 spanning forest of its links, at most one row for each fingerprint that came.
@@ -41,70 +43,90 @@ HOMES_PER_TASK = 4096
 PAIRS = 1 << 21
 
 
-def fingerprint(text: bytes, words: int) -> int:
-    """SimHash of the word shingles of a text, as a signed 64-bit integer."""
+def fingerprint(text: bytes, words: int, lanes: int = 1) -> list[int]:
+    """SimHash of the word shingles of a text: ``lanes`` signed 64-bit integers.
+
+    Lane n hashes with seed 42 + n.
+    """
     from xxhash import xxh64_intdigest
 
     tokens = text.lower().split()  # of bytes: A-Z only, and the six ASCII spaces only
     if not tokens:
-        return 0
+        return [0] * lanes
     joined = b" ".join(tokens)
     ends = np.cumsum([len(t) + 1 for t in tokens]) - 1
     starts = np.concatenate([[0], ends[:-1] + 1]).tolist()
     last = ends.tolist()[min(words, len(tokens)) - 1 :]
-    ones = np.zeros(64, np.int64)
-    for at in range(0, len(last), STEP):
-        hashes = np.fromiter(
-            (
-                xxh64_intdigest(joined[s:e], SEED)
-                for s, e in zip(starts[at : at + STEP], last[at : at + STEP])
-            ),
-            "<u8",
-        )
-        bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        ones += bits.sum(axis=0, dtype=np.int64)
-    set_bits = (2 * ones > len(last)).astype(np.uint8)
-    return int(np.packbits(set_bits, bitorder="little").view("<i8")[0])
+    out = []
+    for lane in range(lanes):
+        ones = np.zeros(64, np.int64)
+        for at in range(0, len(last), STEP):
+            hashes = np.fromiter(
+                (
+                    xxh64_intdigest(joined[s:e], SEED + lane)
+                    for s, e in zip(starts[at : at + STEP], last[at : at + STEP])
+                ),
+                "<u8",
+            )
+            bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            ones += bits.sum(axis=0, dtype=np.int64)
+        set_bits = (2 * ones > len(last)).astype(np.uint8)
+        out.append(int(np.packbits(set_bits, bitorder="little").view("<i8")[0]))
+    return out
+
 
+def _lanes(lanes: int) -> list[str]:
+    return [f"fp{i}" for i in range(lanes)]
 
-def _fingerprints(words: int):
+
+def _fingerprints(words: int, lanes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             # one text at a time: the batch itself is all that is held
-            found = [fingerprint(t.as_py(), words) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(found, pa.int64())], ["id", "fp"]
-            )
+            found = [fingerprint(t.as_py(), words, lanes) for t in batch.column(1)]
+            columns = [pa.array([f[i] for f in found], pa.int64()) for i in range(lanes)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["id", *_lanes(lanes)])
 
     return run
 
 
-def fingerprints(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
+def fingerprints(
+    docs: DataFrame, id_col: str, text_col: str, words: int, lanes: int = 1
+) -> DataFrame:
     rows = docs.select(
         F.col(id_col).alias("id"), whole(F.col(text_col)).cast("binary").alias("text")
     )
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(_fingerprints(words), f"id {kind}, fp long")
+    shape = ", ".join([f"id {kind}", *(f"{c} long" for c in _lanes(lanes))])
+    return rows.mapInArrow(_fingerprints(words, lanes), shape)
 
 
 @dataclass(frozen=True)
 class Block:
-    """Bits [low, low + code + plain): ``code`` of them under a Hamming code."""
+    """Bits [low, low + code + plain) of a lane: ``code`` of them under a Hamming code."""
 
     number: int
+    lane: int
     low: int
     code: int
     plain: int
 
 
-def blocks_for(distance: int, bits: int = 64) -> list[Block]:
-    """So many blocks that some block holds at most one of ``distance`` differing bits."""
-    count = distance // 2 + 1
-    edges = [bits * i // count for i in range(count + 1)]
+def blocks_for(distance: int, lanes: int = 1, width: int | None = None) -> list[Block]:
+    """Without ``width``: so many blocks that some block holds at most one of ``distance``
+    differing bits (for one lane). With it: as many blocks of that width as there are."""
+    if width is None:
+        if lanes > 1:
+            raise ValueError("several lanes need a block width")
+        count = distance // 2 + 1
+        edges = [64 * i // count for i in range(count + 1)]
+    else:
+        edges = list(range(0, 65, width))
     out = []
-    for i, (low, high) in enumerate(zip(edges, edges[1:])):
-        code = max(n for n in (0, 3, 7, 15) if n <= high - low)
-        out.append(Block(i, low, code, high - low - code))
+    for lane in range(lanes):
+        for low, high in zip(edges, edges[1:]):
+            code = max(n for n in (0, 3, 7, 15) if n <= high - low)
+            out.append(Block(len(out), lane, low, code, high - low - code))
     return out
 
 
@@ -139,57 +161,66 @@ def code_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _anchors(fps: np.ndarray, blocks: list[Block], tables: dict) -> Iterator[tuple]:
-    """(anchor, fingerprint, role) arrays: role 0 at home, role 1 come to be compared."""
+    """(anchors, rows of ``fps``, role): role 0 at home, role 1 come to be compared."""
+    everyone = np.arange(len(fps))
     for b in blocks:
-        part = (fps >> np.int64(b.low)) & np.int64((1 << (b.code + b.plain)) - 1)
+        part = (fps[:, b.lane] >> np.int64(b.low)) & np.int64((1 << (b.code + b.plain)) - 1)
         code, plain = part & ((1 << b.code) - 1), part >> b.code
         home, near = tables[b.code]
 
         def key(c, p):
-            return (np.int64(b.number) << 32) | (p << b.code) | c
+            return (np.int64(b.number) << 28) | (p << b.code) | c
 
         own = home[code]
-        yield key(own, plain), fps, np.zeros(len(fps), np.int8)
-        yield key(own, plain), fps, np.ones(len(fps), np.int8)
+        yield key(own, plain), everyone, 0
+        yield key(own, plain), everyone, 1
         for k in range(near.shape[1]):
             other = near[code, k]
-            apart = other != own
-            yield key(other[apart], plain[apart]), fps[apart], np.ones(apart.sum(), np.int8)
+            apart = np.nonzero(other != own)[0]
+            yield key(other[apart], plain[apart]), apart, 1
         for bit in range(b.plain):
-            yield key(own, plain ^ (1 << bit)), fps, np.ones(len(fps), np.int8)
+            yield key(own, plain ^ (1 << bit)), everyone, 1
 
 
-def _replicate(distance: int, homes_only: bool):
+def _replicate(blocks: list[Block], homes_only: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blocks = blocks_for(distance)
         tables = {b.code: code_tables(b.code) for b in blocks}
         for batch in batches:
-            fps = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            for anchor, fp, role in _anchors(fps, blocks, tables):
-                if homes_only and len(role) and role[0]:
+            columns = [c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns]
+            fps = np.stack(columns[1:], axis=1)
+            for anchor, at, role in _anchors(fps, blocks, tables):
+                if homes_only and role:
                     continue
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(anchor), pa.array(fp), pa.array(role)], ["anchor", "fp", "role"]
+                    [
+                        pa.array(anchor),
+                        pa.array(np.full(len(at), role, np.int8)),
+                        *(pa.array(c[at]) for c in columns),
+                    ],
+                    ["anchor", "role", *batch.schema.names],
                 )
 
     return run
 
 
-def _matches(homes, nears, distance: int) -> Iterator[pa.RecordBatch]:
+def _matches(homes: list[np.ndarray], nears: list[np.ndarray], distance: int):
     """Forests of the links between nears and the homes with the same key, both sorted."""
-    (home_key, home_fp), (near_key, near_fp) = homes, nears
-    low = np.searchsorted(home_key, near_key, "left")
-    many = np.searchsorted(home_key, near_key, "right") - low
+    low = np.searchsorted(homes[0], nears[0], "left")
+    many = np.searchsorted(homes[0], nears[0], "right") - low
     upto = np.cumsum(many)
     at = 0
-    while at < len(near_key):
+    while at < len(low):
         before = upto[at - 1] if at else 0
         stop = max(at + 1, int(np.searchsorted(upto, before + PAIRS, "right")))
         count = many[at:stop]
-        left = np.repeat(near_fp[at:stop], count)
+        mine = np.repeat(np.arange(at, stop), count)
         first = np.repeat(low[at:stop] - (upto[at:stop] - count - before), count)
-        right = home_fp[first + np.arange(len(left))]
-        linked = (np.bitwise_count((left ^ right).view(np.uint64)) <= distance) & (left != right)
+        other = first + np.arange(len(mine))
+        apart = np.zeros(len(mine), np.uint16)
+        for a, b in zip(nears[2:], homes[2:]):
+            apart += np.bitwise_count((a[mine] ^ b[other]).view(np.uint64))
+        left, right = nears[1][mine], homes[1][other]
+        linked = (apart <= distance) & (left != right)
         if linked.any():
             a, b = local_forest(left[linked], right[linked])
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
@@ -200,45 +231,49 @@ def _compare(distance: int):
     """Rows come sorted by (key, role): an anchor's homes, then what came to it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held_key = np.zeros(0, np.int64)
-        held_fp = np.zeros(0, np.int64)
+        held = None
         for batch in batches:
-            key, fp, role = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
-            if not len(key):
+            if not batch.num_rows:
                 continue
-            at_home = role == 0
-            home_key = np.concatenate([held_key, key[at_home]])
-            home_fp = np.concatenate([held_fp, fp[at_home]])
-            yield from _matches(
-                (home_key, home_fp), (key[~at_home], fp[~at_home]), distance
-            )
-            last = home_key == key[-1]  # the last anchor may go on in the next batch
-            held_key, held_fp = home_key[last], home_fp[last]
+            role, key, *rest = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            rows = [key, *rest]
+            homes = [c[role == 0] for c in rows]
+            if held is not None:
+                homes = [np.concatenate(pair) for pair in zip(held, homes)]
+            yield from _matches(homes, [c[role == 1] for c in rows], distance)
+            last = homes[0] == key[-1]  # the last anchor may go on in the next batch
+            held = [c[last] for c in homes]
 
     return run
 
 
-def linked_fingerprints(
-    fps: DataFrame, distance: int, homes_per_task: int = HOMES_PER_TASK
+def linked_nodes(
+    nodes: DataFrame,
+    distance: int,
+    lanes: int = 1,
+    width: int | None = None,
+    homes_per_task: int = HOMES_PER_TASK,
 ) -> DataFrame:
-    """(a, b) links that connect every two of ``fps`` (distinct) within ``distance`` bits.
+    """(a, b) links that connect the ``nodes`` (node, fp0, ...) within ``distance`` bits.
 
     An anchor with very many homes is dealt to several tasks: each takes a part of the
     homes and sees all that came to the anchor.
     """
-    shape = "anchor long, fp long, role byte"
-    rows = fps.mapInArrow(_replicate(distance, False), shape)
-    crowded = (
-        fps.mapInArrow(_replicate(distance, True), shape)
+    blocks = blocks_for(distance, lanes, width)
+    columns = ["node", *_lanes(lanes)]
+    shape = "anchor long, role byte, " + ", ".join(f"{c} long" for c in columns)
+    source = nodes.select(*columns)
+    rows = source.mapInArrow(_replicate(blocks, False), shape)
+    crowded = cut_lineage(
+        source.mapInArrow(_replicate(blocks, True), shape)
         .groupBy("anchor")
         .agg(F.ceil(F.count("*") / homes_per_task).alias("tasks"))
         .where("tasks > 1")
     )
-    crowded = cut_lineage(crowded)
     if crowded.isEmpty():
         dealt = rows.withColumn("key", F.shiftleft("anchor", 24))
     else:
-        own = F.pmod(F.xxhash64("fp"), F.col("tasks"))
+        own = F.pmod(F.xxhash64("node"), F.col("tasks"))
         every = F.sequence(F.lit(0).cast("long"), F.col("tasks") - 1)
         task = F.when(F.col("tasks").isNull(), F.array(F.lit(0).cast("long"))).when(
             F.col("role") == 0, F.array(own)
@@ -249,7 +284,7 @@ def linked_fingerprints(
             .withColumn("key", F.shiftleft("anchor", 24) + F.col("task"))
         )
     return (
-        dealt.select("key", "fp", "role")
+        dealt.select("role", "key", *columns)
         .repartition("key")
         .sortWithinPartitions("key", "role")
         .mapInArrow(_compare(distance), "a long, b long")
@@ -262,23 +297,29 @@ def near_duplicate_groups(
     text_col: str = "text",
     words: int = 4,
     distance: int = 4,
+    lanes: int = 1,
+    width: int | None = None,
 ) -> DataFrame:
-    """One row per input row: id, fingerprint (16 hex digits), component_id.
+    """One row per input row: id, fingerprint (16 hex digits a lane), component_id.
 
     ``component_id`` is the smallest id reachable over links, the row's own included.
     """
-    rows = cut_lineage(fingerprints(docs, id_col, text_col, words))
-    nodes = cut_lineage(rows.groupBy("fp").agg(F.min("id").alias("first_id")))
-    roots = components(linked_fingerprints(nodes.select("fp"), distance))
-    rooted = nodes.join(roots.select(F.col("a").alias("fp"), "b"), "fp", "left").withColumn(
-        "root", F.coalesce("b", "fp")
+    fps = _lanes(lanes)
+    rows = cut_lineage(fingerprints(docs, id_col, text_col, words, lanes))
+    nodes = cut_lineage(
+        rows.groupBy(*fps)
+        .agg(F.min("id").alias("first_id"))
+        .withColumn("node", F.monotonically_increasing_id())
+    )
+    roots = components(linked_nodes(nodes, distance, lanes, width))
+    rooted = nodes.join(roots.withColumnRenamed("a", "node"), "node", "left").withColumn(
+        "root", F.coalesce("b", "node")
     )
     smallest = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = rooted.join(smallest, "root").select("fp", "component_id")
-    return rows.join(named, "fp").select(
-        F.col("id").alias(id_col),
-        F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
-        "component_id",
+    named = rooted.join(smallest, "root").select(*fps, "component_id")
+    digits = [F.lower(F.lpad(F.hex(c), 16, "0")) for c in fps]
+    return rows.join(named, fps).select(
+        F.col("id").alias(id_col), F.concat(*digits).alias("fingerprint"), "component_id"
     )
 
 
@@ -288,13 +329,15 @@ def keep_one(
     text_col: str = "text",
     words: int = 4,
     distance: int = 4,
+    lanes: int = 1,
+    width: int | None = None,
 ) -> DataFrame:
     """The rows with the smallest id of each near-duplicate group, with all columns.
 
     Ids are unique here, as after exact dedup; rows that share the smallest id all stay.
     Rows without an id cannot be told apart and stay.
     """
-    groups = near_duplicate_groups(docs, id_col, text_col, words, distance)
+    groups = near_duplicate_groups(docs, id_col, text_col, words, distance, lanes, width)
     gone = groups.where(F.col(id_col) != F.col("component_id")).select(
         F.col(id_col).alias(free_name(docs, "gone"))
     )
