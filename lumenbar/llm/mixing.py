@@ -54,8 +54,10 @@ def water_fill(sizes: DataFrame, max_epochs: float) -> DataFrame:
             "all_words": F.sum("source_size").over(everyone).cast("double"),
             "all_weight": F.sum("weight").over(everyone),
         }
-    ).withColumn("level", level)
-    open_level = F.min(F.when(F.col("level") * F.col("weight") <= cap, F.col("level")))
+    ).withColumns({"level": level, "place": F.row_number().over(order)})
+    # the first source that need not be clamped; past it the level means nothing
+    fits = F.col("level") * F.col("weight") <= cap
+    open_level = F.min_by("level", F.when(fits, F.col("place")))
     return (
         levelled.withColumn("final_level", open_level.over(everyone))
         .withColumn(
@@ -145,8 +147,8 @@ def mix(
 
 def first_words(text: Column, n: Column) -> Column:
     """The text up to the end of its ``n``-th word, white space kept."""
-    pattern = F.concat(F.lit(r"^([\x20\x09-\x0D]*" + WORD + "){"), n.cast("string"), F.lit("}"))
-    return F.regexp_substr(text, pattern)
+    pieces = F.regexp_extract_all(text, F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0))
+    return F.array_join(F.slice(pieces, F.lit(1), n.cast("int")), "")
 
 
 def write_mix(docs: DataFrame, text_col: str = "text", **options) -> DataFrame:
@@ -188,12 +190,14 @@ l AS (
   SELECT *, source_size * {float(max_epochs)}::DOUBLE AS cap,
     ((sum(source_size) OVER ())::DOUBLE
        - coalesce(sum(source_size * {float(max_epochs)}::DOUBLE) OVER w, 0.0))
-     / (sum(weight::DOUBLE) OVER () - coalesce(sum(weight::DOUBLE) OVER w, 0.0)) AS level
+     / (sum(weight::DOUBLE) OVER () - coalesce(sum(weight::DOUBLE) OVER w, 0.0)) AS level,
+    row_number() OVER w AS place
   FROM s WINDOW w AS (ORDER BY source_size / weight::DOUBLE, source NULLS LAST
                       ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 t AS (
-  SELECT *, least(cap, coalesce(min(CASE WHEN level * weight <= cap THEN level END) OVER ()
-                                * weight, cap)) AS target FROM l),
+  SELECT *, least(cap, coalesce(
+      (SELECT arg_min(level, place) FROM l WHERE level * weight <= cap) * weight, cap)) AS target
+  FROM l),
 p AS (
   SELECT d.*, t.source_size, t.target,
          coalesce(floor(t.target / nullif(t.source_size, 0)), 0) AS reps,
