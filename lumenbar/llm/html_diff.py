@@ -27,7 +27,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenbar.llm.common import whole
-from lumenbar.session import cut_lineage
 
 # Element names of HTML by what they mean for the text.
 VOID = frozenset(
@@ -190,7 +189,7 @@ def common_lines(a: np.ndarray, b: np.ndarray) -> list[int]:
 
 
 def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Lines of each page, compressed: they cross the network once and lie on disk once."""
+    """Lines of each page, compressed, as they cross the network once."""
     import zlib
 
     for batch in batches:
@@ -278,8 +277,9 @@ def main_text(
 ) -> DataFrame:
     """One row per page: id, url, text, n_chars.
 
-    Pages are read and parsed once; the compressed lines are range-partitioned by host and
-    path, so a host with a third of all pages is spread over many tasks.
+    The compressed lines are range-partitioned by host and path, so a host with a third of
+    all pages is spread over many tasks. Finding the ranges parses the pages a second time,
+    which is cheaper than the disk that keeping the lines would take.
     """
     url = F.col(url_col)
     rest = F.regexp_replace(F.lower(whole(url)), r"^[a-z]+://(www\.|m\.)?|[?#].*$", "")
@@ -290,9 +290,7 @@ def main_text(
         whole(F.col(html_col)).alias("html"),
     )
     kind = source.schema["id"].dataType.simpleString()
-    parsed = cut_lineage(
-        source.mapInArrow(_parsed, f"id {kind}, url string, path string, lines binary")
-    )
+    parsed = source.mapInArrow(_parsed, f"id {kind}, url string, path string, lines binary")
     return (
         parsed.repartitionByRange("path", "id")
         .sortWithinPartitions("path", "id")
