@@ -31,7 +31,8 @@ class CurveSettings:
     """``reach``: share of all vectors that a query sees around itself on each curve.
 
     Without structure in the data (independent axes) recall is bought with reach alone;
-    vectors that vary along few axes need far less. ``ranges`` are key ranges a curve;
+    vectors that vary along few axes need far less. ``least`` is the number of rows that a
+    window holds at least, so that a small table is searched whole. ``ranges`` are key ranges a curve;
     ``block`` is the number of candidates, and of queries, that a task holds at a time.
     """
 
@@ -40,14 +41,15 @@ class CurveSettings:
     bits: int = 10
     ranges: int = 20
     reach: float = 0.2
+    least: int = 1_000
     fit_rows: int = 5_000
     block: int = 8_192
     seed: int = 3
 
-    @property
-    def half(self) -> int:
-        """Ranges seen to either side of a query's own."""
-        return max(1, math.ceil(self.ranges * self.reach / 2))
+    def half(self, rows: int) -> int:
+        """Ranges seen to either side of a query's own, in a table of so many rows."""
+        share = min(1.0, max(self.reach, self.least / max(rows, 1)))
+        return self.ranges if share == 1.0 else max(1, math.ceil(self.ranges * share / 2))
 
 
 def usable(rows: DataFrame, vector: str) -> DataFrame:
@@ -251,7 +253,8 @@ def nearest(
         )
     ).first()
     spans = [np.array(e, np.int64) for e in edges]
-    window = 2 * settings.half + 1
+    half = settings.half(total)
+    window = min(settings.ranges, 2 * half + 1)
     deals = (
         max(1, math.ceil(total / settings.ranges / settings.block)),
         max(1, math.ceil(ask.count() * window / settings.ranges / settings.block)),
@@ -260,7 +263,7 @@ def nearest(
 
     def placed(frame: DataFrame, asks: bool) -> DataFrame:
         return frame.mapInArrow(
-            _placed(projection, spans, deals, asks),
+            _placed(projection, spans, half, deals, asks),
             f"curve int, range int, deal int, q_deal int, id long, vector {kind}",
         )
 
@@ -281,11 +284,14 @@ def nearest(
 
 
 def _placed(
-    projection: Projection, spans: list[np.ndarray], deals: tuple[int, int], asks: bool
+    projection: Projection,
+    spans: list[np.ndarray],
+    half: int,
+    deals: tuple[int, int],
+    asks: bool,
 ):
     """Rows with the ranges they belong to, or, for queries, the ranges they look at."""
     settings = projection.settings
-    half = settings.half
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

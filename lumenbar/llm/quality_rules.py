@@ -5,8 +5,8 @@ a conjunction of thresholds. A lasso logistic regression over the rules keeps a
 them with weights, and those compile into one Spark column, so scoring is a scan.
 
 Defined results: NULL text is the empty text, all of whose statistics are 0; it is scored
-like any other. Without labels, or with labels of one kind only, the score is the share of
-positive labels (0.5 without labels). Repeated rows score alike. Only text and id are
+like any other. Without labels, with labels of one kind only, or when no tree finds a split, the score is
+the share of positive labels (0.5 without labels). Repeated rows score alike. Only text and id are
 read; labels, ids and other columns are no inputs of a score.
 """
 
@@ -154,9 +154,10 @@ def train_rules(
     rows = cut_lineage(frame.select("label", *columns.values())).repartition(8).persist()
     try:
         count, mean = rows.agg(F.count("*"), F.avg("label")).first()
+        share = min(max(mean if count else 0.5, 1e-6), 1 - 1e-6)
+        constant = RuleModel(math.log(share / (1 - share)))
         if not count or mean in (0.0, 1.0):
-            share = min(max(mean if count else 0.5, 1e-6), 1 - 1e-6)
-            return RuleModel(math.log(share / (1 - share)))
+            return constant
         names = list(STATISTICS)
         vectors = VectorAssembler(inputCols=[columns[s] for s in names], outputCol="features")
         forest = RandomForestClassifier(
@@ -171,6 +172,8 @@ def train_rules(
         rules = list(
             dict.fromkeys(r for t in forest.trees for r in tree_paths(t.toDebugString, names))
         )
+        if not rules:
+            return constant
         on = rows.select(
             "label",
             *(holds(r, columns).cast("double").alias(f"r{i}") for i, r in enumerate(rules)),

@@ -118,11 +118,15 @@ def fit_logistic(
     fairness: float,
     ridge: float,
     rounds: int = 400,
+    scale: np.ndarray | None = None,
 ) -> tuple[float, np.ndarray]:
     """Weights that minimise log loss + ridge + fairness * mean squared logit change.
 
-    Accelerated gradient steps; ``pairs`` are a text and its swapped version.
+    Accelerated gradient steps; ``pairs`` are what a text and
+    its swapped version have on their own. ``scale`` is
+    the size of a feature: what is telling by itself needs a smaller weight.
     """
+    scale = np.ones(size) if scale is None else scale
     row, col = _ragged(plain)
     n, m = len(plain), max(len(pairs), 1)
     prow, pcol = _ragged([a for a, _ in pairs])
@@ -132,22 +136,24 @@ def fit_logistic(
     w, b = np.zeros(size), math.log(label.mean() / (1 - label.mean()))
     fast, velocity = w.copy(), np.zeros(size)
     # diagonal scaling: rare features may move as far as common ones
-    curve = np.bincount(col, minlength=size) / (4 * n) + ridge
+    curve = scale**2 * np.bincount(col, minlength=size) / (4 * n) + ridge
     if pairs:
-        curve += 2 * fairness * np.bincount(pcol, minlength=size) / m
+        curve += 2 * fairness * scale**2 * np.bincount(pcol, minlength=size) / m
     step = 1.0 / (np.maximum(curve, 1e-6) * max(1.0, len(row) / n) ** 0.5)
     for k in range(rounds):
         fast = w + 0.9 * velocity
-        logit = b + np.bincount(row, fast[col], minlength=n)
+        now = scale * fast
+        logit = b + np.bincount(row, now[col], minlength=n)
         off = 1.0 / (1.0 + np.exp(-np.clip(logit, -30, 30))) - label
-        slope = np.bincount(col, off[row], minlength=size) / n + ridge * fast
+        slope = scale * np.bincount(col, off[row], minlength=size) / n + ridge * fast
         if pairs:
-            change = np.bincount(prow, sign * fast[pcol], minlength=m)
-            slope += 2 * fairness * np.bincount(pcol, sign * change[prow], minlength=size) / m
+            change = np.bincount(prow, sign * now[pcol], minlength=m)
+            pull = np.bincount(pcol, sign * change[prow], minlength=size) / m
+            slope += 2 * fairness * scale * pull
         velocity = 0.9 * velocity - 0.1 * step * slope
         w = w + velocity
         b -= 1.0 * off.mean()
-    return b, w
+    return b, scale * w
 
 
 def train_toxicity(
@@ -157,7 +163,7 @@ def train_toxicity(
     id_col: str = "doc_id",
     text_col: str = "text",
     max_rows: int = 20_000,
-    max_features: int = 3_000,
+    max_features: int = 1_000,
     min_rows: int = 3,
     fairness: float = 1.0,
     ridge: float = 1e-4,
@@ -194,7 +200,17 @@ def train_toxicity(
     found = rows.mapInArrow(
         _indexed(index), "label double, plain array<int>, swapped array<int>"
     ).collect()
-    pairs = [(r["plain"], r["swapped"]) for r in found if r["swapped"] is not None]
+    # what both versions have does not change the logit
+    pairs = [
+        (sorted(set(r["plain"]) - set(r["swapped"])), sorted(set(r["swapped"]) - set(r["plain"])))
+        for r in found
+        if r["swapped"] is not None
+    ]
+    # log ratio of a feature's shares in toxic and other texts; names not seen have none
+    scale = np.ones(len(names))
+    for i, r in enumerate(ranked):
+        share = (r["pos"] + 0.5) / (positives + 1), (r["neg"] + 0.5) / (count - positives + 1)
+        scale[i] = abs(math.log(share[0] / share[1]))
     b, w = fit_logistic(
         [r["plain"] for r in found],
         np.array([r["label"] for r in found]),
@@ -202,6 +218,7 @@ def train_toxicity(
         len(names),
         fairness,
         ridge,
+        scale=scale,
     )
     return ToxicityModel(float(b), {f: float(w[i]) for f, i in index.items() if abs(w[i]) > 1e-6})
 
