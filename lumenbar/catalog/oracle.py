@@ -338,6 +338,7 @@ ORACLE["upsert_replace"] = sql(
     SELECT * FROM old WHERE o_orderkey NOT IN (SELECT o_orderkey FROM new))""",
     PAIR,
 )
+ORACLE["signals_upsert_twice"] = ORACLE["upsert_replace"]
 ORACLE["schema_evolution"] = sql(
     f"""SELECT {_order_out} FROM (SELECT * FROM new UNION ALL
     SELECT o_orderkey, o_orderstatus, o_totalprice, NULL FROM old
@@ -425,11 +426,12 @@ ORACLE["latest_features"] = sql(
     *FEATURE_CTES,
 )
 ORACLE["indicator_self_check"] = sql(
-    "SELECT unnest(["
-    + ", ".join(f"'{f}'" for f in FEATURES)
-    + """]) AS indicator, (SELECT count(*) FROM bars) AS "rows",
-    0.0::DOUBLE AS max_abs_diff, 'PASS' AS status""",
-    BARS,
+    " UNION ALL ".join(
+        f"""SELECT '{f}' AS indicator, count(*) AS "rows", 0.0::DOUBLE AS max_abs_diff,
+        'PASS' AS status, count({f}) AS present, {r(f"avg({f})", "mean_value")} FROM feats"""
+        for f in FEATURES
+    ),
+    *FEATURE_CTES,
 )
 
 # --- labels -----------------------------------------------------------------------
@@ -489,6 +491,44 @@ ORACLE["chrono_split"] = sql(
     *LAB1,
 )
 
+ORACLE["class_weights"] = sql(
+    f"""SELECT {big('target')}, count(*) AS row_count,
+    {r('(SELECT count(*) FROM trained) / (2.0 * count(*))', 'weight')} FROM trained GROUP BY target""",
+    *LAB1,
+)
+ORACLE["training_gates"] = sql(
+    """SELECT gate, CASE WHEN n = 0 THEN 'no_rows_after_labeling_need_252_days'
+      WHEN gate = 'rows' THEN 'insufficient_rows_' || n || '_lt_1000000000'
+      WHEN gate = 'symbols' THEN 'insufficient_symbols_' || s || '_lt_1000000'
+      WHEN gate = 'classes' THEN 'class_imbalance_rate_' || printf('%.6f', p) || '_outside_0.01_0.0001'
+      END AS reason
+    FROM (SELECT count(*) AS n, count(DISTINCT symbol) AS s, avg(target) AS p FROM trained),
+         (SELECT unnest(['rows', 'symbols', 'classes', 'open']) AS gate)""",
+    *LAB1,
+)
+ORACLE["calibration_split"] = sql(
+    f"""SELECT side, count(*) AS row_count, {day('min(event_time)', 'first_date')},
+    {day('max(event_time)', 'last_date')} FROM (
+      SELECT event_time, CASE WHEN i <= n - CAST(floor(n * 0.15) AS BIGINT) THEN 'fit' ELSE 'calibrate' END AS side
+      FROM (SELECT event_time, row_number() OVER (ORDER BY event_time, symbol) AS i,
+                   count(*) OVER () AS n FROM trained)) GROUP BY side""",
+    *LAB1,
+)
+ORACLE["train_candidates"] = sql(
+    """SELECT unnest([1, 2, 3])::BIGINT AS place, n - CAST(floor(n * 0.8) AS BIGINT) AS row_count,
+    'histgb,logreg,rf' AS candidates, 0::BIGINT AS failed, true AS ordered, true AS possible
+    FROM (SELECT count(*) AS n FROM trained)""",
+    *LAB1,
+)
+ORACLE["ensemble_scores"] = sql(
+    f"""SELECT symbol, {day('event_time', 'trade_date')}, true AS fits_1y, true AS fits_5y
+    FROM (SELECT DISTINCT ON (symbol) * FROM feats WHERE {ELIGIBLE} ORDER BY symbol, event_time DESC)""",
+    *FEATURE_CTES,
+)
+ORACLE["symbol_history"] = sql(
+    f"SELECT symbol, {day('event_time')}, {PRICE_OUT} FROM bars WHERE symbol = 'Brand#11'", BARS
+)
+
 # --- signals and serving ----------------------------------------------------------
 
 
@@ -621,6 +661,20 @@ ORACLE["leakage_checks"] = sql(
     *LAB1,
     SPLITS,
 )
+ORACLE["walk_forward_ml"] = sql(
+    f"""SELECT m AS model_type, {big('split')}, {day('train_end')}, {day('test_start')}, {day('test_end')},
+    train_rows, test_rows, train_positives, 0::BIGINT AS overlap_rows, false AS date_violation,
+    test_rows AS scored_rows, true AS metrics_hold
+    FROM (SELECT splits.split, train_end, test_start, test_end,
+            count(*) FILTER (WHERE event_date <= train_end) AS train_rows,
+            count(*) FILTER (WHERE event_date >= test_start) AS test_rows,
+            CAST(coalesce(sum(target) FILTER (WHERE event_date <= train_end), 0) AS BIGINT) AS train_positives
+          FROM labelled JOIN splits ON event_date <= test_end GROUP BY ALL),
+         (SELECT unnest(['histgb', 'logreg', 'rf']) AS m)
+    WHERE train_positives NOT IN (0, train_rows) AND test_rows > 0""",
+    *LAB1,
+    SPLITS,
+)
 ORACLE["key_overlap"] = sql(
     """SELECT count(*) AS overlap_rows FROM (
     SELECT symbol, event_time FROM bars WHERE event_time <= DATE '1999-12-31' INTERSECT
@@ -707,6 +761,11 @@ ORACLE["threshold_sweep"] = sql(
     + " FROM stats GROUP BY threshold",
     *SWEEP_CTES,
 )
+ORACLE["threshold_sweep_splits"] = sql(
+    f"""SELECT {big('split')}, threshold, periods, {columns_out(STAT_COLUMNS)},
+    {big('holding_period_days')} FROM stats""",
+    *SWEEP_CTES,
+)
 ORACLE["recommended_threshold"] = sql(
     """SELECT threshold AS recommended_min_prob FROM (
     SELECT threshold, avg(sharpe_annualized) AS a, avg(cagr_approx) AS b, avg(hit_rate) AS c
@@ -814,7 +873,7 @@ REPORT_CTES = [
              OVER (PARTITION BY tab ORDER BY event_date) AS prev FROM (
       SELECT symbol AS tab, event_date, CASE WHEN prob >= 0.55 THEN realized_return END AS gross FROM labelled)))
   GROUP BY 1)""",
-    """brands AS (SELECT DISTINCT p_brand AS tab FROM part UNION ALL SELECT 'Brand#none')""",
+    """brands AS (SELECT DISTINCT p_brand AS tab FROM part UNION ALL SELECT r_name FROM region)""",
     """rep AS MATERIALIZED (
   SELECT brands.tab AS source_table, CASE WHEN m.symbol IS NULL THEN 'n/a' ELSE '1y' END AS horizon,
          CASE WHEN m.symbol IS NULL THEN 'missing_report' WHEN "rows" >= 1280 THEN 'ok'

@@ -12,7 +12,9 @@ from lumenbar.functions.formatting import growth_text
 from lumenbar.operators import audit, backtest, drift, guards, indicators, labels, merge, metrics
 from lumenbar.operators import quality, quantiles, splits
 from lumenbar.operators.nav import nav_features
+from lumenbar.functions.scoring import signal_label
 from lumenbar.operators.panel import growth_as_of, latest_per
+from lumenbar.operators.panel import symbol_history as history_of
 from lumenbar.plans import scoring, serving, training, walkforward
 from lumenbar.schemas import FEATURES, HORIZONS, NAV_FEATURES
 from lumenbar.session import cut_lineage
@@ -214,6 +216,15 @@ def upsert_replace(spark, d):
     return merge.replace_rows(stored, incoming, ["o_orderkey"])
 
 
+def signals_upsert_twice(spark, d):
+    """Incoming rows that repeat their keys, merged twice: the dearest of a key stays."""
+    stored, incoming = _upsert_pair(spark, d)
+    cheaper = incoming.withColumn("o_totalprice", F.col("o_totalprice") - 500)
+    repeated = cheaper.unionByName(incoming)
+    once = merge.replace_rows(stored, repeated, ["o_orderkey"], newest_by="o_totalprice")
+    return merge.replace_rows(once, repeated, ["o_orderkey"], newest_by="o_totalprice")
+
+
 def schema_evolution(spark, d):
     """Stored rows without a priority column gain it, as NULL, before a replacing merge."""
     stored, incoming = _upsert_pair(spark, d)
@@ -304,16 +315,21 @@ def latest_features(spark, d):
 
 
 def indicator_self_check(spark, d):
-    """The fused plan against the three separate ones."""
+    """The fused plan against the three separate ones, and per indicator the number and
+    mean of its values, which SQL computes by itself."""
     b = bars(spark, d)
-    fused = indicators.all_indicators(b).fillna(0.0)
+    fused = indicators.all_indicators(b)
     apart = (
         indicators.price_bands(b)
         .join(indicators.trend_lines(b).select(*BAR_KEYS, "ema_20", "macd", "macd_signal"), BAR_KEYS)
         .join(indicators.oscillators(b).select(*BAR_KEYS, "rsi_14", "atr_14", "stoch_k", "stoch_d"), BAR_KEYS)
-        .fillna(0.0)
     )
-    return indicators.max_differences(fused, apart, FEATURES)
+    values = quantiles.unpivot_values(fused, FEATURES).groupBy("feature").agg(
+        F.count("*").alias("present"), F.avg("value").alias("mean_value")
+    )
+    checked = indicators.max_differences(fused, apart, FEATURES)
+    # a row per indicator on both sides
+    return checked.join(F.broadcast(values), F.col("indicator") == F.col("feature")).drop("feature")
 
 
 # --- labels -----------------------------------------------------------------------
@@ -400,6 +416,11 @@ def market_overview(spark, d):
     return serving.market_overview(signal_history(spark, d, f), f)
 
 
+def symbol_history(spark, d):
+    """Every bar of one symbol; the filter is the feature."""
+    return history_of(bars(spark, d), "Brand#11")
+
+
 def growth_asof(spark, d):
     out = growth_as_of(bars(spark, d), (1, 3, 5, 10))
     return out.withColumn("growth_1y_text", growth_text(F.col("growth_1y")))
@@ -460,6 +481,10 @@ def threshold_sweep(spark, d):
     return backtest.threshold_sweep(split_scored(spark, d), HORIZONS["1y"].bars_ahead)
 
 
+def threshold_sweep_splits(spark, d):
+    return backtest.threshold_sweep_splits(split_scored(spark, d), HORIZONS["1y"].bars_ahead)
+
+
 def recommended_threshold(spark, d):
     return backtest.recommended_threshold(threshold_sweep(spark, d))
 
@@ -575,9 +600,9 @@ MIN_REPORT_ROWS = 1280
 
 
 def _brands(spark, d):
-    """Every brand, and one without any report."""
+    """Every brand, and every region: those have no report."""
     brands = table(spark, d, "part").select(F.col("p_brand").alias("source_table")).distinct()
-    extra = brands.limit(1).select(F.lit("Brand#none").alias("source_table"))
+    extra = table(spark, d, "region").select(F.col("r_name").alias("source_table"))
     return brands.unionByName(extra).withColumn(
         "asset_class", F.concat(F.lit("class "), "source_table")
     )
@@ -783,8 +808,9 @@ def _customer_values(spark, d):
 
 
 def _profile(spark, d):
+    rows = _customer_values(spark, d)
     return quality.quality_profile(
-        _customer_values(spark, d), "customer", ["c_mktsegment", "c_nationkey"], AS_OF, "c_acctbal"
+        rows, "customer", ["c_mktsegment", "c_nationkey"], AS_OF, "c_acctbal", rows.columns
     )
 
 
@@ -812,7 +838,7 @@ def _all_profiles(spark, d):
 
 def quality_gate(spark, d):
     profiles = _all_profiles(spark, d)
-    unprofiled = table(spark, d, "region").limit(1).select(F.lit("region").alias("table_name"))
+    unprofiled = table(spark, d, "region").select(F.lit("region").alias("table_name")).distinct()
     return quality.quality_gate(
         profiles, profiles.select("table_name").unionByName(unprofiled)
     ).select("table_name", "data_completeness_percent", "data_uniqueness_percent", "gate_status")
@@ -824,48 +850,145 @@ def quality_dashboard(spark, d):
     )
 
 
-# --- machine learning (rows only) -------------------------------------------------
+# --- machine learning -------------------------------------------------------------
 
+# Model sizes are a documented setting; candidates and split steps are the defaults.
 SMALL_MODELS = training.ModelSettings(
     boost_rounds=3, boost_depth=3, trees=5, trees_5y=5, tree_depth=4, linear_iterations=20
 )
+SMALL_TRAINING = training.TrainingSettings(models=SMALL_MODELS)
+
+
+def class_weights(spark, d):
+    """Balanced weights of the training rows."""
+    rows = training.with_class_weights(_stored_training(spark, d))
+    return rows.groupBy("target").agg(
+        F.count("*").alias("row_count"), F.max("_weight").alias("weight")
+    )
 
 
-def _small_training(candidates=("histgb", "rf", "logreg")):
-    return training.TrainingSettings(candidates=candidates, models=SMALL_MODELS)
+def training_gates(spark, d):
+    """The reason each profile gate gives for the one-year training rows."""
+    profile = training_profile(spark, d).first()
+    gates = {
+        "rows": training.TrainingSettings(min_rows=10**9),
+        "symbols": training.TrainingSettings(min_rows=1, min_symbols=10**6),
+        "classes": training.TrainingSettings(min_rows=1, min_symbols=1, max_positive_rate=0.0001),
+        "open": training.TrainingSettings(
+            min_rows=0, min_symbols=0, min_positive_rate=-1.0, max_positive_rate=2.0
+        ),
+    }
+    rows = [(n, training._gate_profile(profile, s, 252)) for n, s in gates.items()]
+    return spark.createDataFrame(rows, "gate string, reason string")
+
+
+def calibration_split(spark, d):
+    """Rows and dates of the older part a model is fitted on and the part it is calibrated on."""
+    rows = _stored_training(spark, d)
+    total = rows.count()
+    settings = training.TrainingSettings(
+        calibration_min_total=0, calibration_min_held=0, calibration_min_fit=0
+    )
+    frames = training.calibration_frames(rows, total, settings)
+
+    def side(name, frame):
+        return frame.agg(
+            F.lit(name).alias("side"),
+            F.count("*").alias("row_count"),
+            F.min("event_time").alias("first_date"),
+            F.max("event_time").alias("last_date"),
+        )
+
+    return side("fit", frames.fit).unionByName(side("calibrate", frames.recent))
 
 
 def train_candidates(spark, d):
-    """Leaderboard of the three candidates on the newest 20 % of the labelled rows."""
+    """Leaderboard of the three candidates on the newest 20 % of the labelled rows: ranks,
+    hold-out rows, and whether the metrics are possible ones. Which model is best is not
+    determined, so it is no column."""
     rows = _stored_training(spark, d)
     older_rows = int(rows.count() * 0.8)
     is_older = labels.first_rows_filter(rows, older_rows)
-    ranking, _ = training.rank_candidates(
-        rows.where(is_older), older_rows, rows.where(~is_older), FEATURES, "1y", _small_training()
+    ranking, _, failed = training.rank_candidates(
+        rows.where(is_older), older_rows, rows.where(~is_older), FEATURES, "1y", SMALL_TRAINING
+    )
+    names = ",".join(sorted(r["model_name"] for r in ranking))
+    aucs = [r["roc_auc"] for r in ranking]
+    known = [a for a in aucs if a is not None]
+    ordered = known == sorted(known, reverse=True) and aucs[: len(known)] == known
+    return spark.createDataFrame(
+        [
+            (
+                rank,
+                r["rows"],
+                names,
+                len(failed),
+                ordered,
+                all(0 <= (r[m] or 0.0) <= 1 for m in ("roc_auc", "brier", "f1", "accuracy")),
+            )
+            for rank, r in enumerate(ranking, start=1)
+        ],
+        "place int, row_count long, candidates string, failed int, ordered boolean, possible boolean",
     )
-    return spark.createDataFrame(ranking)
 
 
 def ensemble_scores(spark, d):
-    """Latest signals scored by trained ensembles of both horizons."""
+    """Latest signals scored by trained ensembles of both horizons: every probability lies
+    in [0, 1] and every label follows from its probability."""
     f = silver(spark, d)
     newest = f.agg(F.max("event_time")).first()[0]
     as_of = datetime(newest.year, newest.month, newest.day)
-    settings = _small_training(("rf", "logreg"))
-    models = training.train_all_horizons(f, "silver.bars", as_of, settings)
+    models = training.train_all_horizons(f, "silver.bars", as_of, SMALL_TRAINING)
     scorers = [lambda df, out, m=models[h]: m.score(df, out) for h in ("1y", "5y")]
-    return scoring.generate_signals(f, *scorers)
+    signals = scoring.generate_signals(f, *scorers)
+
+    def fits(horizon):
+        p = F.col(f"confidence_{horizon}")
+        return p.between(0.0, 1.0) & (F.col(f"signal_{horizon}") == signal_label(p, horizon))
+
+    return signals.select(
+        "symbol", "trade_date", fits("1y").alias("fits_1y"), fits("5y").alias("fits_5y")
+    )
 
 
 def walk_forward_ml(spark, d):
-    """Walk-forward split metrics of a small logistic model and a small forest."""
-    settings = walkforward.ValidationSettings(
-        candidates=("logreg", "rf"), models=SMALL_MODELS, step_days=504
+    """Every split of every candidate at the default step: dates and sizes of the split,
+    leakage checks, scored rows, and whether the metrics equal those of the stored rows."""
+    settings = walkforward.ValidationSettings(models=SMALL_MODELS)
+    rows = labelled(spark, d).select(
+        "symbol", "event_date", "target", "realized_return", *FEATURES
+    )
+    rows = cut_lineage(rows)
+    checks = walkforward.usable_splits(rows, settings)
+    facts = ["train_end", "test_start", "test_end", "train_rows", "test_rows", "train_positives",
+             "overlap_rows", "date_violation"]
+    empty = "model_type string, split int, " + ", ".join(
+        f"{c} {'boolean' if c == 'date_violation' else 'date' if c[-3:] != 'ows' and c[-3:] != 'ves' else 'long'}"
+        for c in facts
+    ) + ", scored_rows long, metrics_hold boolean"
+    if not checks:
+        return spark.createDataFrame([], empty)
+    found = walkforward.predict_splits(rows, checks, "1y", settings)
+    if found is None:
+        return spark.createDataFrame([], empty)
+    key = ["model_type", "split"]
+    measured = metrics.classification_metrics(found, key)
+    right = (F.col("prob") >= 0.5) == (F.col("target") == 1)
+    again = found.groupBy(*key).agg(
+        F.avg(F.when(right, 1.0).otherwise(0.0)).alias("a"),
+        F.avg(F.pow(F.col("prob") - F.col("target"), F.lit(2.0))).alias("b"),
+        F.min("prob").alias("low"),
+        F.max("prob").alias("high"),
+    )
+    close = (F.abs(F.col("a") - F.col("accuracy")) < 1e-9) & (F.abs(F.col("b") - F.col("brier")) < 1e-9)
+    # one row per split
+    of_split = spark.createDataFrame(checks).select("split", *facts)
+    return measured.join(again, key).join(F.broadcast(of_split), "split").select(
+        *key,
+        *facts,
+        F.col("rows").alias("scored_rows"),
+        (close & (F.col("low") >= 0) & (F.col("high") <= 1)).alias("metrics_hold"),
     )
-    result = walkforward.evaluate_horizon(silver(spark, d), "1y", settings)
-    if result.splits is None:
-        return spark.createDataFrame([(result.status,)], "status string")
-    return result.splits
 
 
 QUERIES = {
@@ -881,7 +1004,9 @@ QUERIES = {
         signals_scored, signals_latest, api_signals, opportunities, market_overview,
         growth_asof, technical_context, walk_forward_splits, leakage_checks, key_overlap,
         classification_metrics, class_report, confidence_buckets, regime_performance,
-        backtest_periods, backtest_stats, threshold_sweep, recommended_threshold,
+        backtest_periods, backtest_stats, threshold_sweep, threshold_sweep_splits,
+        recommended_threshold, symbol_history, signals_upsert_twice, class_weights,
+        training_gates, calibration_split,
         horizon_summary, drift_psi, drift_ks, drift_summary, regime_rollup_api,
         regime_rollup_report, validation_summary, validation_lines, promotion_gate,
         report_completeness, report_completeness_summary, gate_failures, freshness_sla,

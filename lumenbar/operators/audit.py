@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenbar.operators.panel import latest_per
+from lumenbar.operators.quality import quality_profile
 from lumenbar.schemas import AUDIT_EVENT_SCHEMA
 from lumenbar.sources.tables import table_exists
 
@@ -116,7 +117,7 @@ def audited_write(
         log(
             end_event(
                 spark, audit_id, job, source, target, operation, started, clock(),
-                rows_source=rows_source, error=str(failure)[:2000],
+                rows_source=rows_source, error=str(failure),
             )
         )
         raise
@@ -129,6 +130,32 @@ def audited_write(
     return rows
 
 
+def audited_run(
+    df: DataFrame,
+    path: str,
+    log: Callable[[DataFrame], None],
+    job: str,
+    source: str,
+    target: str,
+    source_rows: DataFrame,
+    keys: Sequence[str],
+    reconcile: Callable[[DataFrame], None],
+    profile: Callable[[DataFrame], None],
+    as_of: str,
+    mode: str = "overwrite",
+) -> int:
+    """Audited write, then the reconciliation with the source and a quality profile of what
+    is stored, each handed to its sink. A failed write leaves only its audit events."""
+    spark = df.sparkSession
+    rows = audited_write(
+        df, path, log, job, source, target, rows_source=source_rows.count(), mode=mode
+    )
+    stored = spark.read.parquet(path)
+    reconcile(reconcile_counts(source_rows, stored, source, target, as_of, keys))
+    profile(quality_profile(stored, target, keys, as_of))
+    return rows
+
+
 def _days_before(column: str, as_of: str, days: int) -> Column:
     """Not older than ``days`` days before ``as_of``."""
     return F.to_date(column) >= F.date_sub(F.to_date(F.lit(as_of)), days)

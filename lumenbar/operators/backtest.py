@@ -196,9 +196,26 @@ def threshold_sweep(
     cost_bps: float = 20.0,
 ) -> DataFrame:
     """Mean backtest statistics over splits per (keys, threshold); needs a ``split`` column."""
-    keys = list(keys)
+    return sweep_means(
+        threshold_sweep_splits(df, holding_days, keys, thresholds, top_n, cost_bps), keys
+    )
+
+
+def threshold_sweep_splits(
+    df: DataFrame,
+    holding_days: int,
+    keys: Sequence[str] = (),
+    thresholds: Sequence[float] = SWEEP_THRESHOLDS,
+    top_n: int = 10,
+    cost_bps: float = 20.0,
+) -> DataFrame:
+    """Backtest statistics per (keys, split, threshold)."""
     periods = period_returns(df, [*keys, "split"], thresholds, top_n, cost_bps)
-    stats = backtest_stats(periods, holding_days, [*keys, "split", "threshold"])
+    return backtest_stats(periods, holding_days, [*keys, "split", "threshold"])
+
+
+def sweep_means(stats: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """The split statistics of a sweep averaged over splits."""
     return stats.groupBy(*keys, "threshold").agg(
         F.count_distinct("split").alias("splits"),
         *[F.avg(source).alias(out) for out, source in SWEEP_MEANS.items()],

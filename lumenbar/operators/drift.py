@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from datetime import timedelta
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,23 +16,22 @@ PSI_BINS = 10
 def drift_windows(
     df: DataFrame, recent_days: int = 63, baseline_days: int = 252, date: str = "event_date"
 ) -> DataFrame:
-    """Rows of both windows with ``side`` and the one-row window bounds attached."""
-    last = F.max(date)
-    bounds = (
-        df.agg(last.alias("recent_end"))
-        .withColumn("recent_start", F.date_sub("recent_end", max(recent_days - 1, 1)))
-        .withColumn("baseline_end", F.date_sub("recent_start", 1))
-        .withColumn("baseline_start", F.date_sub("baseline_end", max(baseline_days - 1, 1)))
-    )
-    day = F.col(date)
-    side = F.when(day >= F.col("recent_start"), "recent").when(
-        (day >= F.col("baseline_start")) & (day <= F.col("baseline_end")), "baseline"
-    )
-    return (
-        df.crossJoin(F.broadcast(bounds))
-        .withColumn("side", side)
-        .where(F.col("side").isNotNull())
-    )
+    """Rows of both windows with ``side`` and the window bounds attached.
+
+    The newest date is fetched first, so the bounds are literals that reach the scan.
+    """
+    newest = df.agg(F.to_date(F.max(date))).first()[0]
+    bounds = dict.fromkeys(("recent_end", "recent_start", "baseline_end", "baseline_start"))
+    if newest is not None:
+        start = newest - timedelta(days=max(recent_days - 1, 1))
+        end = start - timedelta(days=1)
+        bounds["recent_end"], bounds["recent_start"] = newest, start
+        bounds["baseline_end"] = end
+        bounds["baseline_start"] = end - timedelta(days=max(baseline_days - 1, 1))
+    at = {name: F.lit(value).cast("date") for name, value in bounds.items()}
+    side = F.when(F.col(date) >= at["recent_start"], "recent").otherwise("baseline")
+    # the windows meet, so one range holds both
+    return df.where(F.col(date) >= at["baseline_start"]).withColumns({**at, "side": side})
 
 
 def value_counts(windows: DataFrame, features: Sequence[str]) -> DataFrame:
@@ -131,16 +131,20 @@ def ks(counts: DataFrame) -> DataFrame:
 
 
 def feature_drift(counts: DataFrame, min_samples: int = 300) -> DataFrame:
-    """PSI, KS, level and window means of every feature with enough values on both sides."""
-    joined = ks(counts).join(psi(counts), "feature")
+    """PSI, KS, level and window means of every feature.
+
+    Features with too few values on a side have the level ``insufficient_samples``.
+    """
+    joined = ks(counts).join(psi(counts), "feature", "left")
+    enough = (F.col("baseline_n") >= min_samples) & (F.col("recent_n") >= min_samples)
     level = (
-        F.when(F.col("psi").isNull() | F.col("ks").isNull(), "unknown")
+        F.when(~enough, "insufficient_samples")
+        .when(F.col("psi").isNull() | F.col("ks").isNull(), "unknown")
         .when((F.col("psi") >= 0.25) | (F.col("ks") >= 0.20), "high")
         .when((F.col("psi") >= 0.10) | (F.col("ks") >= 0.10), "medium")
         .otherwise("low")
     )
-    enough = (F.col("baseline_n") >= min_samples) & (F.col("recent_n") >= min_samples)
-    return joined.where(enough).select(
+    return joined.select(
         "feature", "psi", "ks", level.alias("drift_level"), "baseline_mean", "recent_mean"
     )
 
@@ -155,7 +159,7 @@ def drift_summary(windows: DataFrame, drift: DataFrame, min_samples: int = 300)
         F.count_if(F.col("side") == "baseline").alias("baseline_rows"),
         F.count_if(F.col("side") == "recent").alias("recent_rows"),
     )
-    levels = drift.agg(
+    levels = drift.where("drift_level <> 'insufficient_samples'").agg(
         F.count("*").alias("features"),
         F.avg("psi").alias("avg_psi"),
         F.avg("ks").alias("avg_ks"),

@@ -216,15 +216,23 @@ def warm(df: DataFrame, min_bars: int | None = None, **segmenting) -> DataFrame:
     return numbered.where(F.col("_seen").isNotNull()).drop("_seen")
 
 
+def _apart(a: Column, b: Column) -> Column:
+    one_missing = a.isNull() != b.isNull()
+    return F.when(one_missing, F.lit(float("inf"))).otherwise(F.coalesce(F.abs(a - b), F.lit(0.0)))
+
+
 def max_differences(
     actual: DataFrame, expected: DataFrame, columns: list[str], tolerance: float = 1e-5,
     keys: tuple[str, ...] = ("symbol", "event_time"),
 ) -> DataFrame:
-    """Self-check: per column the largest absolute difference and PASS / FAIL."""
+    """Self-check: per column the largest absolute difference and PASS / FAIL.
+
+    A value that only one side has counts as an infinite difference.
+    """
     renamed = expected.select(*keys, *[F.col(c).alias(f"_e_{c}") for c in columns])
     worst = actual.join(renamed, list(keys)).agg(
         F.count("*").alias("rows"),
-        *[F.max(F.abs(F.col(c) - F.col(f"_e_{c}"))).alias(c) for c in columns],
+        *[F.max(_apart(F.col(c), F.col(f"_e_{c}"))).alias(c) for c in columns],
     )
     return worst.unpivot(["rows"], columns, "indicator", "max_abs_diff").select(
         "indicator",

@@ -58,7 +58,12 @@ def training_profile(df: DataFrame) -> DataFrame:
 
 
 def first_rows_filter(df: DataFrame, count: int, time: str = "event_time") -> Column:
-    """Predicate that keeps the first ``count`` rows in (time, symbol) order.
+    """Predicate that keeps the first ``count`` rows in (time, symbol, row hash) order.
+
+    It is never NULL: rows without a time are the oldest, rows without a symbol the first
+    of their time, so every row is on one side of a cut. Rows that repeat time and symbol
+    are told apart by a hash of the whole row; only rows equal in every column stay
+    together.
 
     No global sort: rows are counted per day, then (timestamps only) per hour, minute and
     second of the one slice the cut falls in, and only that last slice is ordered. The
@@ -66,33 +71,47 @@ def first_rows_filter(df: DataFrame, count: int, time: str = "event_time") -> Co
     result is a filter of literals, so give a stored frame that is read repeatedly.
     """
     t, symbol = F.col(time), F.col("symbol")
+    whole_row = F.xxhash64(*[F.col(c) for c in sorted(df.columns)])
     daily = is_daily(df, time)
     left, inside, here = count, F.lit(False), F.lit(True)
     for step in ["day"] if daily else ["day", "hour", "minute", "second"]:
         # a bare date column can be filtered in the scan
         unit = t if daily else F.date_trunc(step, t)
-        boundary = None
+        boundary, found = None, False
         sizes = df.where(here).groupBy(unit.alias("u")).agg(F.count("*")).orderBy("u")
         for at, n in sizes.collect():
             if n > left:
-                boundary = at
+                boundary, found = at, True
                 break
             left -= n
-        if boundary is None:
+        if not found:
             return F.lit(True)
-        inside = inside | (here & (unit < F.lit(boundary)))
-        here = here & (unit == F.lit(boundary))
+        inside = inside | (here & _before(unit, boundary))
+        here = here & _same(unit, boundary)
         if left == 0:
             return inside
-    in_order = Window.partitionBy(unit).orderBy(t, symbol)
+        if boundary is None:
+            break
+    in_order = Window.partitionBy(unit).orderBy(t, symbol, whole_row)
     last = (
         df.where(here)
-        .select(t, symbol, F.row_number().over(in_order).alias("_rn"))
+        .select(t, symbol, whole_row, F.row_number().over(in_order).alias("_rn"))
         .where(F.col("_rn") == left)
         .first()
     )
-    at_time = F.lit(last[0])
-    return inside | (here & ((t < at_time) | ((t == at_time) & (symbol <= F.lit(last[1])))))
+    tied = _same(symbol, last[1]) & (whole_row <= F.lit(last[2]))
+    return inside | (
+        here & (_before(t, last[0]) | (_same(t, last[0]) & (_before(symbol, last[1]) | tied)))
+    )
+
+
+def _before(c: Column, value) -> Column:
+    """Strictly before ``value``, NULL first."""
+    return F.lit(False) if value is None else F.coalesce(c < F.lit(value), F.lit(True))
+
+
+def _same(c: Column, value) -> Column:
+    return c.isNull() if value is None else F.coalesce(c == F.lit(value), F.lit(False))
 
 
 def most_recent(df: DataFrame, rows: int, time: str = "event_time") -> DataFrame:

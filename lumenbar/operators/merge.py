@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -9,6 +10,8 @@ from pyspark.sql import functions as F
 
 from lumenbar.operators.panel import latest_per
 from lumenbar.schemas import INGEST_START_DATE
+from lumenbar.session import checkpoint_folder
+from lumenbar.sources.tables import table_exists
 
 
 def watermarks(existing: DataFrame, symbol: str = "symbol", time: str = "event_time") -> DataFrame:
@@ -38,21 +41,34 @@ def newer_than_watermark(
     return joined.where(fresh | unseen).drop("watermark")
 
 
+def one_per_key(
+    incoming: DataFrame, keys: Sequence[str], newest_by: str | None = None
+) -> DataFrame:
+    """Incoming rows with each key once: the newest by a column, else the largest row."""
+    rest = [c for c in incoming.columns if c not in keys]
+    order = ([newest_by] if newest_by else []) + [c for c in rest if c != newest_by]
+    return latest_per(incoming, keys, order or list(keys))
+
+
 def insert_only(existing: DataFrame, incoming: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Keyed upsert that ignores rows whose key exists."""
     keys = list(keys)
-    rest = [c for c in incoming.columns if c not in keys]
-    fresh = latest_per(incoming, keys, rest or keys).join(
+    fresh = one_per_key(incoming, keys).join(
         existing.select(*keys), keys, "left_anti"
     )
     return existing.unionByName(fresh, allowMissingColumns=True)
 
 
 def update_columns(
-    existing: DataFrame, incoming: DataFrame, keys: Sequence[str], columns: Sequence[str]
+    existing: DataFrame,
+    incoming: DataFrame,
+    keys: Sequence[str],
+    columns: Sequence[str],
+    newest_by: str | None = None,
 ) -> DataFrame:
     """Keyed upsert that overwrites only ``columns`` of existing rows."""
     keys = list(keys)
+    incoming = one_per_key(incoming, keys, newest_by)
     every = [c for c in existing.columns if c not in keys]
     new = incoming.select(
         *keys, *[F.col(c).alias(f"_new_{c}") for c in every if c in incoming.columns],
@@ -72,13 +88,57 @@ def update_columns(
     return joined.select(*keys, *[pick(c) for c in every]).select(*existing.columns)
 
 
-def replace_rows(existing: DataFrame, incoming: DataFrame, keys: Sequence[str]) -> DataFrame:
+def replace_rows(
+    existing: DataFrame, incoming: DataFrame, keys: Sequence[str], newest_by: str | None = None
+) -> DataFrame:
     """Keyed upsert that replaces whole rows; columns may be added."""
     keys = list(keys)
+    incoming = one_per_key(incoming, keys, newest_by)
     kept = existing.join(incoming.select(*keys), keys, "left_anti")
     return kept.unionByName(incoming, allowMissingColumns=True)
 
 
+def merge_partitions(
+    path: str,
+    incoming: DataFrame,
+    keys: Sequence[str],
+    partition: str,
+    newest_by: str | None = None,
+) -> int:
+    """Replacing upsert into a parquet table partitioned by ``partition`` (one of the keys).
+
+    Only partitions that ``incoming`` touches are read and rewritten; the others keep their
+    files. The merged rows are written beside the table first, in the shared folder, and
+    swapped in from there, so a failure before the swap leaves the table as it was, and the
+    table is never read by the job that overwrites it. Returns the partitions written.
+    """
+    if partition not in keys:
+        raise ValueError("the partition column must be one of the keys")
+    spark = incoming.sparkSession
+    # one value per calendar day or other partition
+    touched = [r[0] for r in incoming.select(partition).distinct().collect()]
+    if not touched:
+        return 0
+    if table_exists(spark, path):
+        stored = spark.read.parquet(path)
+        column = F.col(partition)
+        known = [v for v in touched if v is not None]
+        here = column.isin(known) if len(known) == len(touched) else column.isin(known) | column.isNull()
+        merged = replace_rows(stored.where(here), incoming, keys, newest_by)
+    else:
+        merged = one_per_key(incoming, keys, newest_by)
+    staged = f"{checkpoint_folder(spark)}/merge-{uuid.uuid4().hex}"
+    merged.write.parquet(staged)
+    (
+        spark.read.parquet(staged)
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy(partition)
+        .parquet(path)
+    )
+    return len(touched)
+
+
 def evolve(df: DataFrame, target: DataFrame) -> DataFrame:
     """Add the columns of ``target`` that ``df`` lacks, as NULL."""
     return df.unionByName(target.limit(0), allowMissingColumns=True)

@@ -27,14 +27,14 @@ def roc_auc(
     in_bin = Window.partitionBy(*keys, "_bin").orderBy("_p")
     below = F.sum("_neg").over(in_bin) - F.col("_neg")
     bins = (
-        distinct.withColumn("_won", F.col("_pos") * (below + F.col("_neg") / 2))
+        distinct.withColumn("_won", F.col("_pos").cast("double") * (below + F.col("_neg") / 2))
         .groupBy(*keys, "_bin")
         .agg(F.sum("_won").alias("_won"), F.sum("_pos").alias("_pos"), F.sum("_neg").alias("_neg"))
     )
     along = Window.partitionBy(*keys).orderBy("_bin")
     lower = F.sum("_neg").over(along) - F.col("_neg")
     return (
-        bins.withColumn("_won", F.col("_won") + F.col("_pos") * lower)
+        bins.withColumn("_won", F.col("_won") + F.col("_pos").cast("double") * lower)
         .groupBy(*keys)
         .agg(
             F.try_divide(

@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 
 SEGMENT = "_segment"
 ROWS_PER_SEGMENT = 1_000_000
+BUCKETS = ["day", "hour", "minute", "second"]
 
 Compute = Callable[[DataFrame, list[str]], DataFrame]
 
@@ -39,7 +40,8 @@ def per_series(
     """Run ``compute(df, partition_columns)`` over every series.
 
     ``lookback`` / ``lookahead``: how many rows before / after a row ``compute``
-    may read. Rows must have non-null keys.
+    may read. A NULL symbol is a series of its own and a NULL time comes first in its
+    series, for dates and timestamps alike.
     """
     if is_daily(df, time):
         return compute(df, [symbol])
@@ -61,11 +63,16 @@ def split_series(
     """Adds ``_segment`` and ``_owned``; rows near a cut are copied to the neighbour.
 
     Row counts per (symbol, time bucket) are pre-aggregated in the map tasks; only
-    that count table is ordered per symbol. A segment is a run of whole buckets.
+    that count table is ordered per symbol. A segment is a run of whole buckets, so the
+    bucket is refined, down to seconds, until none holds more rows than a segment.
     """
     if rows_per_segment < max(lookback, lookahead, 1):
         raise ValueError("a segment must hold at least as many rows as a frame reaches")
-    rows = df.withColumn("_bucket", F.date_trunc(bucket, F.col(time)))
+    for unit in BUCKETS[BUCKETS.index(bucket) :]:
+        rows = df.withColumn("_bucket", F.date_trunc(unit, F.col(time)))
+        fullest = rows.groupBy(symbol, "_bucket").count().agg(F.max("count")).first()[0]
+        if (fullest or 0) <= rows_per_segment:
+            break
     by_bucket = Window.partitionBy(symbol).orderBy("_bucket")
     counts = (
         rows.groupBy(symbol, "_bucket")
@@ -98,14 +105,25 @@ def split_series(
                 F.col("_start") - F.col(f"_prev{step}_edge") < lookahead, F.col(f"_prev{step}")
             )
         )
-    plan = counts.join(segments, [symbol, SEGMENT]).select(
-        symbol, "_bucket", F.col(SEGMENT).alias("_home"), F.array_compact(F.array(*targets)).alias("_to")
+    segments = segments.select(
+        F.col(symbol).alias("_s"), F.col(SEGMENT).alias("_g"), *segments.columns[2:]
+    )
+    plan = counts.join(
+        segments, F.col(symbol).eqNullSafe(F.col("_s")) & (F.col(SEGMENT) == F.col("_g"))
+    ).select(
+        F.col(symbol).alias("_p_symbol"),
+        F.col("_bucket").alias("_p_bucket"),
+        F.col(SEGMENT).alias("_home"),
+        F.array_compact(F.array(*targets)).alias("_to"),
+    )
+    here = F.col(symbol).eqNullSafe(F.col("_p_symbol")) & F.col("_bucket").eqNullSafe(
+        F.col("_p_bucket")
     )
     return (
-        rows.join(plan, [symbol, "_bucket"])
+        rows.join(plan, here)
         .withColumn(SEGMENT, F.explode("_to"))
         .withColumn("_owned", F.col(SEGMENT) == F.col("_home"))
-        .drop("_bucket", "_home", "_to")
+        .drop("_bucket", "_home", "_to", "_p_symbol", "_p_bucket")
     )
 
 

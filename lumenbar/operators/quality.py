@@ -23,14 +23,14 @@ def quality_profile(
     keys: Sequence[str],
     as_of: str,
     value_column: str | None = None,
-    approximate_distinct: bool = False,
+    exact_distinct: Sequence[str] = (),
 ) -> DataFrame:
     """One profile row: row, key and null counts, per-column statistics, scores, issues.
 
-    One wide aggregate for the columns, one key count. Exact distinct counts per column
-    expand the rows once per column; ``approximate_distinct`` replaces them by sketches.
+    One wide aggregate for the columns, one key count. Distinct values of a column are
+    sketched in the wide aggregate, except in ``exact_distinct``: exact counts expand the
+    rows once per named column.
     """
-    distinct = F.approx_count_distinct if approximate_distinct else F.count_distinct
     columns = df.columns
     numeric = {f.name for f in df.schema if isinstance(f.dataType, T.NumericType)}
     any_null = F.lit(False)
@@ -43,6 +43,8 @@ def quality_profile(
             F.min(c).cast("string").alias(f"_min_{c}"),
             F.max(c).cast("string").alias(f"_max_{c}"),
         ]
+        if c not in exact_distinct:
+            aggs.append(F.approx_count_distinct(c).alias(f"_dist_{c}"))
     v = F.col(value_column).cast("double") if value_column else F.lit(None).cast("double")
     aggs += [
         F.min(v).alias("min_value"),
@@ -52,10 +54,12 @@ def quality_profile(
     ]
     wide = df.agg(*aggs)
     # exact distinct values column by column: each merges in the map tasks on its own key
-    counted = df.agg(*[distinct(c).alias(f"_dist_{c}") for c in columns])
+    exact = [F.count_distinct(c).alias(f"_dist_{c}") for c in columns if c in exact_distinct]
     unique = df.select(*keys).distinct().agg(F.count("*").alias("unique_rows"))
-    # all three are one row
-    joined = wide.crossJoin(F.broadcast(counted)).crossJoin(F.broadcast(unique))
+    # all of them are one row
+    joined = wide.crossJoin(F.broadcast(unique))
+    if exact:
+        joined = joined.crossJoin(F.broadcast(df.agg(*exact)))
 
     total = F.col("total_rows")
     nulls = sum((F.col(f"_null_{c}") for c in columns[1:]), F.col(f"_null_{columns[0]}"))

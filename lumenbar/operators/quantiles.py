@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumenbar.functions.nulls import finite_or_null
+
 # Bins per e-fold of magnitude: a bin is about 0.006 % wide.
 BINS_PER_E = 16384
 
@@ -23,11 +25,11 @@ def order_bin(value: Column, bins_per_e: int = BINS_PER_E) -> Column:
 def unpivot_values(
     df: DataFrame, columns: Sequence[str], keys: Sequence[str] = ()
 ) -> DataFrame:
-    """One (feature, value) row per non-missing value."""
+    """One (feature, value) row per finite value."""
     long = df.select(*keys, *[F.col(c).cast("double").alias(c) for c in columns]).unpivot(
         list(keys), list(columns), "feature", "value"
     )
-    return long.where(F.col("value").isNotNull() & ~F.isnan("value"))
+    return long.where(finite_or_null(F.col("value")).isNotNull())
 
 
 def exact_quantiles(

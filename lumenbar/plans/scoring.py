@@ -50,8 +50,8 @@ def generate_signals(
 ) -> DataFrame:
     """Scores the latest eligible rows and merges them into the existing signal table.
 
-    Model inputs are filled with 0 where missing; the price columns of the risk
-    formulas see the same filled values.
+    Base features are filled with 0 where missing, and the risk formulas see the filled
+    values; a trained artifact fills whatever other features it has by itself.
     """
     names = [c for c in (model_features or FEATURES) if c in features.columns]
     latest = eligible_latest(features).fillna(0.0, subset=names)

@@ -6,7 +6,7 @@ import json
 import uuid
 from collections.abc import Sequence
 from dataclasses import asdict, dataclass, field
-from datetime import datetime
+from datetime import datetime, timezone
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (
@@ -27,7 +27,7 @@ from lumenbar.operators.labels import (
     training_profile,
     training_rows,
 )
-from lumenbar.operators.metrics import candidate_order, classification_metrics
+from lumenbar.operators.metrics import candidate_order, class_report, classification_metrics
 from lumenbar.operators.panel import latest_per
 from lumenbar.operators.quantiles import outlier_rate, winsorize
 from lumenbar.schemas import FEATURES, HORIZONS, MODEL_NAMES, NAV_FEATURES
@@ -62,6 +62,10 @@ class TrainingSettings:
     max_outlier_rate: float = 0.20
     max_source_age_days: float = 10
     calibration_fraction: float = 0.15
+    # Below any of these the model stays uncalibrated, and its metadata say so.
+    calibration_min_total: int = 3000
+    calibration_min_held: int = 800
+    calibration_min_fit: int = 1500
     ensemble: bool = True
     # Row limits of a single machine; None keeps every row.
     max_rows: int | None = None
@@ -75,6 +79,7 @@ class Component:
     calibrator: LogisticRegressionModel | None = None
     weight: float = 1.0
     calibration_rows: int = 0
+    calibration: str = "none"
 
 
 @dataclass
@@ -90,15 +95,20 @@ class Artifact:
         return "ensemble" if len(self.components) > 1 else "single"
 
     def score(self, df: DataFrame, out: str = "prob") -> DataFrame:
+        """Adds the probability; the model's own features are read with 0 where missing."""
         if not self.components:
             return df.withColumn(out, F.lit(0.0))
+        given = df.columns
+        own = [f for f in self.features if f in given]
+        df = df.withColumns({f"_given_{f}": F.col(f) for f in own}).fillna(0.0, subset=own)
         columns, parts, total = df.columns, [], 0.0
         for i, component in enumerate(self.components):
             df = component_score(df, component, f"_part{i}")
             parts.append(F.col(f"_part{i}") * component.weight)
             total += component.weight
         vote = sum(parts[1:], parts[0]) / total
-        return df.withColumn(out, clip(vote, 0.0, 1.0)).select(*columns, out)
+        back = [F.col(f"_given_{c}").alias(c) if c in own else F.col(c) for c in given]
+        return df.select(*back, clip(vote, 0.0, 1.0).alias(out))
 
 
 def component_score(df: DataFrame, component: Component, out: str) -> DataFrame:
@@ -193,10 +203,16 @@ class CalibrationFrames:
     held: int = 0
 
 
-def calibration_frames(df: DataFrame, rows: int, fraction: float) -> CalibrationFrames:
+def calibration_frames(
+    df: DataFrame, rows: int, settings: TrainingSettings = TrainingSettings()
+) -> CalibrationFrames:
     """Splits a stored frame of ``rows`` rows; too small a frame is kept whole."""
-    held = int(rows * fraction)
-    if rows < 3000 or held < 800 or rows - held < 1500:
+    held = int(rows * settings.calibration_fraction)
+    if (
+        rows < settings.calibration_min_total
+        or held < settings.calibration_min_held
+        or rows - held < settings.calibration_min_fit
+    ):
         return CalibrationFrames(df, None, rows)
     older = first_rows_filter(df, rows - held)
     return CalibrationFrames(df.where(older), df.where(~older), rows - held, held)
@@ -212,7 +228,7 @@ def fit_calibrated(
     """Fit on the older rows and Platt-calibrate on the held ones, when there are any."""
     model = fit_model(frames.fit, name, features, frames.fit_rows, horizon, settings.models)
     if frames.recent is None:
-        return Component(name, model)
+        return Component(name, model, calibration="too_few_rows")
     calibrator = None
     if frames.recent.select("target").distinct().count() == 2:
         raw = model.transform(frames.recent).select(
@@ -229,7 +245,10 @@ def fit_calibrated(
             regParam=1.0 / frames.held,
             standardization=False,
         ).fit(_calibration_input(with_class_weights(raw)))
-    return Component(name, model, calibrator, calibration_rows=frames.held)
+    outcome = "one_class" if calibrator is None else "platt"
+    return Component(
+        name, model, calibrator, calibration_rows=frames.held, calibration=outcome
+    )
 
 
 def active_features(df: DataFrame) -> list[str]:
@@ -244,7 +263,9 @@ def _gate_source(df: DataFrame, features: Sequence[str], as_of: datetime, limit:
     newest = df.agg(F.unix_micros(F.max("event_time").cast("timestamp"))).first()[0]
     if newest is None:
         return "freshness_gate_failed_no_event_time", "ok", ""
-    seconds = as_of.timestamp() - newest / 1e6
+    # the table's times are UTC; so is a time without a zone
+    at = as_of if as_of.tzinfo else as_of.replace(tzinfo=timezone.utc)
+    seconds = at.timestamp() - newest / 1e6
     age = seconds / 86400.0
     if age > limit:
         return (
@@ -321,12 +342,14 @@ def train_horizon(
     sample = older
     if sample_rows < older_rows:
         sample = older.where(~first_rows_filter(older, older_rows - sample_rows))
-    ranking, fitted = rank_candidates(sample, sample_rows, newer, features, horizon, settings)
+    ranking, fitted, failed = rank_candidates(
+        sample, sample_rows, newer, features, horizon, settings
+    )
     if not ranking:
         return fallback("all_candidate_models_failed")
     chosen = ranking[: 2 if settings.ensemble else 1]
     weights = {r["model_name"]: max(0.01, float(r["roc_auc"] or 0.01)) for r in chosen}
-    frames = calibration_frames(clean, rows, settings.calibration_fraction)
+    frames = calibration_frames(clean, rows, settings)
     components = []
     for name, weight in weights.items():
         fitted[name].weight = weight
@@ -351,7 +374,15 @@ def train_horizon(
         "freshness_check": fresh_msg,
         "outlier_rate_pre_winsor": rate,
         "outlier_rate_post_winsor": rate_after,
-        "candidate_leaderboard": [r.asDict() for r in ranking],
+        "candidate_leaderboard": [{**r.asDict(), "status": "ok"} for r in ranking] + failed,
+        "calibration": {c.name: c.calibration for c in components},
+        "class_report": [
+            r.asDict()
+            for r in class_report(
+                artifact.score(newer).withColumn("pred", (F.col("prob") >= 0.5).cast("int"))
+            ).collect()
+        ],
+        "settings": settings_record(settings),
         "selected_model_type": chosen[0]["model_name"],
         "selected_models": list(weights),
         "model_kind": artifact.kind,
@@ -370,11 +401,13 @@ def rank_candidates(
     settings: TrainingSettings,
 ):
     """Fit every candidate, score the hold-out rows, rank. One metrics job for all."""
-    frames = calibration_frames(train, train_rows, settings.calibration_fraction)
-    fitted = {
-        name: fit_calibrated(frames, name, features, horizon, settings)
-        for name in dict.fromkeys(settings.candidates)
-    }
+    frames = calibration_frames(train, train_rows, settings)
+    fitted, failed = {}, []
+    for name in dict.fromkeys(settings.candidates):
+        try:
+            fitted[name] = fit_calibrated(frames, name, features, horizon, settings)
+        except Exception as failure:  # one candidate must not end the others
+            failed.append({"model_name": name, "status": "failed", "reason": str(failure)})
     scored = None
     for name, component in fitted.items():
         part = component_score(test, component, "prob").select(
@@ -382,12 +415,12 @@ def rank_candidates(
         )
         scored = part if scored is None else scored.unionByName(part)
     if scored is None:
-        return [], {}
+        return [], {}, failed
     table = classification_metrics(scored, ["model_name"]).orderBy(
         *candidate_order(), "model_name"
     )
     # one row per candidate
-    return table.collect(), fitted
+    return table.collect(), fitted, failed
 
 
 def train_all_horizons(
@@ -413,6 +446,7 @@ def save_artifact(spark: SparkSession, artifact: Artifact, path: str) -> None:
                 "weight": c.weight,
                 "calibrated": c.calibrator is not None,
                 "calibration_rows": c.calibration_rows,
+                "calibration": c.calibration,
             }
         )
     body = {
@@ -434,7 +468,7 @@ def load_artifact(spark: SparkSession, path: str) -> Artifact:
             LogisticRegressionModel.load(f"{path}/calibrator_{i}") if c["calibrated"] else None
         )
         model = PipelineModel.load(f"{path}/model_{i}")
-        parts.append(Component(c["name"], model, calibrator, c["weight"], c["calibration_rows"]))
+        parts.append(Component(c["name"], model, calibrator, c["weight"], c["calibration_rows"], c["calibration"]))
     return Artifact(body["features"], parts, body["metadata"])
 
 

@@ -15,7 +15,8 @@ from lumenbar.operators.backtest import (
     horizon_summary,
     recommended_threshold,
     regime_performance,
-    threshold_sweep,
+    sweep_means,
+    threshold_sweep_splits,
 )
 from lumenbar.operators.drift import drift_summary, drift_windows, feature_drift, value_counts
 from lumenbar.operators.labels import validation_rows
@@ -46,6 +47,12 @@ class ValidationSettings:
     embargo_days: int = 0
 
 
+SPLIT_FACTS = (
+    "split", "train_end", "test_start", "test_end", "train_rows", "test_rows",
+    "train_positives", "overlap_rows", "date_violation",
+)
+
+
 def clean_thresholds(values: Sequence[float] | None) -> list[float]:
     """Distinct thresholds inside (0, 1), rounded to four digits, ascending."""
     kept = sorted({round(float(v), 4) for v in values or SWEEP_THRESHOLDS if 0 < float(v) < 1})
@@ -69,6 +76,8 @@ class HorizonResult:
     regimes: DataFrame | None = None
     thresholds: DataFrame | None = None
     model_compare: DataFrame | None = None
+    threshold_splits: DataFrame | None = None
+    failures: tuple[dict, ...] = ()
     drift: DataFrame | None = None
     drift_summary: DataFrame | None = None
 
@@ -86,10 +95,16 @@ def usable_splits(labelled: DataFrame, settings: ValidationSettings) -> list:
 
 
 def predict_splits(
-    labelled: DataFrame, checks: Sequence, horizon: str, settings: ValidationSettings
+    labelled: DataFrame,
+    checks: Sequence,
+    horizon: str,
+    settings: ValidationSettings,
+    failures: list[dict] | None = None,
 ) -> DataFrame | None:
     """Test-window probabilities of every model and split.
 
+    A fit that fails is noted in ``failures`` and leaves the others alone.
+
     The driver loops over fits only (each fit is distributed); all predictions are
     evaluated together and checkpointed, so metrics do not replay the models.
     """
@@ -108,9 +123,17 @@ def predict_splits(
             (day >= F.lit(check["test_start"])) & (day <= F.lit(check["test_end"]))
         )
         for name in settings.candidates:
-            model = fit_model(
-                train, name, settings.features, check["train_rows"], horizon, settings.models
-            )
+            try:
+                model = fit_model(
+                    train, name, settings.features, check["train_rows"], horizon, settings.models
+                )
+            except Exception as failure:
+                if failures is None:
+                    raise
+                failures.append(
+                    {"model_type": name, "split": int(check["split"]), "reason": str(failure)}
+                )
+                continue
             scored = component_score(test, Component(name, model), "prob").select(
                 F.lit(name).alias("model_type"),
                 F.lit(int(check["split"])).alias("split"),
@@ -136,14 +159,15 @@ def evaluate_predictions(
         "splits": classification_metrics(predictions, by_split).join(stats, by_split),
         "buckets": confidence_buckets(predictions, by_split),
         "regimes": regime_performance(predictions, by_split, settings.top_n, settings.min_prob),
-        "thresholds": threshold_sweep(
+        "threshold_splits": (by_threshold := threshold_sweep_splits(
             predictions,
             bars_ahead,
             ["model_type"],
             clean_thresholds(settings.thresholds),
             settings.top_n,
             settings.cost_bps,
-        ),
+        )),
+        "thresholds": sweep_means(by_threshold, ["model_type"]),
     }
 
 
@@ -177,14 +201,21 @@ def _evaluate_labelled(
     checks = usable_splits(labelled, settings)
     if not checks:
         return HorizonResult(horizon, "insufficient_history", rows)
-    predictions = predict_splits(labelled, checks, horizon, settings)
+    failures: list[dict] = []
+    predictions = predict_splits(labelled, checks, horizon, settings, failures)
     if predictions is None:
-        return HorizonResult(horizon, "no_valid_splits", rows)
+        status = "all_candidate_models_failed" if failures else "no_valid_splits"
+        return HorizonResult(horizon, status, rows, failures=tuple(failures))
+    # one row per split: its dates, sizes and leakage checks
+    facts = labelled.sparkSession.createDataFrame(checks).select(*SPLIT_FACTS)
     frames = evaluate_predictions(predictions, bars_ahead, settings)
+    frames["splits"] = frames["splits"].join(F.broadcast(facts), "split")
+    broken = sorted({f["model_type"] for f in failures})
     compare = horizon_summary(frames["splits"], ["model_type"]).withColumn(
-        "candidate_status", F.lit("ok")
+        "candidate_status",
+        F.when(F.col("model_type").isin(broken), "failed").otherwise("ok") if broken else F.lit("ok"),
     )
-    order = candidate_order("avg_roc_auc", "avg_brier", "avg_f1")
+    order = candidate_order("avg_roc_auc", "avg_brier", "avg_f1", "candidate_status")
     best = compare.orderBy(*order, "model_type").first()["model_type"]
     recommended = (
         recommended_threshold(frames["thresholds"], ["model_type"])
@@ -204,6 +235,8 @@ def _evaluate_labelled(
         frames["regimes"].where(selected),
         frames["thresholds"].where(selected),
         compare.withColumn("selected_model_type", F.lit(best)),
+        frames["threshold_splits"].where(selected),
+        tuple(failures),
     )
 
 
@@ -216,7 +249,12 @@ def run_walk_forward(
     horizons: Sequence[str] = tuple(HORIZONS),
 ) -> dict[str, HorizonResult]:
     """Every horizon; with ``output`` the report (JSON and CSV tables) is written too."""
-    results = {h: evaluate_horizon(table, h, settings) for h in horizons}
+    results = {}
+    for h in horizons:
+        try:
+            results[h] = evaluate_horizon(table, h, settings)
+        except Exception as failure:  # one horizon must not end the others
+            results[h] = HorizonResult(h, "load_failed", failures=({"reason": str(failure)},))
     if output:
         write_report(
             output,
@@ -262,7 +300,7 @@ def _floats(values: dict, field_name: str) -> dict:
 def _csv_parts(results) -> dict[str, DataFrame]:
     parts: dict[str, DataFrame] = {}
     for h, r in results.items():
-        for name in ("splits", "buckets", "regimes", "thresholds", "model_compare", "drift"):
+        for name in ("splits", "buckets", "regimes", "thresholds", "threshold_splits", "model_compare", "drift"):
             frame = getattr(r, name)
             if frame is None:
                 continue

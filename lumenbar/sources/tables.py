@@ -11,10 +11,10 @@ from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
 
 
-def jdbc_partitions(rows: int | None, cap: int | None = 8) -> int:
+def jdbc_partitions(rows: int | None, cap: int | None = None) -> int:
     """Read partitions for a row count: one per sqrt(rows / 100,000), at most ``cap``.
 
-    ``cap`` limits the connections one database gets; pass None to lift it.
+    ``cap`` limits the connections one database gets; None is no limit.
     """
     if rows is None:
         return 3
@@ -28,7 +28,7 @@ def read_jdbc(
     table: str,
     key: str = "id",
     properties: dict[str, str] | None = None,
-    cap: int | None = 8,
+    cap: int | None = None,
 ) -> DataFrame:
     """Range-partitioned read on ``key``; one partition when the bounds are unknown."""
     props = dict(properties or {})

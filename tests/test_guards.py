@@ -188,7 +188,7 @@ def test_run_status(spark):
 
 def test_quality_gate(spark):
     df = spark.createDataFrame([(1, "a", 1.0), (2, None, 2.0), (2, "b", 3.0), (3, "c", None)], "k int, t string, v double")
-    p = quality.quality_profile(df, "t1", ["k"], "2024-01-01", "v")
+    p = quality.quality_profile(df, "t1", ["k"], "2024-01-01", "v", ["k"])
     row = p.first()
     assert (row.total_rows, row.unique_rows, row.duplicate_rows, row.null_rows) == (4, 3, 1, 2)
     assert row.data_completeness_percent == pytest.approx(83.33) and row.mean_value == 2.0

@@ -20,8 +20,8 @@ def con():
     return c
 
 
-def test_every_query_but_the_trained_ones_has_sql():
-    assert set(registered()) - set(entry.oracle_sql()) == SLOW
+def test_every_query_has_sql():
+    assert not set(registered()) - set(entry.oracle_sql())
 
 
 @pytest.mark.parametrize("name", NAMES)

@@ -107,7 +107,8 @@ def test_constituents_csv(spark, tmp_path):
 
 
 def test_jdbc_partitions():
-    assert [tables.jdbc_partitions(n) for n in (None, 0, 100_000, 2_800_000, 10**9)] == [3, 1, 1, 5, 8]
+    assert [tables.jdbc_partitions(n) for n in (None, 0, 100_000, 2_800_000, 10**9)] == [3, 1, 1, 5, 100]
+    assert tables.jdbc_partitions(10**9, cap=8) == 8
 
 
 def test_missing_table_is_empty(spark, tmp_path):
