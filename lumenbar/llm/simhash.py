@@ -334,12 +334,21 @@ def keep_one(
 ) -> DataFrame:
     """The rows with the smallest id of each near-duplicate group, with all columns.
 
-    Ids are unique here, as after exact dedup; rows that share the smallest id all stay.
-    Rows without an id cannot be told apart and stay.
+    A row is known by its id and its text's hash, so rows of different texts that share an
+    id are rows of their own; NULL comes before all ids. Rows that repeat id and text stay
+    or go together: exact copies are for exact dedup.
     """
-    groups = near_duplicate_groups(docs, id_col, text_col, words, distance, lanes, width)
-    gone = groups.where(F.col(id_col) != F.col("component_id")).select(
-        F.col(id_col).alias(free_name(docs, "gone"))
+    content = F.xxhash64(whole(F.col(text_col)))
+    keyed = docs.select(
+        F.struct(F.col(id_col).alias("id"), content.alias("h")).alias("key"),
+        F.col(text_col).alias("text"),
     )
-    mark = gone.columns[0]
-    return docs.join(gone.distinct(), F.col(id_col) == F.col(mark), "left_anti")
+    groups = near_duplicate_groups(keyed, "key", "text", words, distance, lanes, width)
+    h, gone_id, gone_h = (free_name(docs, n) for n in ("h", "gone_id", "gone_h"))
+    gone = (
+        groups.where(F.col("key") != F.col("component_id"))
+        .select(F.col("key.id").alias(gone_id), F.col("key.h").alias(gone_h))
+        .distinct()
+    )
+    same = F.col(id_col).eqNullSafe(F.col(gone_id)) & (F.col(h) == F.col(gone_h))
+    return docs.withColumn(h, content).join(gone, same, "left_anti").drop(h)
