@@ -17,7 +17,7 @@ from lumenbar.operators.panel import growth_as_of, latest_per
 from lumenbar.operators.panel import symbol_history as history_of
 from lumenbar.plans import scoring, serving, training, walkforward
 from lumenbar.schemas import FEATURES, HORIZONS, NAV_FEATURES
-from lumenbar.session import cut_lineage
+from lumenbar.session import stored
 from lumenbar.sources import payloads, reports
 from lumenbar.sources.tables import key_bounds
 from lumenbar.sources.testdata import audit_log, bars, logistic_score, table
@@ -57,7 +57,7 @@ def features(spark: SparkSession, d: str) -> DataFrame:
 
 def silver(spark: SparkSession, d: str) -> DataFrame:
     """The feature table as a job would store it, for queries that read it repeatedly."""
-    return cut_lineage(features(spark, d))
+    return stored(features(spark, d))
 
 
 def labelled(spark: SparkSession, d: str, horizon: str = "1y") -> DataFrame:
@@ -73,7 +73,7 @@ def scored(spark: SparkSession, d: str, horizon: str = "1y") -> DataFrame:
         "realized_return",
         logistic_score(F.col("rsi_14")).alias("prob"),
     )
-    return cut_lineage(rows)
+    return stored(rows)
 
 
 def split_scored(spark: SparkSession, d: str) -> DataFrame:
@@ -349,7 +349,8 @@ def _training(spark, d):
 
 def _stored_training(spark, d):
     """The training frame as the training job keeps it."""
-    return cut_lineage(_training(spark, d).select(*BAR_KEYS, "close", "target", *FEATURES))
+    rows = _training(spark, d).select(*BAR_KEYS, "close", "target", *FEATURES)
+    return stored(rows, "event_time")
 
 
 def training_profile(spark, d):
@@ -503,7 +504,7 @@ def _drift_windows(spark, d):
 
 
 def _drift_counts(windows):
-    return cut_lineage(drift.value_counts(windows, FEATURES))
+    return stored(drift.value_counts(windows, FEATURES))
 
 
 def drift_psi(spark, d):
@@ -609,8 +610,8 @@ def _brands(spark, d):
 
 
 def validation_summary(spark, d):
-    stored = cut_lineage(_symbol_reports(spark, d))
-    rows = reports.with_regimes(reports.report_rows(stored, _brands(spark, d)))
+    filed = stored(_symbol_reports(spark, d))
+    rows = reports.with_regimes(reports.report_rows(filed, _brands(spark, d)))
     return rows.select(
         "asset_class", "source_table", "horizon", "status", "selected_model_type",
         "recommended_min_prob", "avg_roc_auc", "avg_f1", "avg_brier", "avg_hit_rate",
@@ -621,7 +622,7 @@ def validation_summary(spark, d):
 
 
 def validation_lines(spark, d):
-    rows = reports.report_rows(cut_lineage(_symbol_reports(spark, d)), _brands(spark, d))
+    rows = reports.report_rows(stored(_symbol_reports(spark, d)), _brands(spark, d))
     return reports.validation_lines(reports.with_regimes(rows, missing_as_zero=True))
 
 
@@ -630,7 +631,7 @@ def validation_lines(spark, d):
 
 def promotion_gate(spark, d):
     brands = _brands(spark, d)
-    rows = reports.report_rows(cut_lineage(_symbol_reports(spark, d)), brands).where(
+    rows = reports.report_rows(stored(_symbol_reports(spark, d)), brands).where(
         F.col("generated_at").isNotNull()
     )
     return guards.promotion_gate(
@@ -958,7 +959,7 @@ def walk_forward_ml(spark, d):
     rows = labelled(spark, d).select(
         "symbol", "event_date", "target", "realized_return", *FEATURES
     )
-    rows = cut_lineage(rows)
+    rows = stored(rows, "event_date")
     checks = walkforward.usable_splits(rows, settings)
     facts = ["train_end", "test_start", "test_end", "train_rows", "test_rows", "train_positives",
              "overlap_rows", "date_violation"]

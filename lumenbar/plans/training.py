@@ -31,7 +31,7 @@ from lumenbar.operators.metrics import candidate_order, class_report, classifica
 from lumenbar.operators.panel import latest_per
 from lumenbar.operators.quantiles import outlier_rate, winsorize
 from lumenbar.schemas import FEATURES, HORIZONS, MODEL_NAMES, NAV_FEATURES
-from lumenbar.session import cut_lineage
+from lumenbar.session import stored
 
 FALLBACK = "dummy_constant_0"
 
@@ -321,7 +321,7 @@ def train_horizon(
     )
     if settings.max_rows:
         labelled = most_recent(labelled, settings.max_rows)
-    labelled = cut_lineage(labelled)
+    labelled = stored(labelled, "event_time")
     profile = training_profile(labelled).first()
     reason = _gate_profile(profile, settings, spec.bars_ahead)
     if reason:
@@ -329,7 +329,7 @@ def train_horizon(
     rate = float(outlier_rate(labelled, features).first()[0])
     if rate > settings.max_outlier_rate:
         return fallback(f"outlier_rate_{rate:.4f}_gt_{settings.max_outlier_rate}")
-    clean = cut_lineage(winsorize(labelled, features))
+    clean = stored(winsorize(labelled, features), "event_time")
     rate_after = float(outlier_rate(clean, features).first()[0])
     rows = int(profile["row_count"])
     older_rows = int(rows * 0.8)

@@ -24,7 +24,7 @@ from lumenbar.operators.metrics import candidate_order, classification_metrics
 from lumenbar.operators.splits import leakage_checks, walk_forward_splits
 from lumenbar.plans.training import Component, ModelSettings, component_score, fit_model
 from lumenbar.schemas import FEATURES, HORIZONS, MODEL_NAMES, REPORT_SCHEMA, SWEEP_THRESHOLDS
-from lumenbar.session import cut_lineage
+from lumenbar.session import new_folder, stored
 from lumenbar.sources.reports import write_report
 
 
@@ -105,10 +105,11 @@ def predict_splits(
 
     A fit that fails is noted in ``failures`` and leaves the others alone.
 
-    The driver loops over fits only (each fit is distributed); all predictions are
-    evaluated together and checkpointed, so metrics do not replay the models.
+    The driver loops over fits only (each fit is distributed). Each one's predictions are
+    appended to one table in the shared folder, so metrics do not replay the models.
     """
-    parts = None
+    spark = labelled.sparkSession
+    path, schema = new_folder(spark), None
     for check in checks:
         one_class = check["train_positives"] in (0, check["train_rows"])
         bad = check["date_violation"] or check["overlap_rows"] > 0 or check["test_rows"] == 0
@@ -143,8 +144,9 @@ def predict_splits(
                 "realized_return",
                 "prob",
             )
-            parts = scored if parts is None else parts.unionByName(scored)
-    return None if parts is None else cut_lineage(parts)
+            scored.write.mode("append").parquet(path)
+            schema = scored.schema
+    return None if schema is None else spark.read.schema(schema).parquet(path)
 
 
 def evaluate_predictions(
@@ -175,18 +177,19 @@ def evaluate_horizon(
     table: DataFrame, horizon: str, settings: ValidationSettings = ValidationSettings()
 ) -> HorizonResult:
     spec = HORIZONS[horizon]
-    labelled = cut_lineage(
+    labelled = stored(
         validation_rows(table, spec, settings.features).select(
             "symbol", "event_date", "target", "realized_return", *settings.features
-        )
+        ),
+        "event_date",
     )
     result = _evaluate_labelled(labelled, horizon, spec.bars_ahead, settings)
     windows = drift_windows(labelled, settings.drift_recent_days, settings.drift_baseline_days)
     # five reads of the counts follow
-    counts = cut_lineage(value_counts(windows, settings.features))
+    counts = stored(value_counts(windows, settings.features))
     # a row per feature, and one row
-    result.drift = cut_lineage(feature_drift(counts, settings.drift_min_samples))
-    result.drift_summary = cut_lineage(
+    result.drift = stored(feature_drift(counts, settings.drift_min_samples))
+    result.drift_summary = stored(
         drift_summary(windows, result.drift, settings.drift_min_samples)
     )
     return result
