@@ -21,7 +21,7 @@ from lumenbar.sources.testdata import table
 
 
 def op1_harmonic_packing(spark: SparkSession, folder: str) -> DataFrame:
-    return packing.pack(table(spark, folder, "documents"))
+    return packing.pack(table(spark, folder, "documents"), added_tokens=True)
 
 
 def op2_recurrent_scoring(spark: SparkSession, folder: str) -> DataFrame:

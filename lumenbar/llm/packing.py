@@ -14,6 +14,7 @@ are read.
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -37,6 +38,11 @@ def cuts(n: int, capacity: int = CAPACITY) -> list[int]:
     return [capacity] * (n // capacity) + low
 
 
+#: tiktoken's pattern tries every end of a white-space run and panics on very long ones; a
+#: text with a run of so many characters is encoded by tokenizers.
+LONG_RUN = 10_000
+
+
 def encoder(ranks_path: str, pattern: str):
     """Byte-level BPE with the same vocabulary and ids as the tokenizers file, about four
     times as fast; strings of special tokens in a text are ordinary text."""
@@ -51,16 +57,50 @@ def encoder(ranks_path: str, pattern: str):
     )
 
 
-def public_vocabulary() -> tuple[str, str]:
-    """(file of ranks, split pattern) of the 50k byte-level vocabulary on this worker."""
+def encode_as_file(ranks_path: str, pattern: str, json_path: str, added_tokens: bool = True):
+    """Function from text to the ids of the tokenizers file, without added ids around them.
+
+    Strings of the file's added tokens become their ids, or are ordinary text without
+    ``added_tokens``; what lies between them is encoded by tiktoken.
+    """
+    from tokenizers import Tokenizer
+
+    slow = Tokenizer.from_file(json_path)
+    slow.encode_special_tokens = not added_tokens
+    ordinary = encoder(ranks_path, pattern).encode_ordinary
+    added = {} if not added_tokens else {t.content: i for i, t in slow.get_added_tokens_decoder().items()}
+    for t in slow.get_added_tokens_decoder().values():
+        if t.lstrip or t.rstrip or t.single_word or t.normalized:
+            return lambda text: slow.encode(text, add_special_tokens=False).ids
+    names = sorted(added, key=len, reverse=True)
+    split = re.compile("(" + "|".join(map(re.escape, names)) + ")").split if added else None
+    long_run = re.compile(rf"\s{{{LONG_RUN}}}").search
+
+    def encode(text: str) -> list[int]:
+        if len(text) >= LONG_RUN and long_run(text):
+            return slow.encode(text, add_special_tokens=False).ids
+        if not any(name in text for name in names):
+            return ordinary(text)
+        ids = []
+        for i, part in enumerate(split(text)):
+            ids += [added[part]] if i % 2 else ordinary(part)
+        return ids
+
+    return encode
+
+
+def public_vocabulary() -> tuple[str, str, str]:
+    """(file of ranks, split pattern, tokenizers file) of the 50k byte-level vocabulary on
+    this worker."""
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    at = public_tokenizers.path
+    return at("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, at("byte_bpe_50k.json")
 
 
-def _pieces_of(vocabulary, capacity: int, with_ids: bool):
+def _pieces_of(vocabulary, capacity: int, with_ids: bool, added_tokens: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(*vocabulary()).encode_ordinary
+        encode = encode_as_file(*vocabulary(), added_tokens)
         for batch in batches:
             for at in range(0, batch.num_rows, STEP):
                 part = batch.slice(at, STEP)
@@ -94,13 +134,16 @@ def pack(
     capacity: int = CAPACITY,
     vocabulary=public_vocabulary,
     with_ids: bool = False,
+    added_tokens: bool = False,
 ) -> DataFrame:
     """One row per piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     ``vocabulary`` is called on the workers, where its files must lie. ``capacity`` is a
     power of two. Pieces are dealt by hash to as many workers as there are shuffle
     partitions; each fills the bins of each class by itself, after the one exchange.
-    ``with_ids`` adds the ids of each piece.
+    ``with_ids`` adds the ids of each piece. With ``added_tokens`` the ids are those of plain
+    ``encode(text, add_special_tokens=False)`` of the tokenizers file; else strings of its
+    added tokens are ordinary text (``encode_special_tokens``).
     """
     if capacity & (capacity - 1):
         raise ValueError("capacity must be a power of two")
@@ -108,7 +151,7 @@ def pack(
     kind = source.schema["id"].dataType.simpleString()
     shape = f"id {kind}, start long, length long, ids_crc32 long, doc_tokens long"
     shape += ", ids array<int>" if with_ids else ""
-    pieces = source.mapInArrow(_pieces_of(vocabulary, capacity, with_ids), shape)
+    pieces = source.mapInArrow(_pieces_of(vocabulary, capacity, with_ids, added_tokens), shape)
     worker = F.pmod(F.xxhash64("id", "start"), F.lit(workers_of(docs)))
     group = Window.partitionBy("worker", "length")
     turn = F.row_number().over(group.orderBy("id", "start")) - 1
