@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lumenbar.llm import (
     curves,
     exact_dedup,
+    filter_audit,
     html_diff,
     lm_scoring,
     mixing,
@@ -68,6 +69,12 @@ def op10_hilbert_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     return curves.nearest(rows, rows.where("vec_id % 20 = 0"))
 
 
+def op11_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
+    return filter_audit.filter_audit(
+        table(spark, folder, "documents"), table(spark, folder, "labels")
+    )
+
+
 QUERIES = {
     "op1_harmonic_packing": op1_harmonic_packing,
     "op2_recurrent_scoring": op2_recurrent_scoring,
@@ -79,9 +86,11 @@ QUERIES = {
     "op8_counterfactual_toxicity": op8_counterfactual_toxicity,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_hilbert_neighbours": op10_hilbert_neighbours,
+    "op11_filter_audit": op11_filter_audit,
 }
 
 ORACLE = {
     "op4_capped_mixing": mixing.oracle(),
     "op9_exact_dedup": exact_dedup.ORACLE,
+    "op11_filter_audit": filter_audit.oracle(),
 }
