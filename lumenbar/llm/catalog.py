@@ -10,6 +10,7 @@ from lumenbar.llm import (
     exact_dedup,
     filter_audit,
     html_diff,
+    licenses,
     lm_scoring,
     mixing,
     packing,
@@ -75,6 +76,10 @@ def op11_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op12_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.license_scan(table(spark, folder, "documents"))
+
+
 QUERIES = {
     "op1_harmonic_packing": op1_harmonic_packing,
     "op2_recurrent_scoring": op2_recurrent_scoring,
@@ -87,10 +92,12 @@ QUERIES = {
     "op9_exact_dedup": op9_exact_dedup,
     "op10_hilbert_neighbours": op10_hilbert_neighbours,
     "op11_filter_audit": op11_filter_audit,
+    "op12_license_scan": op12_license_scan,
 }
 
 ORACLE = {
     "op4_capped_mixing": mixing.oracle(),
     "op9_exact_dedup": exact_dedup.ORACLE,
     "op11_filter_audit": filter_audit.oracle(),
+    "op12_license_scan": licenses.oracle(),
 }
