@@ -17,6 +17,7 @@ from lumenbar.llm import (
     quality_rules,
     sharding,
     simhash,
+    spelling,
     toxicity,
 )
 from lumenbar.sources.testdata import table
@@ -80,6 +81,10 @@ def op12_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     return licenses.license_scan(table(spark, folder, "documents"))
 
 
+def op13_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.spelling_forms(table(spark, folder, "documents"))
+
+
 QUERIES = {
     "op1_harmonic_packing": op1_harmonic_packing,
     "op2_recurrent_scoring": op2_recurrent_scoring,
@@ -93,6 +98,7 @@ QUERIES = {
     "op10_hilbert_neighbours": op10_hilbert_neighbours,
     "op11_filter_audit": op11_filter_audit,
     "op12_license_scan": op12_license_scan,
+    "op13_spelling_variants": op13_spelling_variants,
 }
 
 ORACLE = {
