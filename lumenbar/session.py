@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -66,3 +68,32 @@ def stored(df: DataFrame, by: str | None = None) -> DataFrame:
 def new_folder(spark: SparkSession) -> str:
     """A path of its own in the shared folder."""
     return f"{checkpoint_folder(spark)}/stored-{uuid.uuid4().hex}"
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a folder that nothing reads any more, in whatever store holds it."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+class Scratch:
+    """Intermediate frames of one operation, as Parquet in a shared folder of its own."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.folder, self.count = spark, new_folder(spark), 0
+
+    def store(self, df: DataFrame) -> DataFrame:
+        self.count += 1
+        path = f"{self.folder}/{self.count}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Scratch]:
+    """Frames stored in the block are deleted behind it: what leaves it must not read them."""
+    held = Scratch(spark)
+    try:
+        yield held
+    finally:
+        discard(spark, held.folder)
