@@ -228,4 +228,8 @@ def keep_good(
     """The documents that score at least ``threshold``, with all columns."""
     model = train_rules(docs, labels, text_col=text_col)
     score = free_name(docs, "score")
-    return score_quality(docs, model, text_col, score).where(F.col(score) >= threshold).drop(score)
+    scored = score_quality(docs, model, text_col, score)
+    # A filter is not pushed below an expression with a random draw; pushed, it would hold the
+    # whole rule sum, and every statistic in it would be computed again.
+    scored = scored.withColumn(score, F.when(F.rand(0) >= 0, F.col(score)))
+    return scored.where(F.col(score) >= threshold).drop(score)
