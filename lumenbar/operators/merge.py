@@ -7,6 +7,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lumenbar.operators.panel import latest_per
 from lumenbar.schemas import INGEST_START_DATE
@@ -111,6 +112,9 @@ def merge_partitions(
     files. The merged rows are written beside the table first, in the shared folder, and
     swapped in from there, so a failure before the swap leaves the table as it was, and the
     table is never read by the job that overwrites it. Returns the partitions written.
+
+    Partitions are folders named by value here, for tables that other readers list;
+    `sources.versioned` keeps them in a manifest.
     """
     if partition not in keys:
         raise ValueError("the partition column must be one of the keys")
@@ -120,7 +124,11 @@ def merge_partitions(
     if not touched:
         return 0
     if table_exists(spark, path):
-        stored = spark.read.parquet(path)
+        # All files' columns, and the partition in the type of the incoming rows: its values
+        # are read from folder names, where "001" would pass for a number.
+        found = spark.read.option("mergeSchema", "true").parquet(path).schema
+        kinds = [incoming.schema[f.name] if f.name == partition else f for f in found]
+        stored = spark.read.schema(T.StructType(kinds)).parquet(path)
         column = F.col(partition)
         known = [v for v in touched if v is not None]
         here = column.isin(known) if len(known) == len(touched) else column.isin(known) | column.isNull()

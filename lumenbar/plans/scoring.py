@@ -12,6 +12,7 @@ from lumenbar.operators.merge import replace_rows
 from lumenbar.operators.panel import latest_per
 from lumenbar.plans.serving import conform_signals
 from lumenbar.schemas import FEATURES
+from lumenbar.sources.versioned import Manifest, VersionedTable
 
 Scorer = Callable[[DataFrame, str], DataFrame]
 
@@ -59,3 +60,19 @@ def generate_signals(
     if existing is None:
         return fresh
     return replace_rows(existing, fresh, ["symbol", "trade_date"])
+
+
+def write_signals(
+    features: DataFrame,
+    score_1y: Scorer,
+    score_5y: Scorer,
+    target: VersionedTable,
+    model_features: list[str] | None = None,
+) -> Manifest | None:
+    """Scores the latest rows and merges them into the stored signals of their days.
+
+    Only the days of the new signals are read and rewritten; a signal of a stored symbol and
+    day is replaced, and columns that earlier runs did not have are added.
+    """
+    fresh = generate_signals(features, score_1y, score_5y, model_features=model_features)
+    return target.merge(fresh, ["symbol", "trade_date"], ["trade_date"])
