@@ -1137,3 +1137,57 @@ ORACLE["quality_dashboard"] = sql(
     f"""SELECT table_name, '2024-01-31' AS check_date, total_rows, quality_score, {STATUS}, issue_count FROM scoredp""",
     *ALLPROF,
 )
+
+
+# --- stored versions, appended features, artifacts ----------------------------------
+
+ORACLE["versioned_merge"] = sql(
+    f"""SELECT {_order_out} FROM (
+    SELECT o_orderkey, o_orderstatus, o_totalprice,
+           CASE WHEN o_orderkey % 2 = 0 THEN o_orderpriority END AS o_orderpriority FROM new
+    UNION ALL SELECT o_orderkey, o_orderstatus, o_totalprice, NULL FROM old
+    WHERE o_orderkey NOT IN (SELECT o_orderkey FROM new))""",
+    PAIR,
+)
+ORACLE["incremental_features"] = sql(
+    f"""SELECT {KEYS_OUT}, {r('close')}, {FEATURES_OUT} FROM feats
+    WHERE event_time > (SELECT max(event_time) FROM bars) - 60""",
+    *FEATURE_CTES,
+)
+_p1, _p5 = "1 / (1 + exp(-(rsi_14 - 50) / 10)) AS p1", "1 / (1 + exp(-(stoch_k - 50) / 10)) AS p5"
+NAV_BARS = f"""{BARS.replace('bars AS', 'raw_bars AS', 1)},
+bars AS MATERIALIZED (
+  SELECT symbol, event_time, close AS open, close AS high, close AS low, close, 0.0 AS volume
+  FROM raw_bars)"""
+_newest = "SELECT DISTINCT ON (symbol) * FROM signals ORDER BY symbol, trade_date DESC"
+ORACLE["fund_signals"] = sql(
+    f"""SELECT symbol, {day('trade_date')}, signal_1y, signal_5y, {r('confidence_1y')},
+    {r('risk_adjusted_score')} FROM ({_newest})""",
+    NAV_BARS, BANDS, TREND, OSC, FEATS, NAV,
+    SIGNALS.replace(
+        f"{_filled} FROM feats WHERE",
+        f"{_filled}, coalesce(nav_momentum_14d, 0) AS nm FROM feats JOIN nav USING (symbol, event_time) WHERE",
+    ).replace(_p1, "1 / (1 + exp(-nm * 10)) AS p1"),
+)
+ORACLE["fallback_signals"] = sql(
+    f"""SELECT symbol, {day('trade_date')}, signal_1y, signal_5y, {r('combined_confidence')},
+    {r('risk_adjusted_score')} FROM ({_newest})""",
+    *FEATURE_CTES,
+    SIGNALS.replace(_p1, "0.0::DOUBLE AS p1").replace(_p5, "0.0::DOUBLE AS p5"),
+)
+_vote = clip("(0.8 / (1 + exp(-(rsi_14 - 50) / 10)) + 0.01 / (1 + exp(-(stoch_k - 50) / 10))) / 0.81")
+ORACLE["ensemble_vote"] = sql(
+    f"""SELECT symbol, {day('event_date')}, {r('prob')}, {label_case('prob', '1y')} AS label
+    FROM (SELECT symbol, event_date, {_vote} AS prob FROM labelled)""",
+    *LAB1,
+)
+ORACLE["training_registry"] = """SELECT DISTINCT ON (source_table, horizon)
+  CAST(event_id AS VARCHAR) AS run_id, 'user_' || user_id AS source_table,
+  CASE WHEN value < 20 THEN '1y' ELSE '5y' END AS horizon, event_type AS status
+FROM events ORDER BY source_table, horizon, ts DESC, CAST(event_id AS VARCHAR) DESC"""
+ORACLE["boost_stopping"] = sql(
+    """SELECT count(*) AS row_count, count(*) FILTER (
+      substr(md5(symbol || '|' || CAST(event_time AS VARCHAR) || '|42'), 1, 6) < '199999') AS held_rows,
+    true AS kept_to_the_best FROM trained""",
+    *LAB1,
+)

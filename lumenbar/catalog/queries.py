@@ -2,24 +2,27 @@
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lumenbar.functions.formatting import growth_text
-from lumenbar.operators import audit, backtest, drift, guards, indicators, labels, merge, metrics
+from lumenbar.operators import audit, backtest, drift, guards, incremental, indicators, labels
+from lumenbar.operators import merge, metrics
 from lumenbar.operators import quality, quantiles, splits
 from lumenbar.operators.nav import nav_features
 from lumenbar.functions.scoring import signal_label
 from lumenbar.operators.panel import growth_as_of, latest_per
 from lumenbar.operators.panel import symbol_history as history_of
 from lumenbar.plans import scoring, serving, training, walkforward
+from lumenbar.plans.feature_etl import build_features
 from lumenbar.schemas import FEATURES, HORIZONS, NAV_FEATURES
-from lumenbar.session import stored
+from lumenbar.session import new_folder, stored
 from lumenbar.sources import payloads, reports
 from lumenbar.sources.tables import key_bounds
+from lumenbar.sources.versioned import VersionedTable, replaced
 from lumenbar.sources.testdata import audit_log, bars, logistic_score, table
 
 AS_OF = "2024-01-31"
@@ -232,6 +235,18 @@ def schema_evolution(spark, d):
     return merge.replace_rows(old, incoming, ["o_orderkey"])
 
 
+def versioned_merge(spark, d):
+    """A stored table gains a column in its second merge and keeps it through a narrower third."""
+    stored_rows, incoming = _upsert_pair(spark, d)
+    status = "o_orderstatus"
+    kept = VersionedTable(spark, new_folder(spark))
+    even = F.col("o_orderkey") % 2 == 0
+    kept.merge(stored_rows.drop("o_orderpriority"), ["o_orderkey", status], [status])
+    kept.merge(incoming.where(even), ["o_orderkey", status])
+    kept.merge(incoming.where(~even).drop("o_orderpriority"), ["o_orderkey", status])
+    return kept.read()
+
+
 def change_log(spark, d):
     columns = ["c_custkey", "c_name", "c_acctbal", "c_mktsegment"]
     customer = table(spark, d, "customer").select(*columns)
@@ -282,6 +297,19 @@ def feature_table(spark, d):
     return indicators.warm(features(spark, d)).select(*BAR_KEYS, "close", *FEATURES)
 
 
+def incremental_features(spark, d):
+    """The last 60 days appended in two batches to the state behind the days before."""
+    panel = stored(bars(spark, d), "event_time")
+    newest = panel.agg(F.max("event_time")).first()[0]
+    cut, middle = newest - timedelta(60), newest - timedelta(30)
+    day = F.col("event_time")
+    state = stored(incremental.append_features(None, panel.where(day <= F.lit(cut))).state)
+    first = incremental.append_features(state, panel.where((day > F.lit(cut)) & (day <= F.lit(middle))))
+    state = stored(replaced(state, first.state, ["symbol"]))
+    second = incremental.append_features(state, panel.where(day > F.lit(middle)))
+    return first.features.unionByName(second.features).select(*BAR_KEYS, "close", *FEATURES)
+
+
 def nav_feature_table(spark, d):
     return nav_features(bars(spark, d)).select(*BAR_KEYS, *NAV_FEATURES)
 
@@ -403,6 +431,64 @@ def signals_latest(spark, d):
     ).select("symbol", "trade_date", "signal_1y", "signal_5y", "risk_adjusted_score")
 
 
+def fund_signals(spark, d):
+    """Net asset values to fund features to the newest signal of each fund."""
+    prices = bars(spark, d).withColumns({c: F.col("close") for c in ("open", "high", "low")})
+    table_ = stored(build_features(prices.withColumn("volume", F.lit(0.0)), is_fund=True))
+    momentum = 1.0 / (1.0 + F.exp(F.col("nav_momentum_14d") * -10.0))
+    return scoring.generate_signals(
+        table_,
+        scoring.column_scorer(momentum),
+        scoring.column_scorer(logistic_score(F.col("stoch_k"))),
+        model_features=[*FEATURES, *NAV_FEATURES],
+    ).select("symbol", "trade_date", "signal_1y", "signal_5y", "confidence_1y", "risk_adjusted_score")
+
+
+def fallback_signals(spark, d):
+    """Signals of the artifact that a failed gate leaves: probability 0 everywhere."""
+    empty = training.Artifact(list(FEATURES), [])
+    return scoring.generate_signals(silver(spark, d), empty.score, empty.score).select(
+        "symbol", "trade_date", "signal_1y", "signal_5y", "combined_confidence", "risk_adjusted_score"
+    )
+
+
+def ensemble_vote(spark, d):
+    """The weighted vote of two given probabilities of every labelled row, and its label."""
+    rows = labelled(spark, d)
+    parts = [logistic_score(F.col("rsi_14")), logistic_score(F.col("stoch_k"))]
+    vote = training.weighted_vote(parts, [0.8, 0.01])
+    return rows.select("symbol", "event_date", vote.alias("prob")).withColumn(
+        "label", signal_label(F.col("prob"), "1y")
+    )
+
+
+def training_registry(spark, d):
+    """Events read as training runs: the newest of each table and horizon."""
+    runs = table(spark, d, "events").select(
+        F.col("event_id").cast("string").alias("run_id"),
+        F.col("ts").alias("updated_at"),
+        F.concat(F.lit("user_"), F.col("user_id").cast("string")).alias("source_table"),
+        F.when(F.col("value") < 20, "1y").otherwise("5y").alias("horizon"),
+        F.col("event_type").alias("status"),
+    )
+    return training.registry(runs).drop("updated_at")
+
+
+def boost_stopping(spark, d):
+    """Boosting with held rows: how many they are, and that it kept the rounds up to the best."""
+    rows = _stored_training(spark, d)
+    settings = training.ModelSettings(boost_rounds=40, boost_depth=4, boost_stop_rows=100)
+    count = rows.count()
+    model = training.fit_model(rows, "histgb", FEATURES, count, "1y", settings)
+    held = rows.where(training.held_for_stopping(rows, settings.boost_held_share, settings.seed))
+    booster = model.stages[-1]
+    losses = booster.evaluateEachIteration(model.stages[0].transform(held))
+    best = min(losses) >= losses[-1] - 1e-6 and 0 < len(losses) <= settings.boost_rounds
+    return held.agg(F.count("*").alias("held_rows")).select(
+        F.lit(count).alias("row_count"), "held_rows", F.lit(best).alias("kept_to_the_best")
+    )
+
+
 def api_signals(spark, d):
     return serving.api_signals(signal_history(spark, d), limit=50, min_confidence=0.7)
 
@@ -1015,7 +1101,8 @@ QUERIES = {
         failed_tasks, reconcile_counts, reconciliation_view, reconcile_keys,
         audit_current_state, table_lineage, quality_profile, quality_columns,
         quality_issues, quality_gate, quality_dashboard, train_candidates, ensemble_scores,
-        walk_forward_ml,
+        walk_forward_ml, versioned_merge, incremental_features, fund_signals, fallback_signals,
+        ensemble_vote, training_registry, boost_stopping,
     ]
 }
 

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenbar.functions.nulls import safe_float
 from lumenbar.operators.panel import latest_per
 from lumenbar.schemas import REPORT_ARTIFACTS
+from lumenbar.sources.reports import read_artifacts, read_training_metrics, safe_name
 
 
 def _seconds(c: Column) -> Column:
@@ -154,6 +155,28 @@ def report_completeness(
     )
 
 
+def folder_completeness(
+    spark: SparkSession,
+    folder: str,
+    source_tables: Sequence[str],
+    cutoff: str,
+    required: Sequence[str] = REPORT_ARTIFACTS,
+) -> DataFrame:
+    """``report_completeness`` of the files in a report folder, under the tables' own names."""
+    names = spark.createDataFrame(
+        [(t, safe_name(t)) for t in source_tables], "_table string, source_table string"
+    )
+    checked = report_completeness(names, read_artifacts(spark, folder), cutoff, required)
+    named = names.join(checked, "source_table").drop("source_table")
+    return named.withColumnRenamed("_table", "source_table").select("source_table", *checked.columns[1:])
+
+
+def folder_gate_failures(spark: SparkSession, folder: str) -> DataFrame:
+    """``gate_failures`` of the metrics files in a model folder; unreadable ones are left out."""
+    metrics = read_training_metrics(spark, folder)
+    return gate_failures(metrics.where(~F.col("parse_failed")))
+
+
 def completeness_summary(checked: DataFrame) -> DataFrame:
     """One row: counts and up to three samples of missing, stale and invalid artifacts."""
     flags = ["missing", "stale", "invalid"]

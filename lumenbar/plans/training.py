@@ -10,6 +10,7 @@ from datetime import datetime, timezone
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (
+    GBTClassificationModel,
     GBTClassifier,
     LogisticRegression,
     LogisticRegressionModel,
@@ -17,7 +18,7 @@ from pyspark.ml.classification import (
 )
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenbar.functions.nulls import clip
@@ -44,6 +45,10 @@ class ModelSettings:
     boost_rate: float = 0.05
     boost_depth: int = 8
     boost_min_rows: int = 40
+    # Above so many rows a share of them is held to end boosting early; None never does.
+    boost_stop_rows: int | None = 10_000
+    boost_held_share: float = 0.1
+    boost_tolerance: float = 1e-7
     trees: int = 120
     trees_5y: int = 200
     tree_depth: int = 12
@@ -80,6 +85,8 @@ class Component:
     weight: float = 1.0
     calibration_rows: int = 0
     calibration: str = "none"
+    #: boosting rounds kept; None for other models
+    rounds: int | None = None
 
 
 @dataclass
@@ -101,14 +108,20 @@ class Artifact:
         given = df.columns
         own = [f for f in self.features if f in given]
         df = df.withColumns({f"_given_{f}": F.col(f) for f in own}).fillna(0.0, subset=own)
-        columns, parts, total = df.columns, [], 0.0
         for i, component in enumerate(self.components):
             df = component_score(df, component, f"_part{i}")
-            parts.append(F.col(f"_part{i}") * component.weight)
-            total += component.weight
-        vote = sum(parts[1:], parts[0]) / total
+        vote = weighted_vote(
+            [F.col(f"_part{i}") for i in range(len(self.components))],
+            [c.weight for c in self.components],
+        )
         back = [F.col(f"_given_{c}").alias(c) if c in own else F.col(c) for c in given]
-        return df.select(*back, clip(vote, 0.0, 1.0).alias(out))
+        return df.select(*back, vote.alias(out))
+
+
+def weighted_vote(probabilities: Sequence[Column], weights: Sequence[float]) -> Column:
+    """Mean of the probabilities by weight, within 0 and 1."""
+    parts = [p * w for p, w in zip(probabilities, weights)]
+    return clip(sum(parts[1:], parts[0]) / sum(weights), 0.0, 1.0)
 
 
 def component_score(df: DataFrame, component: Component, out: str) -> DataFrame:
@@ -185,12 +198,39 @@ def model_pipeline(
     raise ValueError(f"unknown model {name}")
 
 
+def held_for_stopping(df: DataFrame, share: float, seed: int) -> Column:
+    """True for about ``share`` of the rows, by a hash of what names a row.
+
+    The same rows are held however the frame is dealt over partitions.
+    """
+    names = [c for c in ("symbol", "event_time", "event_date") if c in df.columns] or df.columns
+    key = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in names], F.lit(str(seed)))
+    return F.substring(F.md5(key), 1, 6) < F.lit(f"{int(share * 0x1000000):06x}")
+
+
+def rounds_of(model: PipelineModel) -> int | None:
+    last = model.stages[-1]
+    return last.getNumTrees if isinstance(last, GBTClassificationModel) else None
+
+
 def fit_model(
     df: DataFrame, name: str, features: Sequence[str], rows: int, horizon: str,
     settings: ModelSettings,
 ) -> PipelineModel:
-    weighted = df if name == "histgb" else with_class_weights(df)
-    return model_pipeline(name, features, rows, horizon, settings).fit(weighted)
+    """Boosting stops when a round no longer improves the loss on the held rows.
+
+    That is the first such round; the model keeps the rounds up to the best one.
+    """
+    pipeline = model_pipeline(name, features, rows, horizon, settings)
+    if name != "histgb":
+        return pipeline.fit(with_class_weights(df))
+    if settings.boost_stop_rows is not None and rows > settings.boost_stop_rows:
+        held = held_for_stopping(df, settings.boost_held_share, settings.seed)
+        booster = pipeline.getStages()[-1]
+        booster.setValidationIndicatorCol("_held")
+        booster.setParams(validationTol=settings.boost_tolerance)
+        df = df.withColumn("_held", held)
+    return pipeline.fit(df)
 
 
 @dataclass
@@ -228,7 +268,7 @@ def fit_calibrated(
     """Fit on the older rows and Platt-calibrate on the held ones, when there are any."""
     model = fit_model(frames.fit, name, features, frames.fit_rows, horizon, settings.models)
     if frames.recent is None:
-        return Component(name, model, calibration="too_few_rows")
+        return Component(name, model, calibration="too_few_rows", rounds=rounds_of(model))
     calibrator = None
     if frames.recent.select("target").distinct().count() == 2:
         raw = model.transform(frames.recent).select(
@@ -247,7 +287,8 @@ def fit_calibrated(
         ).fit(_calibration_input(with_class_weights(raw)))
     outcome = "one_class" if calibrator is None else "platt"
     return Component(
-        name, model, calibrator, calibration_rows=frames.held, calibration=outcome
+        name, model, calibrator, calibration_rows=frames.held, calibration=outcome,
+        rounds=rounds_of(model),
     )
 
 
@@ -376,6 +417,7 @@ def train_horizon(
         "outlier_rate_post_winsor": rate_after,
         "candidate_leaderboard": [{**r.asDict(), "status": "ok"} for r in ranking] + failed,
         "calibration": {c.name: c.calibration for c in components},
+        "boost_rounds": {c.name: c.rounds for c in components if c.rounds is not None},
         "class_report": [
             r.asDict()
             for r in class_report(
@@ -447,6 +489,7 @@ def save_artifact(spark: SparkSession, artifact: Artifact, path: str) -> None:
                 "calibrated": c.calibrator is not None,
                 "calibration_rows": c.calibration_rows,
                 "calibration": c.calibration,
+                "rounds": c.rounds,
             }
         )
     body = {
@@ -468,7 +511,7 @@ def load_artifact(spark: SparkSession, path: str) -> Artifact:
             LogisticRegressionModel.load(f"{path}/calibrator_{i}") if c["calibrated"] else None
         )
         model = PipelineModel.load(f"{path}/model_{i}")
-        parts.append(Component(c["name"], model, calibrator, c["weight"], c["calibration_rows"], c["calibration"]))
+        parts.append(Component(c["name"], model, calibrator, c["weight"], c["calibration_rows"], c["calibration"], c.get("rounds")))
     return Artifact(body["features"], parts, body["metadata"])
 
 

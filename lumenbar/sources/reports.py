@@ -195,3 +195,96 @@ def validation_lines(rows: DataFrame) -> DataFrame:
         "horizon",
         F.concat(head, F.when(F.col("status") == "ok", detail).otherwise(short)).alias("line"),
     ).orderBy("asset_class", "horizon")
+
+
+# --- report and metrics files as tables ---------------------------------------------
+
+ARTIFACT = r"/([^/]+)_(walk_forward_[a-z_]+\.(?:json|csv))(?:/|$)"
+ARTIFACT_FIELDS = "source_table string, artifact string, generated_at timestamp, has_horizons boolean"
+METRICS_FIELDS = (
+    "source_table string, horizon string, status string, reason string, updated_at timestamp, "
+    "path string, parse_failed boolean"
+)
+
+
+def _files(spark: SparkSession, folder: str) -> DataFrame | None:
+    """(path, changed, length) of everything below ``folder``; None where it does not exist."""
+    try:
+        found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
+    except AnalysisException:
+        return None
+    # contents are not read for these three
+    return found.select("path", F.col("modificationTime").alias("changed"), "length")
+
+
+def _texts(spark: SparkSession, folder: str, pattern: str) -> DataFrame | None:
+    """(path, changed, body) of the files whose path matches; body is NULL if it is no JSON."""
+    try:
+        found = spark.read.option("recursiveFileLookup", True).text(folder, wholetext=True)
+    except AnalysisException:
+        return None
+    path = F.col("_metadata.file_path")
+    return found.where(path.rlike(pattern)).select(
+        path.alias("path"),
+        F.col("_metadata.file_modification_time").alias("changed"),
+        F.try_parse_json("value").alias("body"),
+    )
+
+
+def read_artifacts(spark: SparkSession, folder: str) -> DataFrame:
+    """The report files below ``folder``: source_table (safe name), artifact, generated_at,
+    has_horizons.
+
+    An artifact is one file, or a folder of part files as Spark writes them (the newest counts).
+    Only summaries are opened: ``has_horizons`` says whether one is JSON with a list of
+    horizons. Other files, and a folder that does not exist, give no rows.
+    """
+    files = _files(spark, folder)
+    if files is None:
+        return spark.createDataFrame([], ARTIFACT_FIELDS)
+    stem, name = F.regexp_extract("path", ARTIFACT, 1), F.regexp_extract("path", ARTIFACT, 2)
+    data = ~F.col("path").rlike(r"/[._][^/]*$")
+    keys = ["source_table", "artifact"]
+    listed = files.where((name != "") & data).groupBy(stem.alias(keys[0]), name.alias(keys[1]))
+    listed = listed.agg(F.max("changed").alias("generated_at"))
+    bodies = _texts(spark, folder, r"_walk_forward_summary\.json(/[^._][^/]*)?$")
+    horizons = F.try_variant_get("body", "$.horizons", "array<variant>").isNotNull()
+    good = bodies.groupBy(stem.alias(keys[0]), name.alias(keys[1])).agg(
+        F.bool_or(horizons).alias("has_horizons")
+    )
+    return listed.join(good, keys, "left").select(*keys, "generated_at", "has_horizons")
+
+
+def read_training_metrics(spark: SparkSession, folder: str) -> DataFrame:
+    """One row per ``*_metrics.json`` below ``folder``, unreadable ones with ``parse_failed``.
+
+    Names fall back on the file's name, horizons on "unknown"; the file's time is the run's.
+    """
+    bodies = _texts(spark, folder, r"_metrics\.json$")
+    if bodies is None:
+        return spark.createDataFrame([], METRICS_FIELDS)
+    # anything but an object holds no fields
+    failed = F.col("body").isNull() | ~F.schema_of_variant("body").startswith("OBJECT")
+
+    def text(name: str) -> Column:
+        return F.try_variant_get("body", f"$.{name}", "string")
+
+    return bodies.select(
+        F.coalesce(text("source_table"), F.regexp_extract("path", r"([^/]+)\.json$", 1)).alias("source_table"),
+        F.coalesce(text("horizon"), F.lit("unknown")).alias("horizon"),
+        text("status").alias("status"),
+        text("reason").alias("reason"),
+        F.col("changed").alias("updated_at"),
+        "path",
+        failed.alias("parse_failed"),
+    )
+
+
+def metrics_scan(metrics: DataFrame) -> DataFrame:
+    """One row: files scanned, unreadable ones, and (table, horizon) pairs with a metrics file."""
+    pair = F.when(~F.col("parse_failed"), F.struct("source_table", "horizon"))
+    return metrics.agg(
+        F.count("*").alias("scanned_files"),
+        F.count_if("parse_failed").alias("unreadable_files"),
+        F.count_distinct(pair).alias("tracked_models"),
+    )

@@ -8,7 +8,7 @@ from check_queries import TABLES, compare
 from lumenbar.catalog.queries import registered
 
 FOLDER = "/root/testdata/sf0.001"
-SLOW = {"train_candidates", "ensemble_scores", "walk_forward_ml"}
+SLOW = {"train_candidates", "ensemble_scores", "walk_forward_ml", "boost_stopping"}
 NAMES = sorted(set(registered()) - SLOW)
 
 
