@@ -44,3 +44,32 @@ def crc_fold(doc_id: str = "doc_id") -> Column:
 def workers_of(df: DataFrame) -> int:
     """How many groups a job deals rows to: the session's shuffle partitions."""
     return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+#: Copies that one task makes of a repeated row at most.
+COPIES = 10_000
+
+
+def with_copies(distinct: DataFrame, count: str, turn: str, limit: int = COPIES) -> DataFrame:
+    """Every row ``count`` times, numbered 0, 1, ... in ``turn``; ``count`` is dropped.
+
+    For rows that were grouped by all their columns, so that equal rows need no window to be
+    told apart. Counts above ``limit`` are cut into runs of that many which are dealt to
+    tasks first: however often a row repeats, no task holds all its copies.
+    """
+    rest = [c for c in distinct.columns if c != count]
+    n = F.col(count)
+    few = distinct.where(n <= limit).select(
+        *rest, F.explode(F.sequence(F.lit(0).cast("long"), n - 1)).alias(turn)
+    )
+    runs = F.sequence(F.lit(0).cast("long"), n - 1, F.lit(limit).cast("long"))
+    many = (
+        distinct.where(n > limit)
+        .select(*rest, count, F.explode(runs).alias("first"))
+        .repartition(*rest, "first")
+        .select(
+            *rest,
+            F.explode(F.sequence(F.col("first"), F.least(F.col("first") + limit, n) - 1)).alias(turn),
+        )
+    )
+    return few.unionByName(many)

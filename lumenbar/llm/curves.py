@@ -1,7 +1,7 @@
 """Approximate nearest neighbours on shifted space-filling curves.
 
-Vectors are rotated onto the principal axes of a bounded sample (all axes are kept, most
-telling first) and cut into groups of a few axes. Each group is a Hilbert curve: its axes,
+Vectors are rotated onto the principal axes of a bounded sample; the first curves * axes of
+them, most telling first, are dealt to the curves, a few axes each. Each group is a Hilbert curve: its axes,
 shifted by a seeded offset, become a cell of a grid and the cell becomes a key. Every
 curve orders all vectors; equal-count key ranges are the unit of exchange. A query looks
 at the key ranges around its own on every curve; each range gives its best candidates,
@@ -9,7 +9,7 @@ computed on the original vectors, and the best over all curves and ranges remain
 
 Vectors that are NULL, zero or of another dimension than most, or that hold NULL or
 non-finite components, take no part, neither as query nor as candidate. Rows that repeat
-an id are candidates each; a row never meets its own id. Ties go to the smaller id. Fewer
+an id are candidates each, also where they repeat the vector; a row never meets its own id. Ties go to the smaller id. Fewer
 candidates than asked for give fewer rows; an empty table gives none. Only id and vector
 are read.
 """
@@ -31,8 +31,8 @@ class CurveSettings:
     """``reach``: share of all vectors that a query sees around itself on each curve.
 
     Without structure in the data (independent axes) recall is bought with reach alone;
-    vectors that vary along few axes need far less. ``least`` is the number of rows that a
-    window holds at least, so that a small table is searched whole. ``ranges`` are key ranges a curve;
+    vectors that vary along few axes need far less. A window holds at least as many rows as
+    are asked for. ``ranges`` are key ranges a curve;
     ``block`` is the number of candidates, and of queries, that a task holds at a time.
     """
 
@@ -41,14 +41,13 @@ class CurveSettings:
     bits: int = 10
     ranges: int = 20
     reach: float = 0.2
-    least: int = 1_000
     fit_rows: int = 5_000
     block: int = 8_192
     seed: int = 3
 
-    def half(self, rows: int) -> int:
-        """Ranges seen to either side of a query's own, in a table of so many rows."""
-        share = min(1.0, max(self.reach, self.least / max(rows, 1)))
+    def half(self, rows: int, k: int) -> int:
+        """Ranges seen to either side of a query's own: the reach, and room for ``k`` others."""
+        share = min(1.0, max(self.reach, 2 * (k + 1) / max(rows, 1)))
         return self.ranges if share == 1.0 else max(1, math.ceil(self.ranges * share / 2))
 
 
@@ -175,19 +174,40 @@ def best_of(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return some[np.lexsort((ids[some], -scores[some]))][:k]
 
 
+def _marks(ids: np.ndarray, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What tells rows of one id apart: a hash of the vector's bits, and a number among those
+    that repeat the vector too. Repeats lie in the same range and deal of every curve."""
+    odd = np.random.default_rng(1).integers(1 << 62, size=vectors.shape[1]).astype(np.uint64) * 2 + 1
+    bits = (vectors + 0.0).view(np.uint64)
+    marks = ((bits ^ (bits >> np.uint64(29))) * odd).sum(axis=1).view(np.int64)
+    turns = np.zeros(len(ids), np.int32)
+    if len(np.unique(ids)) < len(ids):
+        seen: dict = {}
+        for i, row in enumerate(zip(ids.tolist(), marks.tolist())):
+            turns[i] = seen[row] = seen.get(row, -1) + 1
+    return marks, turns
+
+
 def _search(k: int, block: int):
     """A (curve, range, deal) group: queries in blocks against candidates in blocks."""
 
     def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        names = ["query_id", "id", "score"]
-        shape = pa.schema([("query_id", pa.int64()), ("id", pa.int64()), ("score", pa.float64())])
+        shape = pa.schema(
+            [
+                ("query_id", pa.int64()),
+                ("id", pa.int64()),
+                ("score", pa.float64()),
+                ("mark", pa.int64()),
+                ("turn", pa.int32()),
+            ]
+        )
         if not left.num_rows or not right.num_rows:
             return shape.empty_table()
         qid = left.column("id").to_numpy().astype(np.int64)
         queries = _matrix(left.column("vector").combine_chunks())
         cid = right.column("id").to_numpy().astype(np.int64)
         vectors = _matrix(right.column("vector").combine_chunks())
-        out = ([], [], [])
+        out = ([], [], [], [], [])
         step = max(1, (1 << 22) // max(len(cid), 1))
         for at in range(0, len(qid), step):
             scores = queries[at : at + step] @ vectors.T
@@ -200,7 +220,10 @@ def _search(k: int, block: int):
                 out[0].append(np.full(len(top), q))
                 out[1].append(cid[top])
                 out[2].append(exact)
-        return pa.table([np.concatenate(c) for c in out], names=names).cast(shape)
+                marks, turns = _marks(cid[top], vectors[top])
+                out[3].append(marks)
+                out[4].append(turns)
+        return pa.table([np.concatenate(c) for c in out], names=shape.names).cast(shape)
 
     return run
 
@@ -253,7 +276,7 @@ def nearest(
         )
     ).first()
     spans = [np.array(e, np.int64) for e in edges]
-    half = settings.half(total)
+    half = settings.half(total, k)
     window = min(settings.ranges, 2 * half + 1)
     deals = (
         max(1, math.ceil(total / settings.ranges / settings.block)),
@@ -272,11 +295,11 @@ def nearest(
         placed(ask, True)
         .groupBy(*group)
         .cogroup(placed(own, False).groupBy(*group))
-        .applyInArrow(_search(k, settings.block), "query_id long, id long, score double")
+        .applyInArrow(_search(k, settings.block), "query_id long, id long, score double, mark long, turn int")
     )
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return (
-        found.dropDuplicates(["query_id", "id", "score"])
+        found.dropDuplicates(["query_id", "id", "mark", "turn"])
         .withColumn("rank", F.row_number().over(best))
         .where(F.col("rank") <= k)
         .select("query_id", "rank", F.col("id").alias(id_col), "score")

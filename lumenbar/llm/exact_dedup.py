@@ -2,7 +2,7 @@
 
 Defined results: NULL text equals the empty text. Of equal texts one row stays, the one
 with the largest (or smallest) id; NULL ids come last in either order; of rows that repeat
-the id as well, any one stays. An empty table gives no rows. Only the id and text columns
+the id as well, one stays. An empty table gives no rows. Only the id and text columns
 are read, so other columns may have any name.
 """
 
@@ -10,10 +10,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumenbar.llm.common import free_name, lower_ascii, whole
+from lumenbar.llm.common import free_name, lower_ascii, whole, with_copies
 from lumenbar.session import cut_lineage
 
 Digest = Callable[[Column], Column]
@@ -47,37 +47,37 @@ def duplicate_groups(
     """One row per input row: id, keep_id, group_size, kept, text_sha256.
 
     Rows are grouped by ``digest``; a group whose bytes differ (a collision) is grouped
-    again by digest and text. Groups travel without texts; the joins back to the rows move
-    ids and hashes only, and the run-time skew join splits the rows of a hot group.
+    again by digest and text. Rows that repeat id and text become one row with a count, in
+    the map tasks, and are told apart by their number when they are written out again: no
+    window orders a group. Nothing behind the join asks for its partitioning, so the run-time
+    skew join may split the rows of a hot text. The joins move ids and hashes only.
     """
     rows = docs.select(
         F.col(id_col).alias("id"), lower_ascii(whole(F.col(text_col))).alias("norm")
     ).withColumn("h", digest(F.col("norm")))
     groups = cut_lineage(_groups(rows, ["h"], keep))
-    light = ["id", "h", F.sha2("norm", 256).alias("sha")]
+    light = ["id", "h", "sha"]
+    counted = cut_lineage(
+        rows.select("id", "h", F.unhex(F.sha2("norm", 256)).alias("sha"))
+        .groupBy(*light)
+        .agg(F.count("*").alias("n"))
+    )
     clashes = groups.where(~F.col("same")).select("h")
-    if clashes.isEmpty():
-        found = rows.select(*light).join(groups.drop("same"), "h")
-    else:
+    found = counted.join(groups.where("same").drop("same"), "h")
+    if not clashes.isEmpty():
+        # texts of one digest differ: the counted rows meet their own text's group by its hash
         apart = rows.join(clashes, "h", "left_semi")
-        parts = _groups(apart, ["h", "norm"], keep).drop("same")
-        found = (
-            rows.select(*light)
-            .join(groups.where("same").drop("same"), "h")
-            .select("id", "h", "sha", "keep_id", "group_size")
-            .unionByName(
-                apart.join(parts, ["h", "norm"]).select(*light, "keep_id", "group_size")
-            )
+        parts = _groups(apart, ["h", "norm"], keep).select(
+            "h", F.unhex(F.sha2("norm", 256)).alias("sha"), "keep_id", "group_size"
         )
-    # Rows that repeat text and id: one of them stays. Groups here are such repeats only.
-    turn = F.row_number().over(Window.partitionBy("sha", "h", "id").orderBy(F.lit(1)))
-    stays = F.col("id").eqNullSafe(F.col("keep_id")) & (turn == 1)
-    return found.select(
+        found = found.unionByName(counted.join(parts, ["h", "sha"]))
+    each = with_copies(found, "n", "turn")
+    return each.select(
         F.col("id").alias(id_col),
         "keep_id",
         "group_size",
-        stays.alias("kept"),
-        F.col("sha").alias("text_sha256"),
+        (F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("turn") == 0)).alias("kept"),
+        F.lower(F.hex("sha")).alias("text_sha256"),
     )
 
 

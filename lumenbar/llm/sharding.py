@@ -10,7 +10,8 @@ A coarse boundary never cuts a group of equal texts. Groups are cut only where t
 needed to meet the tolerance.
 
 Defined results: NULL text has no bytes (crc32 of the empty text); every row weighs
-``row_bytes`` besides; repeated rows are rows of their own; an empty table gives no rows.
+``row_bytes`` besides; repeated rows are rows of their own, spread over as many shards as
+their bytes need; an empty table gives no rows.
 Only id and text are read.
 """
 
@@ -21,7 +22,7 @@ from bisect import bisect_right
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenbar.llm.common import whole
+from lumenbar.llm.common import whole, with_copies
 from lumenbar.session import cut_lineage
 
 KEY_BITS = 62
@@ -29,11 +30,10 @@ KEY_BITS = 62
 ROUNDS = (12, 20, 28, 36, 44, 52, 62)
 
 
-def _key(text: Column, doc_id: Column) -> Column:
-    """36 bits of the text's hash above 26 bits of the id's hash."""
-    body = F.shiftrightunsigned(F.xxhash64(text), 28)
-    own = F.shiftrightunsigned(F.xxhash64(doc_id.cast("string")), 38)
-    return F.shiftleft(body, 26).bitwiseOR(own)
+def _key(body: Column, doc_id: Column, turn: Column) -> Column:
+    """36 bits of the text's hash above 26 bits of the hash of id and turn."""
+    own = F.shiftrightunsigned(F.xxhash64(doc_id.cast("string"), turn), 38)
+    return F.shiftleft(F.shiftrightunsigned(body, 28), 26).bitwiseOR(own)
 
 
 def find_splitters(rows: DataFrame, parts: int, tolerance: float) -> list[int]:
@@ -114,15 +114,23 @@ def histogram_shards(
     Each shard is cut into ``parts`` ranges by the same rule, so the final exchange deals
     shards * parts groups and no task orders a whole shard. Slots follow the key order.
     Texts are read once: what the rounds read is a narrow table in the checkpoint folder.
+    Rows that repeat id and text arrive there as one row with a count, combined in the map
+    tasks, and are written out again from the count.
     """
     text = whole(F.col(text_col))
-    rows = cut_lineage(
+    distinct = cut_lineage(
         docs.select(
             F.col(id_col).alias("id"),
             (F.octet_length(text) + row_bytes).cast("long").alias("size"),
             F.crc32(text.cast("binary")).alias("text_crc32"),
-            _key(text, F.coalesce(F.col(id_col).cast("string"), F.lit(""))).alias("key"),
+            F.xxhash64(text).alias("body"),
         )
+        .groupBy("id", "size", "text_crc32", "body")
+        .agg(F.count("*").alias("n"))
+    )
+    named = F.coalesce(F.col("id").cast("string"), F.lit(""))
+    rows = with_copies(distinct, "n", "turn").select(
+        "id", "size", "text_crc32", _key(F.col("body"), named, F.col("turn")).alias("key")
     )
     splitters = find_splitters(rows.select("key", "size"), shards * parts, tolerance)
     dealt = rows.withColumn("part", _part_of(F.col("key"), splitters))

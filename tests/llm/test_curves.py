@@ -81,3 +81,34 @@ def test_few_and_no_rows(spark):
     none = spark.createDataFrame([], shape)
     assert nearest(none, none).count() == 0
     assert nearest(few, none).count() == 0
+
+
+def test_recall_at_the_default_window_on_many_rows(spark):
+    vectors = np.random.default_rng(8).normal(size=(20_000, 64))
+    df = spark.createDataFrame(
+        [(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>"
+    )
+    found = nearest(df, df.where("vec_id % 20 = 0")).toPandas()
+    assert len(found) == 1000 * 20
+    scores = vectors[::20] @ vectors.T
+    scores[np.arange(1000), np.arange(0, 20_000, 20)] = -np.inf
+    want = np.argpartition(-scores, 20, axis=1)[:, :20]
+    got = found.groupby("query_id").vec_id.apply(set)
+    hits = sum(len(got[q * 20] & set(best.tolist())) for q, best in enumerate(want))
+    assert hits / (1000 * 20) >= 0.9
+
+
+def test_small_tables_give_as_many_as_are_asked_for(spark):
+    rng = np.random.default_rng(4)
+    for n in (15, 22, 60, 150):
+        rows = [(i, rng.normal(size=16).tolist()) for i in range(n)]
+        df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+        got = nearest(df, df.where("vec_id % 20 = 0"), settings=CurveSettings(curves=4)).collect()
+        assert compared(got, brute(rows, {i for i, _ in rows if i % 20 == 0}, 20), 20) >= 0.8
+
+
+def test_rows_that_repeat_id_and_vector_are_candidates_each(spark):
+    rows = [(0, [1.0, 0.5])] + [(1, [2.0, 1.0])] * 5 + [(1, [1.0, 3.0])] + [(2, [0.1, 0.1])] * 2
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = nearest(df, df.where("vec_id = 0")).orderBy("rank").collect()
+    assert [(r.vec_id, round(r.score, 6)) for r in got] == [(1, 2.5)] * 6 + [(2, 0.15)] * 2

@@ -3,6 +3,7 @@ import hashlib
 from odd_rows import TEXTS, no_documents, odd_documents
 from pyspark.sql import functions as F
 
+from lumenbar.llm.common import with_copies
 from lumenbar.llm.exact_dedup import drop_duplicates, duplicate_groups
 
 
@@ -62,3 +63,30 @@ def test_survivors_keep_all_columns(spark):
 def test_empty_table(spark):
     assert duplicate_groups(no_documents(spark)).count() == 0
     assert drop_duplicates(no_documents(spark)).count() == 0
+
+
+def test_repeats_of_id_and_text(spark):
+    docs = [(7, "Hot")] * 3000 + [(8, "hot")] * 2 + [(None, "x")] * 5 + [(None, "hot")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    for keep, stays in (("max", 8), ("min", 7)):
+        found = duplicate_groups(df, keep=keep).collect()
+        hot = [r for r in found if r.keep_id is not None]
+        assert len(found) == len(docs) and len(hot) == 3003
+        assert {(r.keep_id, r.group_size) for r in hot} == {(stays, 3003)}
+        assert [r.doc_id for r in hot if r.kept] == [stays]
+        assert [(r.doc_id, r.group_size) for r in found if r.kept and r.keep_id is None] == [(None, 5)]
+
+
+def test_a_hot_text_is_ordered_in_no_window_and_read_once_for_its_rows(spark):
+    docs = spark.range(3000).selectExpr("id as doc_id", "if(id % 3 = 0, 'hot', concat('t', id)) as text")
+    found = duplicate_groups(docs)
+    assert found.where("kept").count() == 2001
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    # what is behind the join is narrow and stored: no window, no text
+    assert "Window" not in plan and "Range (" not in plan
+
+
+def test_copies_beyond_the_limit_are_dealt(spark):
+    df = spark.createDataFrame([("a", 25), ("b", 1), ("c", 10)], "x string, n long")
+    rows = sorted(tuple(r) for r in with_copies(df, "n", "turn", limit=10).collect())
+    assert rows == sorted([("a", i) for i in range(25)] + [("b", 0)] + [("c", i) for i in range(10)])

@@ -61,3 +61,18 @@ def test_splitters_against_sorted_bytes(spark):
 
 def test_empty_table(spark):
     assert histogram_shards(no_documents(spark)).count() == 0
+
+
+def test_repeats_of_id_and_text_are_spread(spark):
+    docs = [(7, "one row, often")] * 4000
+    sizes = checked(
+        histogram_shards(spark.createDataFrame(docs, "doc_id long, text string")).collect(), docs, 40
+    )
+    assert max(sizes) / min(sizes) < 1.1
+    docs = [(None, "no id")] * 2000 + [(1, "a third")] * 2000 + [(i, f"own {i}") for i in range(2000)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    rows = histogram_shards(df, shards=10).collect()
+    sizes = checked(rows, docs, 10)
+    assert max(sizes) / min(sizes) < 1.1
+    # repeats are numbered by their count, not by where they lie
+    assert sorted(map(str, rows)) == sorted(map(str, histogram_shards(df.repartition(5), shards=10).collect()))
