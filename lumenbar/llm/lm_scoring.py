@@ -2,9 +2,14 @@
 
 Counts of all words of all training documents are gathered in Spark. The most frequent
 words are the model's output words; every other word belongs to a class by its ending and
-takes its corpus share of that class, with room for words never seen. The recurrent
-weights are fitted on a seeded sample of training documents of about ``fit_tokens``
-tokens, a documented bound; every document is scored whole.
+takes its corpus share of that class, with room for words never seen.
+
+The recurrent weights learn from every training document, whole. In a pass, documents are
+dealt by a hash of id and text to groups of about ``deal_tokens`` tokens; a task runs
+truncated backpropagation over its group from the weights of the pass before, and the
+groups' weights are averaged by their tokens, in two levels of sums. The driver holds one
+set of weights. How the table is partitioned does not matter, but for rows that repeat id
+and text: they are numbered inside a task so that a row repeated often spreads over groups.
 
 A dictionary of at most ``dictionary`` words goes to the tasks. Counts of the words outside
 it enter a score as one term each, log10(c + 0.5), which is added by a join, so the
@@ -47,8 +52,8 @@ class LmSettings:
     tails: int = 63
     dictionary: int = 150_000
     hidden: int = 32
-    fit_tokens: int = 600_000
-    train_tokens: int = 1_200_000
+    passes: int = 1
+    deal_tokens: int = 4_000_000
     seed: int = 9
 
 
@@ -183,16 +188,99 @@ def _symbols(v: Vocabulary, codes: _Codes, words: list[bytes]) -> tuple[np.ndarr
     return symbols, found, outside
 
 
-def _sampled(v: Vocabulary):
+#: Weights that travel as one row.
+PIECE = 16_384
+
+
+def _dealt(v: Vocabulary, deals: int, seed: int):
+    """(id, text) -> the group that learns from the document, its place there, its symbols."""
+    from xxhash import xxh64_intdigest
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes = _Codes(v.codes)
+        codes, seen = _Codes(v.codes), Counter()
         for batch in batches:
-            ids = [_symbols(v, codes, tokens_of(t.as_py()))[0].tolist() for t in batch.column(0)]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.list_(pa.int32()))], ["symbols"])
+            places, ids = [], []
+            for name, text in zip(batch.column(0), batch.column(1)):
+                body = text.as_py()
+                own = xxh64_intdigest(f"{name.as_py()}:{xxh64_intdigest(body, seed)}", seed)
+                places.append(xxh64_intdigest(f"{own}:{seen[own]}", seed) >> 1)
+                seen[own] += 1
+                ids.append(_symbols(v, codes, tokens_of(body))[0].astype(np.int32))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([p % deals for p in places], pa.int64()),
+                    pa.array(places, pa.int64()),
+                    pa.array(ids, pa.list_(pa.int32())),
+                ],
+                ["deal", "place", "symbols"],
+            )
+
+    return run
+
+
+def _learned(layout: recurrent.Layout, start: recurrent.Weights, hidden: int, rate: float):
+    def run(key: tuple, group: pa.Table) -> pa.Table:
+        group = group.sort_by("place")
+        flat = group.column("symbols").combine_chunks()
+        ends = flat.offsets.to_numpy()
+        values = flat.values.to_numpy()
+        documents = [values[a:b] for a, b in zip(ends[:-1], ends[1:])]
+        w = recurrent.Weights(*(a.copy() for a in start.arrays()))
+        recurrent.train(w, layout, documents, hidden, rate=rate, seed=key[0].as_py())
+        tokens = int(ends[-1] - ends[0])
+        whole_set = np.concatenate([a.ravel() for a in w.arrays()]).astype(np.float64) * tokens
+        pieces = [whole_set[at : at + PIECE] for at in range(0, len(whole_set), PIECE)]
+        n = len(pieces)
+        return pa.table(
+            {
+                "piece": pa.array(range(n), pa.int32()),
+                "deal": pa.array([key[0].as_py()] * n, pa.int64()),
+                "tokens": pa.array([tokens] * n, pa.int64()),
+                "sums": pa.array([p.tobytes() for p in pieces], pa.binary()),
+            }
+        )
 
     return run
 
 
+def _added(key: tuple, group: pa.Table) -> pa.Table:
+    """One row for a piece's rows: their sums, always added in the same order."""
+    group = group.sort_by("deal")
+    sums = sum(np.frombuffer(b.as_py(), np.float64) for b in group.column("sums"))
+    return pa.table(
+        {
+            "piece": pa.array([key[0].as_py()], pa.int32()),
+            "deal": pa.array([group.column("deal")[0].as_py()], pa.int64()),
+            "tokens": pa.array([sum(group.column("tokens").to_pylist())], pa.int64()),
+            "sums": pa.array([sums.tobytes()], pa.binary()),
+        }
+    )
+
+
+def learn(training: DataFrame, v: Vocabulary, w: recurrent.Weights, settings: LmSettings) -> recurrent.Weights:
+    """Weights after ``passes`` passes over ``training`` (id, text)."""
+    deals = max(1, math.ceil(v.total / settings.deal_tokens))
+    shape = "piece int, deal long, tokens long, sums binary"
+    for turn in range(settings.passes):
+        dealt = training.mapInArrow(
+            _dealt(v, deals, settings.seed + turn), "deal long, place long, symbols array<int>"
+        )
+        found = dealt.groupBy("deal").applyInArrow(
+            _learned(v.layout, w, settings.hidden, 0.01 / (1 + turn)), shape
+        )
+        level = found.groupBy("piece", F.pmod("deal", F.lit(64)).alias("some")).applyInArrow(_added, shape)
+        rows = sorted(level.groupBy("piece").applyInArrow(_added, shape).collect(), key=lambda r: r["piece"])
+        if not rows:
+            return w
+        mean = np.concatenate([np.frombuffer(r["sums"], np.float64) / r["tokens"] for r in rows])
+        arrays, at = [], 0
+        for a in w.arrays():
+            arrays.append(mean[at : at + a.size].reshape(a.shape).astype(a.dtype))
+            at += a.size
+        w = recurrent.Weights(*arrays)
+    return w
+
+
 def _scored(v: Vocabulary, w: recurrent.Weights, hidden: int):
     from xxhash import xxh64_intdigest
 
@@ -260,19 +348,8 @@ def language_scores(
     counts = cut_lineage(word_counts(training))
     vocabulary, mass, lowest = build_vocabulary(counts, settings)
     weights = recurrent.initial(vocabulary.layout, settings.hidden, mass, settings.seed)
-    share = min(1.0, settings.fit_tokens / max(vocabulary.total, 1))
-    draw = F.pmod(F.xxhash64(F.col(id_col), F.lit(settings.seed)), F.lit(1_000_003)) / 1_000_003
-    sample = docs.where(~held_out & (draw <= share)).select(text)
-    symbols = sample.mapInArrow(_sampled(vocabulary), "symbols array<int>").toLocalIterator()
-    documents, held = [], 0
-    for r in symbols:
-        documents.append(np.array(r["symbols"], np.int32))
-        held += len(documents[-1])
-        if held > 2 * settings.fit_tokens:  # a few very long documents
-            break
-    recurrent.train(
-        weights, vocabulary.layout, documents, settings.hidden, tokens=settings.train_tokens
-    )
+    own = F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("id")
+    weights = learn(docs.where(~held_out).select(own, text), vocabulary, weights, settings)
     named = docs.select(
         F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), held_out.alias("held_out"), text
     )

@@ -174,7 +174,13 @@ def _window_gradient(
         d_recurrent += before.T @ du
         carry = (d * z + du @ w.recurrent.T) * kept[t]
     d_inputs = np.zeros_like(w.inputs)
-    np.add.at(d_inputs, x.reshape(-1), d_gates.reshape(-1, 3 * n))
+    # rows of equal symbols next to each other, summed at once
+    symbols = x.reshape(-1)
+    order = np.argsort(symbols, kind="stable")
+    begins = np.nonzero(np.diff(symbols[order], prepend=-1))[0]
+    d_inputs[symbols[order][begins]] = np.add.reduceat(
+        d_gates.reshape(-1, 3 * n)[order], begins, axis=0
+    )
     return [d_inputs, d_recurrent, d_class, d_class_bias, d_word, d_word_bias], h, float(loss)
 
 
@@ -183,15 +189,16 @@ def train(
     layout: Layout,
     documents: list[np.ndarray],
     hidden: int,
-    lanes: int = 64,
+    lanes: int = 256,
     window: int = 16,
-    tokens: int = 1_500_000,
+    passes: int = 1,
     rate: float = 0.01,
     seed: int = 0,
 ) -> float:
-    """Adam over windows of ``lanes`` streams until ``tokens`` are read; last mean loss.
+    """Adam over windows of ``lanes`` streams; every token is read ``passes`` times at least.
 
-    Documents are joined in a seeded order; the state is cleared where one begins.
+    Documents are joined in a seeded order; the state is cleared where one begins. The last
+    stream is filled up from the first documents; the mean loss of the last window returns.
     """
     documents = [d for d in documents if len(d)]
     total = sum(map(len, documents))
@@ -201,18 +208,19 @@ def train(
     class_of = layout.class_of()
     first = [np.zeros_like(a) for a in w.arrays()]
     second = [np.zeros_like(a) for a in w.arrays()]
-    lanes = max(1, min(lanes, total // (4 * window) or 1))
+    lanes = max(1, min(lanes, total // (64 * window)))
+    length = -(-total // lanes)
+    tokens = passes * lanes * length
     done = count = 0
     loss = 0.0
-    while done < tokens:
+    for _ in range(passes):
         order = rng.permutation(len(documents))
         goal = np.concatenate([documents[i] for i in order])
         seen = np.concatenate(
             [np.concatenate([[layout.start], documents[i][:-1]]) for i in order]
         )
-        length = total // lanes
-        goal = goal[: length * lanes].reshape(lanes, length).T
-        seen = seen[: length * lanes].reshape(lanes, length).T
+        goal = np.resize(goal, length * lanes).reshape(lanes, length).T
+        seen = np.resize(seen, length * lanes).reshape(lanes, length).T
         h = np.zeros((lanes, hidden), np.float32)
         for at in range(0, length, window):
             x, y = seen[at : at + window], goal[at : at + window]
@@ -228,8 +236,6 @@ def train(
                 m += 0.1 * (s - m)
                 v += 0.001 * (s * s - v)
                 a -= speed * (m / (1 - 0.9**count)) / (np.sqrt(v / (1 - 0.999**count)) + 1e-8)
-            if done >= tokens:
-                break
     return loss
 
 

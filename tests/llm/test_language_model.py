@@ -3,13 +3,14 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from odd_rows import TEXTS, no_documents, odd_documents
 
 from lumenbar.llm import recurrent
-from lumenbar.llm.lm_scoring import LmSettings, language_scores
+from lumenbar.llm.lm_scoring import LmSettings, _added, language_scores
 
-SMALL = LmSettings(heads=60, head_classes=5, tails=6, hidden=8, fit_tokens=40_000, train_tokens=40_000)
+SMALL = LmSettings(heads=60, head_classes=5, tails=6, hidden=8)
 
 
 def tokens(text):
@@ -48,13 +49,51 @@ def test_documents(spark, dictionary):
     """Counts are exact whether a word is in the tasks' dictionary or not; the model beats
     the base on documents that it has not seen."""
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
-    settings = LmSettings(dictionary=dictionary, fit_tokens=100_000, train_tokens=150_000, heads=90)
+    settings = LmSettings(dictionary=dictionary, heads=90)
     rows = language_scores(docs, settings=settings).collect()
     check_base(rows, [(r.doc_id, r.text) for r in docs.collect()])
     held = [r for r in rows if r.held_out]
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
+def test_scores_do_not_depend_on_the_layout_and_learn_from_all(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    settings = LmSettings(heads=90, hidden=8, deal_tokens=4_000)
+
+    def scores(df, s=settings):
+        return {r.doc_id: r.score for r in language_scores(df, settings=s).collect()}
+
+    once = scores(docs)
+    again = scores(docs.repartition(5))
+    assert once.keys() == again.keys()
+    # documents are scored side by side in 32-bit sums, whose last digits follow their company
+    assert max(abs(again[i] / once[i] - 1) for i in once) < 1e-6
+    held = [i for i in once if fold(i) == 1]
+    unlearned = scores(docs, LmSettings(heads=90, hidden=8, passes=0))
+    assert sum(once[i] for i in held) > sum(unlearned[i] for i in held)
+
+
+def test_averages_of_weights_are_weighted_by_tokens():
+    rows = [(0, 3, 10, [1.0, 2.0]), (0, 1, 30, [5.0, 6.0]), (0, 2, 2, [0.5, 0.0])]
+    group = pa.table(
+        {
+            "piece": pa.array([r[0] for r in rows], pa.int32()),
+            "deal": [r[1] for r in rows],
+            "tokens": [r[2] for r in rows],
+            "sums": [np.array(r[3]).tobytes() for r in rows],
+        }
+    )
+    out = _added((pa.scalar(0),), group).to_pylist()[0]
+    assert (out["piece"], out["deal"], out["tokens"]) == (0, 1, 42)
+    assert np.frombuffer(out["sums"]).tolist() == [6.5, 8.0]
+
+
+def test_a_row_repeated_often_spreads_over_the_groups_that_learn(spark):
+    docs = spark.createDataFrame([(2, "the same row")] * 2000, "doc_id long, text string")
+    held = [r.score for r in language_scores(docs, settings=LmSettings(hidden=8, deal_tokens=500)).collect()]
+    assert len(held) == 2000 and len(set(held)) == 1
+
+
 def test_empty_tables(spark):
     assert language_scores(no_documents(spark), settings=SMALL).count() == 0
     only_held_out = odd_documents(spark, [(i, "a b", "s") for i in range(30) if fold(i) == 1])
