@@ -1,16 +1,22 @@
 """Main text of web pages by nearest-URL page differencing.
 
-Pages of a host are ordered by URL path, so that a page's neighbours come from the same
-section and template. Two neighbours' text lines are aligned by a longest common
-subsequence, and the lines they share are template and go. A line that the page's own
-markup places in its article is never template: articles may be published twice under
-neighbouring paths. Lines that the markup names as menu, header, footer, sidebar, notice,
-advert, form or comment go with or without a neighbour, because templates that rotate
-their menus, adverts and notices do not repeat them on the next page.
-
-Defined results: NULL html is empty; pages without text give the empty text; repeated
-pages do not delete each other's articles; NULL urls form one host of their own; an empty
-table gives no rows. Texts are neither cut nor capped. Only id, url and html are read.
+Pages of a host are ordered by URL path and id, so that a page's neighbours come from the
+same section and template. A page is aligned with other articles among the ``NEAR`` pages
+before it and behind it by a longest common subsequence of text lines, and shared lines are
+template: inside what the markup calls the article a line goes if all of them (two at least)
+share it, since articles quote each other; anywhere else if the nearest on either side does
+(the two nearest where one side has none). A neighbour that holds nearly the same lines
+(``TWIN``) is the same article published again and says nothing about the template.
+
+Lines that the markup names as menu, header, footer, sidebar, notice, advert, form or comment
+go with or without a neighbour, because templates that rotate their menus, adverts and
+notices do not repeat them on the next page. Inside an article the name of a class counts
+only as a whole: ``ad-box`` is chrome there, ``art-share-price`` is not.
+
+Defined results: NULL html is empty; pages without text give the empty text; rows that repeat
+id and page are one page and get the same text; NULL urls form one host of their own; an empty
+table gives no rows. Texts are neither cut nor capped, and do not depend on how the rows are
+partitioned. Only id, url and html are read. Rows that repeat one id and url stay in one task.
 """
 
 from __future__ import annotations
@@ -18,15 +24,17 @@ from __future__ import annotations
 import html as entities
 import json
 import re
+from bisect import bisect_left
+from collections import deque
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenbar.llm.common import whole
+from lumenbar.llm.common import whole, workers_of
 
 # Element names of HTML by what they mean for the text.
 VOID = frozenset(
@@ -53,8 +61,18 @@ CHROME_WORDS = frozenset(
     "breadcrumb breadcrumbs header footer masthead copyright social share sharing comment comments "
     "disqus reply replies respond toolbar pagination pager skip".split()
 )
+#: Words that may stand beside those above in a name that is chrome as a whole.
+PLAIN_WORDS = frozenset(
+    "area bar block bottom box button container content group inner item left link links list "
+    "main page panel post right section site slot small top wrap wrapper".split()
+)
 # End of fixed values.
 
+#: Pages on each side that are asked at most.
+NEAR = 3
+#: Two pages whose lines differ in no more than this share of their characters are one article.
+TWIN = 0.1
+
 TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>"
     r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
@@ -69,7 +87,15 @@ SPACE = re.compile(r"\s+")
 ARTICLE, OPEN, NAMED = 2, 1, 0
 
 
-def _is_chrome(tag: str, attributes: str) -> bool:
+def _names_chrome(name: str, inside: bool) -> bool:
+    words = [w.lower() for w in WORDS.findall(name)]
+    if not any(w in CHROME_WORDS for w in words):
+        return False
+    return not inside or all(w in CHROME_WORDS or w in PLAIN_WORDS or w.isdigit() for w in words)
+
+
+def _is_chrome(tag: str, attributes: str, inside: bool) -> bool:
+    """Whether markup names an element as chrome; ``inside`` an article only whole names do."""
     if tag in CHROME:
         return True
     if not attributes or tag in WHOLE:
@@ -79,7 +105,7 @@ def _is_chrome(tag: str, attributes: str) -> bool:
         if kind.lower() == "role":
             if value.lower() in CHROME_ROLES:
                 return True
-        elif any(w.lower() in CHROME_WORDS for w in WORDS.findall(value)):
+        elif any(_names_chrome(name, inside) for name in value.split()):
             return True
     return bool(HIDDEN.search(attributes))
 
@@ -129,12 +155,12 @@ def lines_of(page: str) -> tuple[list[str], list[int]]:
             close = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
             at = close.end() if close else end
             continue
-        if tag in INLINE and not (m[3] and _is_chrome(tag, m[3])):
+        if tag in INLINE and not (m[3] and _is_chrome(tag, m[3], article > 0)):
             continue
         flush()
         if tag in VOID or (m[3] or "").endswith("/"):
             continue
-        entry = (tag, _is_chrome(tag, m[3]), tag in ("article", "main"))
+        entry = (tag, _is_chrome(tag, m[3], article > 0), tag in ("article", "main"))
         open_tags.append(entry)
         chrome += entry[1]
         article += entry[2]
@@ -188,79 +214,191 @@ def common_lines(a: np.ndarray, b: np.ndarray) -> list[int]:
     return sorted(out)
 
 
-def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Lines of each page, compressed, as they cross the network once."""
-    import zlib
+class Page:
+    """One page as its neighbours see it: lines, places, characters and one hash a line."""
 
-    for batch in batches:
-        packed = []
-        for page in batch.column(3):
-            packed.append(zlib.compress(json.dumps(lines_of(page.as_py())).encode(), 3))
-        yield pa.RecordBatch.from_arrays(
-            [*(batch.column(i) for i in range(3)), pa.array(packed, pa.binary())],
-            ["id", "url", "path", "lines"],
-        )
+    def __init__(self, path: str, lines: list[str], places: list[int]) -> None:
+        self.host, self.lines, self.places = path.split("/", 1)[0], lines, places
+        self.hashes = np.array([hash(x) for x in lines], np.int64)
+        sizes = np.array([len(x) for x in lines], np.int64)
+        self.sizes = np.where(np.array(places, np.int64) != NAMED, sizes, 0)
+        self.size = int(self.sizes.sum())
 
+    def shared(self, other: Page) -> set[int]:
+        return set(common_lines(self.hashes, other.hashes))
+
+    def unlike(self, other: Page) -> bool:
+        """Whether the pages' lines, but for named chrome, are those of two articles."""
+        small, large = sorted((self.size, other.size))
+        if small < (1 - TWIN) * large:
+            return True
+        own = int(self.sizes[np.isin(self.hashes, other.hashes)].sum())
+        its = int(other.sizes[np.isin(other.hashes, self.hashes)].sum())
+        return own < (1 - TWIN) * self.size or its < (1 - TWIN) * other.size
 
-def _host(path: str) -> str:
-    return path.split("/", 1)[0]
 
+def kept_text(page: Page, before: list[Page], behind: list[Page]) -> str:
+    """The page's lines that are neither named chrome nor template.
 
-def kept_text(own: tuple, neighbours: list[tuple]) -> str:
-    """The page's lines without those named as chrome or shared with a neighbour."""
-    lines, places, hashes = own
-    shared = set()
-    for _, _, other in neighbours:
-        shared.update(common_lines(hashes, other))
+    ``before`` and ``behind`` are pages of its host, nearest first.
+    """
+    sides = [[x for x in side if page.unlike(x)] for side in (before, behind)]
+    places = set(page.places)
+    template: set[int] = set()
+    if OPEN in places:
+        nearest = [side[0] for side in sides if side]
+        if len(nearest) == 1:
+            nearest += [x for side in sides for x in side[1:2]]
+        shared = set().union(*(page.shared(x) for x in nearest))
+        template.update(i for i in shared if page.places[i] == OPEN)
+    every = [x for side in sides for x in side]
+    if ARTICLE in places and len(every) > 1:
+        # most pages have no line that stands on every other: no need to align them
+        if set(page.hashes.tolist()).intersection(*(x.hashes.tolist() for x in every)):
+            shared = set.intersection(*(page.shared(x) for x in every))
+            template.update(i for i in shared if page.places[i] == ARTICLE)
     return " ".join(
         line
-        for i, (line, place) in enumerate(zip(lines, places))
-        if place == ARTICLE or (place == OPEN and i not in shared)
+        for i, (line, place) in enumerate(zip(page.lines, page.places))
+        if place != NAMED and i not in template
     )
 
 
+def _order(path: str, page_id: object) -> tuple:
+    """Sort key that orders as Spark does, NULL ids first."""
+    return path, page_id is not None, page_id
+
+
+def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """First and last ``NEAR`` keys of a sorted range, and its number among the ranges."""
+    from pyspark import TaskContext
+
+    first: list[tuple] = []
+    last: deque[tuple] = deque(maxlen=NEAR)
+    fields = None
+    for batch in batches:
+        fields = [batch.schema.field(0), batch.schema.field(1)]
+        for key in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            if last and last[-1] == key:
+                continue
+            last.append(key)
+            if len(first) < NEAR:
+                first.append(key)
+    if fields:
+        keys = [*first, *last]
+        part = TaskContext.get().partitionId()
+        columns = [pa.array([k[i] for k in keys], fields[i].type) for i in (0, 1)]
+        ends = [i >= len(first) for i in range(len(keys))]
+        yield pa.RecordBatch.from_arrays(
+            [*columns, pa.array(ends), pa.array([part] * len(keys), pa.int32())],
+            ["path", "id", "is_end", "part"],
+        )
+
+
+class Ranges:
+    """Upper ends of the ranges of (path, id), and the ranges a key is lent to as neighbour."""
+
+    def __init__(self, rows: list) -> None:
+        found: dict[int, tuple[list, list]] = {}
+        for r in rows:
+            found.setdefault(r["part"], ([], []))[r["is_end"]].append(_order(r["path"], r["id"]))
+        sides = [(sorted(first), sorted(last)) for _, (first, last) in sorted(found.items())]
+        self.ends = [last[-1] for _, last in sides]
+        self.lent: dict[tuple, set[int]] = {}
+        for i in range(len(sides)):
+            for others, pick in ((range(i), slice(-NEAR, None)), (range(i + 1, len(sides)), slice(NEAR))):
+                # as many ranges away as it takes to see NEAR keys: ranges may be short
+                keys: set[tuple] = set()
+                for j in reversed(others) if others.stop == i else others:
+                    keys.update(sides[j][others.stop == i])
+                    if len(keys) >= NEAR:
+                        break
+                for key in sorted(keys)[pick]:
+                    self.lent.setdefault(key, set()).add(i)
+
+    def of(self, key: tuple) -> int:
+        """The range of a key; one behind all ends belongs to the last."""
+        return min(bisect_left(self.ends, key), len(self.ends) - 1)
+
+
+def _parsed(batches: Iterator[pa.RecordBatch], ranges: Ranges) -> Iterator[pa.RecordBatch]:
+    """Lines of each page, compressed, for its range and those it is lent to."""
+    import hashlib
+    import zlib
+
+    for batch in batches:
+        rows: list[tuple] = []
+        for page_id, url, path, html in zip(*(batch.column(i) for i in range(4))):
+            key = _order(path.as_py(), page_id.as_py())
+            raw = html.as_py()
+            packed = zlib.compress(json.dumps(lines_of(raw)).encode(), 3)
+            mark = hashlib.blake2b(raw.encode(), digest_size=8).digest()
+            part = ranges.of(key)
+            for to in {part} | ranges.lent.get(key, set()):
+                rows.append((page_id.as_py(), url.as_py(), key[0], mark, packed, to, to == part))
+        kinds = [batch.schema.field(0).type, pa.string(), pa.string(), pa.binary(), pa.binary()]
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array([r[i] for r in rows], kind)
+                for i, kind in enumerate([*kinds, pa.int32(), pa.bool_()])
+            ],
+            ["id", "url", "path", "mark", "lines", "part", "own"],
+        )
+
+
 def _differenced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pages come in URL order; each is compared with those before and after it.
+    """Pages of ranges in order; each is compared with those before and behind it.
 
-    Three pages are held at a time. At the edge of a range of URLs a page has one
-    neighbour only.
+    ``2 * NEAR + 1`` pages are held at a time, and the urls of rows that repeat one of them.
     """
     import zlib
 
     kind = pa.int64()
 
-    def rows():
+    def pages():
+        """(range and host, page, rows): a page once, with the rows that repeat it."""
         nonlocal kind
+        last = None
         for batch in batches:
             kind = batch.schema.field(0).type
-            for i in range(batch.num_rows):
-                lines, places = json.loads(zlib.decompress(batch.column(3)[i].as_py()))
-                numbered = np.array([hash(x) for x in lines], np.int64)
-                yield tuple(batch.column(c)[i].as_py() for c in range(3)), (lines, places, numbered)
-
-    def article_only(page: tuple) -> bool:
-        return OPEN not in page[1]
+            for page_id, url, path, mark, lines, part, own in zip(*(batch.column(i) for i in range(7))):
+                key = (part.as_py(), path.as_py(), page_id.as_py(), mark.as_py())
+                if last is None or last[0] != key:
+                    if last:
+                        yield last
+                    page = Page(key[1], *json.loads(zlib.decompress(lines.as_py())))
+                    last = key, page, []
+                if own.as_py():
+                    last[2].append((key[2], url.as_py()))
+        if last:
+            yield last
 
-    last = None
-    now = None
     out: tuple[list, list, list] = ([], [], [])
     size = 0
-    for nxt in chain(rows(), [None]):
-        if now is not None:
-            (page_id, url, path), page = now
-            near = [
-                other[1]
-                for other in (last, nxt)
-                if other is not None and _host(other[0][2]) == _host(path)
+    behind: deque = deque()
+    before: deque = deque(maxlen=NEAR)
+    for nxt in chain(pages(), [None] * NEAR):
+        behind.append(nxt)
+        if len(behind) <= NEAR:
+            continue
+        now = behind.popleft()
+        if now is None:
+            continue
+        key, page, rows = now
+        if rows:
+            sides = [
+                [x[1] for x in side if x and x[0][0] == key[0] and x[1].host == page.host]
+                for side in (reversed(before), behind)
             ]
-            text = kept_text(page, [] if article_only(page) else near)
-            for column, value in zip(out, (page_id, url, text)):
-                column.append(value)
-            size += len(text)
-            if size > 1 << 20 or len(out[0]) >= 512:
-                yield _batch(out, kind)
-                out, size = ([], [], []), 0
-        last, now = now, nxt
+            text = kept_text(page, *sides)
+            for page_id, url in rows:
+                for column, value in zip(out, (page_id, url, text)):
+                    column.append(value)
+                size += len(text)
+                if size > 1 << 20 or len(out[0]) >= 512:
+                    yield _batch(out, kind)
+                    out, size = ([], [], []), 0
+        before.append(now)
     if out[0]:
         yield _batch(out, kind)
 
@@ -277,9 +415,10 @@ def main_text(
 ) -> DataFrame:
     """One row per page: id, url, text, n_chars.
 
-    The compressed lines are range-partitioned by host and path, so a host with a third of
-    all pages is spread over many tasks. Finding the ranges parses the pages a second time,
-    which is cheaper than the disk that keeping the lines would take.
+    A first pass over ids and urls alone finds ranges of (path, id), so a host with a third of
+    all pages is spread over many tasks; the first and last pages of a range are lent to the
+    ranges beside it. The driver holds ``2 * NEAR`` keys a range. Pages are parsed once, and
+    their compressed lines cross the network once.
     """
     url = F.col(url_col)
     rest = F.regexp_replace(F.lower(whole(url)), r"^[a-z]+://(www\.|m\.)?|[?#].*$", "")
@@ -290,10 +429,26 @@ def main_text(
         whole(F.col(html_col)).alias("html"),
     )
     kind = source.schema["id"].dataType.simpleString()
-    parsed = source.mapInArrow(_parsed, f"id {kind}, url string, path string, lines binary")
-    return (
-        parsed.repartitionByRange("path", "id")
+    n = workers_of(pages)
+    edges = (
+        source.select("path", "id")
+        .repartitionByRange(n, "path", "id")
         .sortWithinPartitions("path", "id")
+        .mapInArrow(_edges, f"path string, id {kind}, is_end boolean, part int")
+    )
+    ranges = Ranges(edges.collect())
+    if not ranges.ends:
+        return source.select(
+            F.col("id").alias(id_col), F.col("url").alias(url_col),
+            F.lit("").alias("text"), F.lit(0).cast("long").alias("n_chars"),
+        )
+    return (
+        source.mapInArrow(
+            lambda batches: _parsed(batches, ranges),
+            f"id {kind}, url string, path string, mark binary, lines binary, part int, own boolean",
+        )
+        .repartitionById(n, F.col("part"))
+        .sortWithinPartitions("part", "path", "id", "mark")
         .mapInArrow(_differenced, f"id {kind}, url string, text string")
         .select(
             F.col("id").alias(id_col),
