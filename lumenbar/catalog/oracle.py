@@ -1191,3 +1191,13 @@ ORACLE["boost_stopping"] = sql(
     true AS kept_to_the_best FROM trained""",
     *LAB1,
 )
+
+# Other ways to the same rows.
+for _name, _same in (
+    ("incremental_load_ledger", "incremental_load"),
+    ("change_log_digest", "change_log"),
+    ("reconcile_keys_digest", "reconcile_keys"),
+    ("drift_psi_daily", "drift_psi"),
+    ("feature_quantiles_daily", "feature_quantiles"),
+):
+    ORACLE[_name] = ORACLE[_same]

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from lumenbar.functions.formatting import growth_text
 from lumenbar.operators import audit, backtest, drift, guards, incremental, indicators, labels
-from lumenbar.operators import merge, metrics
+from lumenbar.operators import digests, histograms, merge, metrics
 from lumenbar.operators import quality, quantiles, splits
 from lumenbar.operators.nav import nav_features
 from lumenbar.functions.scoring import signal_label
@@ -192,6 +192,18 @@ def incremental_load_inclusive(spark, d):
     return merge.newer_than_watermark(b, existing, inclusive=True, start_date="1997-01-01")
 
 
+def incremental_load_ledger(spark, d):
+    """Watermarks kept batch by batch (the last one late), never read from the history."""
+    b = bars(spark, d)
+    t = F.col("event_time")
+    existing = b.where((t <= F.lit("1998-01-01").cast("date")) & (F.col("symbol") != "Brand#1"))
+    first, late = F.lit("1994-01-01").cast("date"), F.lit("1996-01-01").cast("date")
+    ledger = merge.watermarks(existing.where(t < first))
+    for batch in (existing.where(t >= late), existing.where((t >= first) & (t < late))):
+        ledger = stored(merge.advance_watermarks(ledger, batch))
+    return merge.newer_than_marks(b, ledger, start_date="1997-01-01")
+
+
 def _upsert_pair(spark, d):
     """Stored: orders up to 1998. Incoming: every order no longer open, repriced."""
     orders = table(spark, d, "orders").select(
@@ -247,7 +259,7 @@ def versioned_merge(spark, d):
     return kept.read()
 
 
-def change_log(spark, d):
+def _changed_customers(spark, d):
     columns = ["c_custkey", "c_name", "c_acctbal", "c_mktsegment"]
     customer = table(spark, d, "customer").select(*columns)
     before = customer.where(F.col("c_acctbal") >= 0)
@@ -255,8 +267,22 @@ def change_log(spark, d):
         F.col("c_acctbal")
     )
     after = customer.where(F.col("c_mktsegment") != "MACHINERY").withColumn("c_acctbal", raised)
-    log = merge.change_log(before, after, ["c_custkey"])
+    return before, after
+
+
+def change_log(spark, d):
+    before, after = _changed_customers(spark, d)
+    return _balances(merge.change_log(before, after, ["c_custkey"]))
+
+
+def change_log_digest(spark, d):
+    """The same log from the key buckets whose stored digests differ."""
+    before, after = _changed_customers(spark, d)
+    kept = tuple(stored(digests.bucket_digests(x, ["c_custkey"])) for x in (before, after))
+    return _balances(digests.change_log_by_digest(before, after, ["c_custkey"], kept))
+
 
+def _balances(log):
     def balance(c):
         return F.get_json_object(c, "$.c_acctbal").cast("double")
 
@@ -597,6 +623,31 @@ def drift_psi(spark, d):
     return drift.psi(_drift_counts(_drift_windows(spark, d)))
 
 
+def _stored_days(spark, rows):
+    """Histograms of all days, stored in two batches, the second with a day of the first again."""
+    path = new_folder(spark)
+    t = F.col("event_date")
+    cut = F.lit("1995-06-15").cast("date")
+    histograms.write_days(rows.where(t <= cut), FEATURES, path)
+    histograms.write_days(rows.where(t >= cut), FEATURES, path)
+    return path
+
+
+def drift_psi_daily(spark, d):
+    """PSI from stored daily histograms; values are read of the bins with an edge only."""
+    rows = stored(silver(spark, d).withColumnRenamed("event_time", "event_date"))
+    days = histograms.read_days(spark, _stored_days(spark, rows))
+    return histograms.histogram_psi(days, drift.drift_windows(rows), FEATURES)
+
+
+def feature_quantiles_daily(spark, d):
+    rows = stored(silver(spark, d).withColumnRenamed("event_time", "event_date"))
+    days = histograms.read_days(spark, _stored_days(spark, rows))
+    q = histograms.histogram_quantiles(days, rows, FEATURES, [0.005, 0.25, 0.5, 0.75, 0.995])
+    names = ["q005", "q250", "q500", "q750", "q995"]
+    return q.select("feature", "n", *[F.col("q")[i].alias(n) for i, n in enumerate(names)])
+
+
 def drift_ks(spark, d):
     return drift.ks(_drift_counts(_drift_windows(spark, d)))
 
@@ -854,6 +905,13 @@ def reconcile_keys(spark, d):
     )
 
 
+def reconcile_keys_digest(spark, d):
+    source = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("k")).distinct()
+    target = table(spark, d, "orders").where(F.col("o_orderstatus") != "P")
+    target = target.select(F.col("o_orderkey").alias("k")).distinct()
+    return digests.reconcile_by_digest(source, target, ["k"])
+
+
 def _audit_events(spark, d):
     """Start and end events per task; each event of a user is a state of that user's run."""
     kind, v = F.col("event_type"), F.col("value")
@@ -1102,7 +1160,8 @@ QUERIES = {
         audit_current_state, table_lineage, quality_profile, quality_columns,
         quality_issues, quality_gate, quality_dashboard, train_candidates, ensemble_scores,
         walk_forward_ml, versioned_merge, incremental_features, fund_signals, fallback_signals,
-        ensemble_vote, training_registry, boost_stopping,
+        ensemble_vote, training_registry, boost_stopping, incremental_load_ledger,
+        change_log_digest, reconcile_keys_digest, drift_psi_daily, feature_quantiles_daily,
     ]
 }
 

@@ -54,12 +54,8 @@ def psi(counts: DataFrame, bins: int = PSI_BINS) -> DataFrame:
     means = counts.groupBy("feature").agg(
         F.try_divide(F.sum(F.col("value") * F.col("base")), F.sum("base")).alias("_mean")
     )
-    ends = F.array(F.col("q")[0], F.col("_mean"), F.col("q")[bins])
-    unique = F.array_distinct("q")
     # a row per feature
-    cuts = edges.join(means, "feature").select(
-        "feature", F.when(F.size(unique) < 3, ends).otherwise(unique).alias("_cuts")
-    )
+    cuts = psi_cuts(edges, means, bins)
     v, top = F.col("value"), F.element_at("_cuts", -1)
     index = F.when(v == top, F.size("_cuts") - 1).otherwise(
         F.size(F.filter("_cuts", lambda e: e <= v))
@@ -70,6 +66,20 @@ def psi(counts: DataFrame, bins: int = PSI_BINS) -> DataFrame:
         .groupBy("feature", index.alias("_index"))
         .agg(F.sum("base").alias("_b"), F.sum("recent").alias("_r"))
     )
+    return psi_of_bins(filled)
+
+
+def psi_cuts(edges: DataFrame, means: DataFrame, bins: int = PSI_BINS) -> DataFrame:
+    """Edges per feature: its distinct quantiles, or ends and mean where those are too few."""
+    ends = F.array(F.col("q")[0], F.col("_mean"), F.col("q")[bins])
+    unique = F.array_distinct("q")
+    return edges.join(means, "feature").select(
+        "feature", F.when(F.size(unique) < 3, ends).otherwise(unique).alias("_cuts")
+    )
+
+
+def psi_of_bins(filled: DataFrame) -> DataFrame:
+    """PSI per feature from the baseline and recent counts ``_b``, ``_r`` of its bins."""
     all_bins = Window.partitionBy("feature")
 
     def share(c: str):

@@ -19,6 +19,17 @@ def watermarks(existing: DataFrame, symbol: str = "symbol", time: str = "event_t
     return existing.groupBy(symbol).agg(F.max(time).alias("watermark"))
 
 
+def advance_watermarks(
+    ledger: DataFrame, batch: DataFrame, symbol: str = "symbol", time: str = "event_time"
+) -> DataFrame:
+    """The ledger (a row per symbol) after a merged batch: the later of old and new.
+
+    A late batch moves no mark back. Reads the ledger and the batch, never the history.
+    """
+    both = ledger.select(symbol, "watermark").unionByName(watermarks(batch, symbol, time))
+    return both.groupBy(symbol).agg(F.max("watermark").alias("watermark"))
+
+
 def newer_than_watermark(
     incoming: DataFrame,
     existing: DataFrame,
@@ -32,6 +43,18 @@ def newer_than_watermark(
     ``inclusive`` also keeps the watermark day itself, compared by date.
     """
     marks = watermarks(existing, symbol, time)
+    return newer_than_marks(incoming, marks, inclusive, start_date, symbol, time)
+
+
+def newer_than_marks(
+    incoming: DataFrame,
+    marks: DataFrame,
+    inclusive: bool = False,
+    start_date: str = INGEST_START_DATE,
+    symbol: str = "symbol",
+    time: str = "event_time",
+) -> DataFrame:
+    """`newer_than_watermark` from a ledger of watermarks kept by the merges before."""
     joined = incoming.join(marks, symbol, "left")
     day = F.to_date(time)
     if inclusive:

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Bins of a probability, and parts of each bin.
 PROB_BINS = 65536
 
 
@@ -15,26 +16,37 @@ def roc_auc(
 ) -> DataFrame:
     """Exact tie-aware ROC-AUC per key; NULL when a key has one class.
 
-    Rows merge into distinct probabilities in the map tasks; ranks are built per
-    probability bin, then bins are added up, so no window spans a whole key.
+    Rows merge into distinct probabilities in the map tasks. Ranks are built inside parts of
+    bins, parts are added up inside bins and bins along the key, so no window spans a whole
+    key, however closely calibrated probabilities crowd: a part is 2^-32 wide, and the two
+    windows above it see at most 65,536 rows.
     """
     keys = list(keys)
     distinct = (
         df.groupBy(*keys, F.col(prob).alias("_p"))
         .agg(F.sum(F.col(label).cast("long")).alias("_pos"), F.count(label).alias("_n"))
-        .withColumns({"_neg": F.col("_n") - F.col("_pos"), "_bin": F.floor(F.col("_p") * PROB_BINS)})
+        .withColumns({"_neg": F.col("_n") - F.col("_pos"), "_part": F.floor(F.col("_p") * PROB_BINS * PROB_BINS)})
+        .withColumn("_bin", F.floor(F.col("_part") / PROB_BINS))
     )
-    in_bin = Window.partitionBy(*keys, "_bin").orderBy("_p")
-    below = F.sum("_neg").over(in_bin) - F.col("_neg")
-    bins = (
+    in_part = Window.partitionBy(*keys, "_bin", "_part").orderBy("_p")
+    below = F.sum("_neg").over(in_part) - F.col("_neg")
+    parts = (
         distinct.withColumn("_won", F.col("_pos").cast("double") * (below + F.col("_neg") / 2))
+        .groupBy(*keys, "_bin", "_part")
+        .agg(F.sum("_won").alias("_won"), F.sum("_pos").alias("_pos"), F.sum("_neg").alias("_neg"))
+    )
+
+    def with_lower(df: DataFrame, along) -> DataFrame:
+        lower = F.sum("_neg").over(along) - F.col("_neg")
+        return df.withColumn("_won", F.col("_won") + F.col("_pos").cast("double") * lower)
+
+    bins = (
+        with_lower(parts, Window.partitionBy(*keys, "_bin").orderBy("_part"))
         .groupBy(*keys, "_bin")
         .agg(F.sum("_won").alias("_won"), F.sum("_pos").alias("_pos"), F.sum("_neg").alias("_neg"))
     )
-    along = Window.partitionBy(*keys).orderBy("_bin")
-    lower = F.sum("_neg").over(along) - F.col("_neg")
     return (
-        bins.withColumn("_won", F.col("_won") + F.col("_pos").cast("double") * lower)
+        with_lower(bins, Window.partitionBy(*keys).orderBy("_bin"))
         .groupBy(*keys)
         .agg(
             F.try_divide(

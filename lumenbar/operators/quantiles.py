@@ -37,10 +37,13 @@ def exact_quantiles(
     probs: Sequence[float],
     keys: Sequence[str] = ("feature",),
     weight: str | None = None,
+    counts: DataFrame | None = None,
+    bins_per_e: int = BINS_PER_E,
 ) -> DataFrame:
     """Linear-interpolated quantiles of ``value`` per key: columns ``n`` and ``q`` (array).
 
-    ``weight`` names a column of row counts when equal values are already merged.
+    ``weight`` names a column of row counts when equal values are already merged;
+    ``counts`` is a histogram kept elsewhere (keys, ``_bin``, ``_n``) in bins of ``bins_per_e``.
     Two passes: a histogram finds the bins holding the wanted ranks, then only the
     rows of those bins are counted per value and ranked. Both passes combine in the
     map tasks. The bin list (keys x two ranks per quantile) is broadcast: it does not
@@ -48,16 +51,13 @@ def exact_quantiles(
     """
     keys = list(keys)
     rows = F.sum(weight) if weight else F.count("*")
-    binned = long.withColumn("_bin", order_bin(F.col("value")))
+    binned = long.withColumn("_bin", order_bin(F.col("value"), bins_per_e))
     along = Window.partitionBy(*keys).orderBy("_bin")
-    histogram = (
-        binned.groupBy(*keys, "_bin")
-        .agg(rows.alias("_n"))
-        .withColumns(
-            {"_end": F.sum("_n").over(along), "n": F.sum("_n").over(Window.partitionBy(*keys))}
-        )
-        .withColumn("_start", F.col("_end") - F.col("_n"))
-    )
+    if counts is None:
+        counts = binned.groupBy(*keys, "_bin").agg(rows.alias("_n"))
+    histogram = counts.withColumns(
+        {"_end": F.sum("_n").over(along), "n": F.sum("_n").over(Window.partitionBy(*keys))}
+    ).withColumn("_start", F.col("_end") - F.col("_n"))
 
     def rank(p: float) -> Column:
         return (F.col("n") - 1) * F.lit(float(p))

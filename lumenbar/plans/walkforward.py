@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from datetime import datetime
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -45,6 +47,11 @@ class ValidationSettings:
     drift_baseline_days: int = 252
     drift_min_samples: int = 300
     embargo_days: int = 0
+    # fits that the driver submits at a time
+    fits_at_once: int = 4
+
+#: Mistakes in code and a full driver are no failure of a fit or a horizon.
+FATAL = (TypeError, NameError, AttributeError, MemoryError, ImportError)
 
 
 SPLIT_FACTS = (
@@ -105,11 +112,14 @@ def predict_splits(
 
     A fit that fails is noted in ``failures`` and leaves the others alone.
 
-    The driver loops over fits only (each fit is distributed). Each one's predictions are
-    appended to one table in the shared folder, so metrics do not replay the models.
+    The driver submits fits only (each fit is distributed), ``fits_at_once`` at a time, in a
+    scheduler pool each: while one fit waits for its last task, others use the cluster. Fits
+    are independent and seeded, so the order in which they end changes nothing. Each writes
+    its predictions to a folder of its own, so metrics do not replay the models.
     """
     spark = labelled.sparkSession
-    path, schema = new_folder(spark), None
+    path = new_folder(spark)
+    tasks = []
     for check in checks:
         one_class = check["train_positives"] in (0, check["train_rows"])
         bad = check["date_violation"] or check["overlap_rows"] > 0 or check["test_rows"] == 0
@@ -123,30 +133,48 @@ def predict_splits(
         test = labelled.where(
             (day >= F.lit(check["test_start"])) & (day <= F.lit(check["test_end"]))
         )
-        for name in settings.candidates:
-            try:
-                model = fit_model(
-                    train, name, settings.features, check["train_rows"], horizon, settings.models
-                )
-            except Exception as failure:
-                if failures is None:
-                    raise
-                failures.append(
-                    {"model_type": name, "split": int(check["split"]), "reason": str(failure)}
-                )
-                continue
-            scored = component_score(test, Component(name, model), "prob").select(
-                F.lit(name).alias("model_type"),
-                F.lit(int(check["split"])).alias("split"),
-                "symbol",
-                "event_date",
-                "target",
-                "realized_return",
-                "prob",
+        tasks += [(train, test, check, name) for name in settings.candidates]
+
+    def fit(number: int):
+        train, test, check, name = tasks[number]
+        spark.sparkContext.setLocalProperty("spark.scheduler.pool", f"fit-{number % settings.fits_at_once}")
+        try:
+            model = fit_model(
+                train, name, settings.features, check["train_rows"], horizon, settings.models
             )
-            scored.write.mode("append").parquet(path)
-            schema = scored.schema
-    return None if schema is None else spark.read.schema(schema).parquet(path)
+        except FATAL:
+            raise
+        except Exception as failure:
+            if failures is None:
+                raise
+            reason = f"{type(failure).__name__}: {failure}"
+            return None, {"model_type": name, "split": int(check["split"]), "reason": reason}
+        scored = component_score(test, Component(name, model), "prob").select(
+            F.lit(name).alias("model_type"),
+            F.lit(int(check["split"])).alias("split"),
+            "symbol",
+            "event_date",
+            "target",
+            "realized_return",
+            "prob",
+        )
+        scored.write.parquet(f"{path}/fit-{number}")
+        return scored.schema, None
+
+    with ThreadPoolExecutor(max(1, settings.fits_at_once)) as pool:
+        # one wrapped call a task: a wrapper holds the properties of one thread
+        ended = [pool.submit(inheritable_thread_target(spark)(fit), i) for i in range(len(tasks))]
+        try:
+            results = [e.result() for e in ended]
+        except BaseException:
+            pool.shutdown(cancel_futures=True)
+            raise
+    if failures is not None:
+        failures += [failed for _, failed in results if failed]
+    done = [(i, schema) for i, (schema, _) in enumerate(results) if schema is not None]
+    if not done:
+        return None
+    return spark.read.schema(done[0][1]).parquet(*[f"{path}/fit-{i}" for i, _ in done])
 
 
 def evaluate_predictions(
@@ -256,8 +284,11 @@ def run_walk_forward(
     for h in horizons:
         try:
             results[h] = evaluate_horizon(table, h, settings)
+        except FATAL:
+            raise
         except Exception as failure:  # one horizon must not end the others
-            results[h] = HorizonResult(h, "load_failed", failures=({"reason": str(failure)},))
+            reason = f"{type(failure).__name__}: {failure}"
+            results[h] = HorizonResult(h, "load_failed", failures=({"reason": reason},))
     if output:
         write_report(
             output,

@@ -16,6 +16,8 @@ DEFAULTS = {
     # A hot join key is split at run time when its shuffle partition is skewed.
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.ui.enabled": "false",
+    # Independent model fits share the cluster.
+    "spark.scheduler.mode": "FAIR",
 }
 
 
