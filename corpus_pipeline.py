@@ -28,7 +28,7 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of near duplicates (five-word similarity of 0.8 or more) the smallest id stays.
 
-    Every link is confirmed on the whole shingle sets.
+    Anchor SimHash finds the candidates; every link is confirmed on the whole shingle sets.
     """
     return similar.keep_one(docs, words=5, alike=(4, 5))
 
@@ -50,7 +50,7 @@ STAGES = [
     ("packing", pack),
 ]
 
-#: No SQL can express the trained rules, min-hashing or the tokenizer; tests use brute force.
+#: No SQL can express the trained rules, fingerprints or the tokenizer; tests use brute force.
 ORACLE_SQL = None
 
 

@@ -75,6 +75,26 @@ def fingerprint(text: bytes, words: int, lanes: int = 1) -> list[int]:
     return out
 
 
+def fingerprint_of_set(hashes: np.ndarray, lanes: int) -> np.ndarray:
+    """SimHash of a set of 64-bit hashes that is not empty: ``lanes`` signed 64-bit integers.
+
+    Every lane mixes the given hashes anew, so no text is hashed twice.
+    """
+    turns = np.arange(1, lanes + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    ones = np.zeros(64 * lanes, np.int64)
+    for at in range(0, len(hashes), STEP // 8):
+        x = hashes[at : at + STEP // 8, None] + turns
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            x ^= x >> np.uint64(shift)
+            x *= np.uint64(factor)
+        x ^= x >> np.uint64(31)
+        bits = np.unpackbits(x.view(np.uint8), axis=1, bitorder="little")
+        # sums of 255 bits fit into a byte
+        for row in range(0, len(bits), 255):
+            ones += np.add.reduce(bits[row : row + 255], axis=0, dtype=np.uint8)
+    return np.packbits(2 * ones > len(hashes), bitorder="little").view("<i8")
+
+
 def _lanes(lanes: int) -> list[str]:
     return [f"fp{i}" for i in range(lanes)]
 
@@ -182,12 +202,18 @@ def _anchors(fps: np.ndarray, blocks: list[Block], tables: dict) -> Iterator[tup
             yield key(own, plain ^ (1 << bit)), everyone, 1
 
 
-def _replicate(blocks: list[Block], homes_only: bool):
+def _replicate(blocks: list[Block], homes_only: bool, names: list[str]):
+    lanes = _lanes(1 + max(b.lane for b in blocks))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = {b.code: code_tables(b.code) for b in blocks}
         for batch in batches:
-            columns = [c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns]
-            fps = np.stack(columns[1:], axis=1)
+            taken = {
+                n: batch.column(n).to_numpy(zero_copy_only=False).astype(np.int64)
+                for n in batch.schema.names
+            }
+            fps = np.stack([taken[c] for c in lanes], axis=1)
+            columns = [taken[n] for n in names]
             for anchor, at, role in _anchors(fps, blocks, tables):
                 if homes_only and role:
                     continue
@@ -197,7 +223,7 @@ def _replicate(blocks: list[Block], homes_only: bool):
                         pa.array(np.full(len(at), role, np.int8)),
                         *(pa.array(c[at]) for c in columns),
                     ],
-                    ["anchor", "role", *batch.schema.names],
+                    ["anchor", "role", *names],
                 )
 
     return run
@@ -227,7 +253,46 @@ def _matches(homes: list[np.ndarray], nears: list[np.ndarray], distance: int):
         at = stop
 
 
-def _compare(distance: int):
+def _pairs(homes: list[np.ndarray], nears: list[np.ndarray], distance: int):
+    """(a, b) of every near and every home with the same key, a smaller node, another label
+    and few differing bits. Rows: key, node, label and some lanes; homes sorted by key."""
+    homes = [c[np.lexsort((homes[1], homes[0]))] for c in homes]
+    low = np.searchsorted(homes[0], nears[0], "left")
+    # homes up to a near's own key and node: only smaller nodes are met
+    size = len(homes[0])
+    order = np.lexsort(
+        (
+            np.repeat([1, 0], [size, len(low)]),
+            np.concatenate([homes[1], nears[1]]),
+            np.concatenate([homes[0], nears[0]]),
+        )
+    )
+    upto = np.empty(len(order), np.int64)
+    upto[order] = np.cumsum(order < size)
+    many = upto[size:] - low
+    total = np.cumsum(many)
+    at = 0
+    while at < len(low):
+        before = total[at - 1] if at else 0
+        stop = max(at + 1, int(np.searchsorted(total, before + PAIRS, "right")))
+        count = many[at:stop]
+        mine = np.repeat(np.arange(at, stop), count)
+        first = np.repeat(low[at:stop] - (total[at:stop] - count - before), count)
+        other = first + np.arange(len(mine))
+        apart = np.zeros(len(mine), np.uint16)
+        for a, b in zip(nears[3:], homes[3:]):
+            apart += np.bitwise_count((a[mine] ^ b[other]).view(np.uint64))
+        near = np.flatnonzero(apart <= distance)
+        mine, other = mine[near], other[near]
+        new = nears[2][mine] != homes[2][other]
+        if new.any():
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(nears[1][mine[new]]), pa.array(homes[1][other[new]])], ["a", "b"]
+            )
+        at = stop
+
+
+def _compare(distance: int, found=_matches):
     """Rows come sorted by (key, role): an anchor's homes, then what came to it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -240,32 +305,26 @@ def _compare(distance: int):
             homes = [c[role == 0] for c in rows]
             if held is not None:
                 homes = [np.concatenate(pair) for pair in zip(held, homes)]
-            yield from _matches(homes, [c[role == 1] for c in rows], distance)
+            yield from found(homes, [c[role == 1] for c in rows], distance)
             last = homes[0] == key[-1]  # the last anchor may go on in the next batch
             held = [c[last] for c in homes]
 
     return run
 
 
-def linked_nodes(
-    nodes: DataFrame,
-    distance: int,
-    lanes: int = 1,
-    width: int | None = None,
-    homes_per_task: int = HOMES_PER_TASK,
+def _at_anchors(
+    source: DataFrame, columns: list[str], blocks: list[Block], homes_per_task: int
 ) -> DataFrame:
-    """(a, b) links that connect the ``nodes`` (node, fp0, ...) within ``distance`` bits.
+    """(role, key, ``columns``) of every node at its anchors, each key's rows side by side.
 
-    An anchor with very many homes is dealt to several tasks: each takes a part of the
-    homes and sees all that came to the anchor.
+    ``source`` has a node and lanes, and other numbers between or behind them. An anchor with
+    very many homes is dealt to several keys: each takes a part of the homes and sees all
+    that came to the anchor.
     """
-    blocks = blocks_for(distance, lanes, width)
-    columns = ["node", *_lanes(lanes)]
     shape = "anchor long, role byte, " + ", ".join(f"{c} long" for c in columns)
-    source = nodes.select(*columns)
-    rows = source.mapInArrow(_replicate(blocks, False), shape)
+    rows = source.mapInArrow(_replicate(blocks, False, columns), shape)
     crowded = cut_lineage(
-        source.mapInArrow(_replicate(blocks, True), shape)
+        source.mapInArrow(_replicate(blocks, True, columns), shape)
         .groupBy("anchor")
         .agg(F.ceil(F.count("*") / homes_per_task).alias("tasks"))
         .where("tasks > 1")
@@ -283,12 +342,48 @@ def linked_nodes(
             .withColumn("task", F.explode(task.otherwise(every)))
             .withColumn("key", F.shiftleft("anchor", 24) + F.col("task"))
         )
-    return (
-        dealt.select("role", "key", *columns)
-        .repartition("key")
-        .sortWithinPartitions("key", "role")
-        .mapInArrow(_compare(distance), "a long, b long")
+    dealt = dealt.select("role", "key", *columns)
+    return dealt.repartition("key").sortWithinPartitions("key", "role")
+
+
+def linked_nodes(
+    nodes: DataFrame,
+    distance: int,
+    lanes: int = 1,
+    width: int | None = None,
+    homes_per_task: int = HOMES_PER_TASK,
+) -> DataFrame:
+    """(a, b) links that connect the ``nodes`` (node, fp0, ...) within ``distance`` bits."""
+    blocks = blocks_for(distance, lanes, width)
+    columns = ["node", *_lanes(lanes)]
+    rows = _at_anchors(nodes.select(*columns), columns, blocks, homes_per_task)
+    return rows.mapInArrow(_compare(distance), "a long, b long")
+
+
+def near_pairs(
+    nodes: DataFrame,
+    distance: int,
+    lanes: int,
+    width: int,
+    shown: int,
+    homes_per_task: int = HOMES_PER_TASK,
+) -> DataFrame:
+    """Candidates: the pairs a > b of ``nodes`` (node, label, fp0, ...) under different labels
+    that meet at an anchor of any lane and differ in at most ``distance`` bits of the first
+    ``shown`` lanes, which are what travels to the anchors. A pair may come several times."""
+    blocks = blocks_for(distance, lanes, width)
+    columns = ["node", "label", *_lanes(shown)]
+    rows = _at_anchors(
+        nodes.select("node", "label", *_lanes(lanes)), columns, blocks, homes_per_task
     )
+    return rows.mapInArrow(_compare(distance, _pairs), "a long, b long").distinct()
+
+
+def homes_of(nodes: DataFrame, lanes: int, width: int, columns: list[str]) -> DataFrame:
+    """(anchor, ``columns``): every node at its home in each block."""
+    shape = "anchor long, role byte, " + ", ".join(f"{c} long" for c in columns)
+    blocks = blocks_for(0, lanes, width)
+    return nodes.mapInArrow(_replicate(blocks, True, columns), shape).drop("role")
 
 
 def near_duplicate_groups(

@@ -1,17 +1,22 @@
-"""Near duplicates by exact similarity of word shingles.
+"""Near duplicates by anchor SimHash and exact similarity of word shingles.
 
 Two texts link when they share at least ``alike`` (4 / 5) of their five-word shingles
-(Jaccard). Candidates are texts that meet in a bucket of a min-hash band: 42 bands of six
-minima, so that a pair of similarity 0.8 misses all of them with a chance of 3 in a million,
-wherever in the texts the edits lie. Every link is then confirmed on the whole shingle sets.
-
-Texts of a bucket are compared by sketches first, one byte of each of the 252 minima; only
-pairs whose sketches allow the similarity are confirmed. In two turns each text meets one hub
-of its bucket, and confirmed links join texts under one label. Then all texts of a bucket
-under different labels are compared, within the task that holds them or block against block;
-what leaves the task are pairs near or above the similarity asked for. Their number grows
-with the square of a bucket only where its texts are that similar and yet unlinked. What is
-stored between the steps is compressed and deleted at the end.
+(Jaccard). Candidates come from the anchor search of ``simhash``: a text has a fingerprint of
+eight lanes of 64 bits over its distinct shingles, each lane is cut into four blocks of a
+Hamming code, and a text goes to its home anchor and to all anchors at which a fingerprint
+one bit away in the block is at home. Texts of similarity 0.8 differ in 15.2 % of the bits at
+most on average, so they differ in at most one bit of a block with a chance of 0.31, and in none of the
+32 blocks with one of seven in a million (of fewer than about 20 shingles: nine in ten
+thousand at worst, since one shingle more tips more bits). What meets and differs in at most
+``APART`` of 128 bits is confirmed on the whole shingle sets.
+
+In two turns each text meets one hub of each of its home anchors first, and confirmed links
+join texts under one label. Then all texts under different labels that meet at an anchor are
+compared, within the task that holds the anchor or a part of it. So copies of copies do not
+leave the tasks as all their pairs; texts that are near 0.8 and not linked do. Pairs are
+confirmed in cells: texts are dealt to parts, and a cell holds the pairs between two parts
+and the sets of their texts once, however many pairs they have. What is stored between the
+steps is compressed and deleted at the end.
 
 Defined results: shingles are those of the lower-cased (A-Z) text cut at ASCII white space,
 a text of fewer words is one shingle; NULL text is the empty text, and empty texts are
@@ -28,23 +33,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lumenbar.llm import simhash
 from lumenbar.llm.common import free_name, whole
 from lumenbar.llm.components import components
 from lumenbar.session import Scratch, scratch, stored
 
 SEED = 42
-BANDS, MINIMA = 42, 6
-#: Shingles whose hash values are held at a time.
-STEP = 1024
-#: Equal bytes of two sketches of 252 that are looked at closer: at a similarity of 0.8 fewer
-#: come with a chance of one in ten million, at 0.6 so many with one of two in a hundred.
-ENOUGH = 168
-#: Smallest shingle hashes of a text that tasks compare. Texts of no more shingles are known
-#: whole; for others the smallest hashes of both are a sample of 512 and more, which at 0.8
-#: shows less than CLOSE_PART with a chance of one in three million.
-SMALLEST, CLOSE, CLOSE_PART = 512, 0.79, 0.71
-#: Turns of comparing each bucket with a hub, and rows that are compared in one task.
-TURNS, BLOCK = 2, 4096
+#: Lanes of 64 bits of a fingerprint, and bits of a block (all under the Hamming code).
+LANES, WIDTH = 8, 15
+#: Of the first SHOWN lanes a candidate pair differs in APART bits at most: at 0.8 more differ
+#: with a chance of one in a million, of unlike texts so few with one of one in 100,000.
+SHOWN, APART = 2, 40
+#: Turns of comparing with hubs, homes of an anchor in one task, and texts of a cell's part.
+TURNS, BLOCK, CELL = 2, 4096, 1000
+FP = [f"fp{i}" for i in range(LANES)]
 
 
 def shingles(text: bytes, words: int) -> np.ndarray:
@@ -60,44 +62,17 @@ def shingles(text: bytes, words: int) -> np.ndarray:
     return np.unique(np.fromiter(hashes, np.uint64, len(last)))
 
 
-def _bands(
-    hashes: np.ndarray, factors: np.ndarray, offsets: np.ndarray
-) -> tuple[np.ndarray, bytes]:
-    """One bucket for each band, and a byte of each minimum."""
-    from xxhash import xxh64_intdigest
-
-    low = np.full(len(factors), np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(hashes), STEP):
-        values = factors[:, None] * hashes[None, at : at + STEP]
-        values += offsets[:, None]
-        np.minimum(low, values.min(axis=1), out=low)
-    bands = low.reshape(BANDS, MINIMA)
-    buckets = [xxh64_intdigest(b.tobytes(), SEED + i) for i, b in enumerate(bands)]
-    # the low bits of a product of small hashes repeat; the middle ones do not
-    return np.array(buckets, np.uint64).view(np.int64), (low >> np.uint64(32)).astype(np.uint8).tobytes()
-
-
-def _signatures(words: int):
+def _fingerprints(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rng = np.random.default_rng(SEED)
-        factors, offsets = rng.integers(0, 1 << 64, (2, BANDS * MINIMA), np.uint64)
-        factors |= np.uint64(1)
         for batch in batches:
-            sizes, found, sketches = [], [], []
-            for text in batch.column(1):
-                hashes = shingles(text.as_py(), words)
-                sizes.append(len(hashes))
-                bands, sketch = _bands(hashes, factors, offsets)
-                found.append(bands)
-                sketches.append(sketch)
+            found = [
+                simhash.fingerprint_of_set(shingles(text.as_py(), words), LANES)
+                for text in batch.column(1)
+            ]
+            lanes = np.stack(found).T if found else np.zeros((LANES, 0), np.int64)
             yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0),
-                    pa.array(sizes, pa.int64()),
-                    pa.array(found, pa.list_(pa.int64())),
-                    pa.array(sketches, pa.binary()),
-                ],
-                ["key", "n", "bands", "sketch"],
+                [batch.column(0), *(pa.array(np.ascontiguousarray(lane)) for lane in lanes)],
+                ["key", *FP],
             )
 
     return run
@@ -116,182 +91,106 @@ def _sets(words: int):
     return run
 
 
-def _alike_sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(node, other) whose sketches allow the similarity, of rows that hold both sketches."""
-    for batch in batches:
-        if batch.num_rows:
-            left, right = (_matrix(batch.column(c)) for c in ("sketch", "hub_sketch"))
-            close = pa.array((left == right).sum(axis=1) >= ENOUGH)
-            yield batch.select(["a", "b"]).filter(close)
-
-
-def _matrix(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1)
-
-
-def _smallest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(node, small): the smallest 32-bit shingle hashes of a text, in order."""
-    for batch in batches:
-        small = []
-        for at in range(batch.num_rows):
-            hashes = batch.column(1)[at].values.to_numpy().view(np.uint64) >> np.uint64(32)
-            small.append(np.sort(hashes.astype(np.uint32))[:SMALLEST].tobytes())
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(small, pa.binary())], ["node", "small"])
-
-
-def _close(own: np.ndarray, n: int, others: list[np.ndarray], sizes: np.ndarray) -> np.ndarray:
-    """Which of the others share enough of their smallest hashes with a text's own."""
-    flat, lengths = np.concatenate(others), np.array([len(o) for o in others])
-    starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-    whole_range = np.iinfo(np.uint32).max
-    mine = own[-1] if n > len(own) else whole_range
-    theirs = np.where(sizes > lengths, flat[starts + lengths - 1], whole_range)
-    # both lists hold every hash of their text up to here
-    upto = np.minimum(mine, theirs)
-    a = np.searchsorted(own, upto, "right")
-    b = np.add.reduceat((flat <= np.repeat(upto, lengths)).astype(np.int64), starts)
-    place = np.minimum(np.searchsorted(own, flat), len(own) - 1)
-    both = np.add.reduceat((own[place] == flat).astype(np.int64), starts)
-    least = np.where((n > len(own)) | (sizes > lengths), CLOSE_PART, CLOSE)
-    return both >= least * (a + b - both)
-
-
-def _compared(rows: dict[str, np.ndarray], alike: tuple[int, int]) -> Iterator[np.ndarray]:
-    """[node, other] pairs of one group: of two blocks, or of one block with itself."""
-    order = np.argsort(rows["own"], kind="stable")
-    node, n, label, own = (rows[c][order] for c in ("node", "n", "label", "own"))
-    sketch, small = rows["sketch"][order], [rows["small"][i] for i in order]
-    first = np.searchsorted(own, own[0], "right")
-    both = first < len(own)
-    for u in range(first if both else len(own) - 1):
-        rest = slice(first, None) if both else slice(u + 1, None)
-        close = (label[rest] != label[u]) & (
-            np.minimum(n[rest], n[u]) * alike[1] >= np.maximum(n[rest], n[u]) * alike[0]
-        )
-        at = np.flatnonzero(close)
-        if len(at):
-            at = at[(sketch[rest][at] == sketch[u]).sum(axis=1) >= ENOUGH]
-        if len(at):
-            found = at + rest.start
-            at = at[_close(small[u], n[u], [small[i] for i in found], n[found])]
-            others = node[rest][at]
-            if len(others):
-                yield np.stack([np.maximum(others, node[u]), np.minimum(others, node[u])])
-
-
-def _across(alike: tuple[int, int]):
-    """Candidate pairs of each (bucket, i, j) group of a sorted stream, one group at a time."""
-    names = ("node", "n", "label", "own")
-
-    def emit(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(parts)
-        rows = {c: table.column(c).to_numpy() for c in names}
-        rows["sketch"] = _matrix(table.column("sketch"))
-        rows["small"] = np.empty(table.num_rows, object)
-        rows["small"][:] = [np.frombuffer(b, np.uint32) for b in table.column("small").to_pylist()]
-        keys = np.stack([table.column(c).to_numpy() for c in ("bucket", "i", "j")])
-        cuts = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1
-        for s, e in zip([0, *cuts], [*cuts, table.num_rows]):
-            if e - s > 1:
-                for pair in _compared({c: v[s:e] for c, v in rows.items()}, alike):
-                    yield pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(pair[1])], ["a", "b"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            keys = np.stack([batch.column(c).to_numpy() for c in ("bucket", "i", "j")])
-            same = (keys == keys[:, -1:]).all(axis=0)
-            start = int(np.flatnonzero(~same)[-1]) + 1 if not same.all() else 0
-            if start == 0 and held:
-                last = [held[-1].column(c)[-1].as_py() for c in ("bucket", "i", "j")]
-                if last == keys[:, 0].tolist():
-                    held.append(batch)
-                    continue
-            # every group but the last is whole
-            if held or start:
-                yield from emit([*held, batch.slice(0, start)])
-            held = [batch.slice(start)]
-        if held:
-            yield from emit(held)
+def _checked(alike: tuple[int, int]):
+    """The pairs of one cell whose whole shingle sets are similar enough."""
+
+    def run(pairs: pa.Table, sets: pa.Table) -> pa.Table:
+        flat = sets.column("shingles").combine_chunks()
+        ends = flat.offsets.to_numpy()
+        values = flat.values.to_numpy().view(np.uint64)
+        held = {n: values[s:e] for n, s, e in zip(sets.column("node").to_pylist(), ends, ends[1:])}
+        a, b = (pairs.column(c).to_numpy() for c in ("a", "b"))
+        enough = np.zeros(len(a), bool)
+        order = np.argsort(a, kind="stable")
+        cuts = np.flatnonzero(np.diff(a[order])) + 1
+        for rows in np.split(order, cuts) if len(a) else []:
+            own = held[int(a[rows[0]])]
+            n = len(own)
+            sizes = np.array([len(held[int(x)]) for x in b[rows]])
+            fits = np.minimum(sizes, n) * alike[1] >= np.maximum(sizes, n) * alike[0]
+            for at, size in zip(rows[fits].tolist(), sizes[fits].tolist()):
+                other = held[int(b[at])]
+                place = np.minimum(np.searchsorted(own, other), n - 1)
+                shared = int((own[place] == other).sum())
+                # shared / (both - shared) >= p / q, in whole numbers
+                enough[at] = shared * (alike[0] + alike[1]) >= (n + size) * alike[0]
+        return pa.table({"a": a[enough], "b": b[enough]})
 
     return run
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, alike: tuple[int, int]) -> DataFrame:
-    """The pairs whose whole shingle sets are similar enough."""
-    left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
-    right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
-    shared = F.size(F.array_intersect("sa", "sb"))
-    both = F.size("sa") + F.size("sb")
-    # shared / (both - shared) >= p / q, in whole numbers
-    enough = shared.cast("long") * (alike[0] + alike[1]) >= both.cast("long") * alike[0]
-    return pairs.distinct().join(left, "a").join(right, "b").where(enough).select("a", "b")
+class _Texts:
+    """The documents as (key, text), and their nodes; gives the shingle sets of some nodes."""
+
+    def __init__(self, keyed: DataFrame, nodes: DataFrame, words: int, held: Scratch) -> None:
+        self.keyed, self.nodes, self.words, self.held = keyed, nodes, words, held
 
+    def sets(self, wanted: DataFrame) -> DataFrame:
+        """(node, shingles) of the wanted nodes, once each."""
+        named = wanted.join(self.nodes, "node").select(
+            "node", F.col("key.id").alias("id"), F.col("key.h").alias("h")
+        )
+        same = F.col("key.id").eqNullSafe(F.col("id")) & (F.col("key.h") == F.col("h"))
+        return (
+            self.keyed.join(named, same)
+            .groupBy("node")
+            .agg(F.first("text").alias("text"))
+            .mapInArrow(_sets(self.words), "node long, shingles array<long>")
+        )
 
-def _labelled(shared: DataFrame, roots: DataFrame | None) -> DataFrame:
-    """Rows of ``shared`` with the smallest node each is linked to so far."""
+    def confirmed(self, candidates: DataFrame, alike: tuple[int, int]) -> DataFrame:
+        """The candidates (a, b) whose whole shingle sets are similar enough."""
+        pairs = self.held.store(candidates)
+        wanted = self.held.store(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+        parts = F.lit(max(1, -(-wanted.count() // CELL)))
+        dealt = pairs.select(
+            F.pmod(F.xxhash64("a"), parts).alias("i"), F.pmod(F.xxhash64("b"), parts).alias("j"), "a", "b"
+        )
+        sent = dealt.select(
+            F.col("i").alias("to_i"), F.col("j").alias("to_j"), F.explode(F.array("a", "b")).alias("node")
+        ).distinct()
+        beside = sent.join(self.sets(wanted), "node")
+        found = dealt.groupBy("i", "j").cogroup(beside.groupBy("to_i", "to_j"))
+        return self.held.store(found.applyInArrow(_checked(alike), "a long, b long"))
+
+
+def _labelled(nodes: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """(node, label, fp0, ...): the label is the smallest node that a node is linked to so far."""
     if roots is None:
-        return shared.withColumn("label", F.col("node"))
-    found = shared.join(roots.select(F.col("a").alias("node"), F.col("b").alias("root")), "node", "left")
-    return found.withColumn("label", F.coalesce("root", "node")).drop("root")
+        return nodes.select("node", F.col("node").alias("label"), *FP)
+    found = nodes.join(roots.select(F.col("a").alias("node"), F.col("b").alias("root")), "node", "left")
+    return found.select("node", F.coalesce("root", "node").alias("label"), *FP)
 
 
-def _with_hubs(rows: DataFrame, turn: int, alike: tuple[int, int]) -> DataFrame:
-    """(a, b) of each row and the hub of its bucket, where their sketches allow a link.
+def _with_hubs(rows: DataFrame, turn: int) -> DataFrame:
+    """(a, b) of each text and the hubs of its home anchors, if few bits differ.
 
-    The hub is one row of the bucket, another one each turn.
+    The hub is one text of an anchor, another one each turn. There are 65,536 anchors that
+    texts may be at home at, however many texts there are, so their hubs go to all tasks.
     """
-    hub = F.struct(
-        F.xxhash64("node", F.lit(turn)).alias("order"), "node", "n", "label", "sketch"
+    shown = FP[:SHOWN]
+    homes = simhash.homes_of(rows, LANES, WIDTH, ["node", "label", *shown])
+    hub = F.struct(F.xxhash64("node", F.lit(turn)).alias("order"), "node", "label", *shown)
+    hubs = homes.groupBy("anchor").agg(F.min(hub).alias("hub"))
+    apart = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"hub.{c}"))) for c in shown), F.lit(0))
+    beside = homes.join(F.broadcast(hubs), "anchor").where(
+        (F.col("label") != F.col("hub.label")) & (apart <= APART)
     )
-    hubs = rows.groupBy("bucket").agg(F.min(hub).alias("hub"))
-    n, m = F.col("n"), F.col("hub.n")
-    near = F.least(n, m) * alike[1] >= F.greatest(n, m) * alike[0]
-    beside = rows.join(hubs, "bucket").where(near & (F.col("label") != F.col("hub.label")))
     return beside.select(
-        F.greatest("node", "hub.node").alias("a"),
-        F.least("node", "hub.node").alias("b"),
-        "sketch",
-        F.col("hub.sketch").alias("hub_sketch"),
-    ).mapInArrow(_alike_sketches, "a long, b long")
+        F.greatest("node", "hub.node").alias("a"), F.least("node", "hub.node").alias("b")
+    ).distinct()
 
 
-def _between_labels(
-    rows: DataFrame, sets: DataFrame, alike: tuple[int, int], block: int
-) -> DataFrame:
-    """(a, b) of all rows of a bucket under different labels whose shingles allow a link.
-
-    A bucket of more than ``block`` rows is dealt into blocks, and each pair of blocks is
-    compared by a task of its own.
-    """
-    of = rows.groupBy("bucket").agg(
-        F.count("*").alias("rows"), F.min("label").alias("low"), F.max("label").alias("high")
-    )
-    of = of.where("low <> high").select("bucket", F.ceil(F.col("rows") / block).cast("int").alias("blocks"))
-    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    small = sets.mapInArrow(_smallest, "node long, small binary")
-    dealt = rows.join(of, "bucket").withColumn("own", own).join(small, "node")
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    keys = {"i": F.least("own", "other"), "j": F.greatest("own", "other")}
-    dealt = dealt.withColumns(keys).select("bucket", "i", "j", "own", "node", "n", "label", "sketch", "small")
-    dealt = dealt.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
-    return dealt.mapInArrow(_across(alike), "a long, b long")
-
-
-def roots_of(
-    shared: DataFrame, sets: DataFrame, alike: tuple[int, int], held: Scratch
-) -> DataFrame:
-    """(a, b): b the smallest node linked with a, for (bucket, node, n, sketch) of shared buckets."""
+def roots_of(nodes: DataFrame, texts: _Texts, alike: tuple[int, int]) -> DataFrame:
+    """(a, b): b the smallest node linked with a, for nodes (node, fp0, ...)."""
     links, roots = None, None
     for turn in range(TURNS + 1):
-        rows = _labelled(shared, roots)
+        rows = _labelled(nodes, roots)
         if turn < TURNS:
-            candidates = _with_hubs(rows, turn, alike)
+            candidates = _with_hubs(rows, turn)
         else:
-            candidates = _between_labels(rows, sets, alike, BLOCK)
-        found = held.store(_confirmed(candidates, sets, alike))
+            candidates = simhash.near_pairs(rows, APART, LANES, WIDTH, SHOWN, BLOCK)
+        found = texts.confirmed(candidates, alike)
         links = found if links is None else links.union(found)
         roots = components(links)
     return roots
@@ -317,28 +216,14 @@ def keep_one(
     )
     kind = keyed.schema["key"].dataType.simpleString()
     with scratch(docs.sparkSession) as held:
+        lanes = ", ".join(f"{c} long" for c in FP)
         nodes = held.store(
-            keyed.mapInArrow(
-                _signatures(words), f"key {kind}, n long, bands array<long>, sketch binary"
-            )
+            keyed.mapInArrow(_fingerprints(words), f"key {kind}, {lanes}")
             .groupBy("key")
-            .agg(*[F.first(c).alias(c) for c in ("n", "bands", "sketch")])
+            .agg(*[F.first(c).alias(c) for c in FP])
             .withColumn("node", F.monotonically_increasing_id())
         )
-        entries = nodes.select(F.explode("bands").alias("bucket"), "node")
-        several = entries.groupBy("bucket").count().where("count > 1").select("bucket")
-        shared = entries.join(several, "bucket").join(nodes.select("node", "n", "sketch"), "node")
-        shared = held.store(shared)
-        wanted = shared.select("node").distinct().join(nodes, "node")
-        wanted = wanted.select("node", F.col("key.id").alias("id"), F.col("key.h").alias("h"))
-        same = F.col("key.id").eqNullSafe(F.col("id")) & (F.col("key.h") == F.col("h"))
-        sets = held.store(
-            keyed.join(wanted, same)
-            .groupBy("node")
-            .agg(F.first("text").alias("text"))
-            .mapInArrow(_sets(words), "node long, shingles array<long>")
-        )
-        roots = roots_of(shared, sets, alike, held)
+        roots = roots_of(nodes, _Texts(keyed, nodes.select("node", "key"), words, held), alike)
         rooted = nodes.select("node", "key").join(
             roots.withColumnRenamed("a", "node"), "node", "left"
         )
