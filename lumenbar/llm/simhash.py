@@ -24,6 +24,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +40,8 @@ SEED = 42
 STEP = 8192
 #: Homes of an anchor that one task holds; beyond it the anchor's homes are dealt to several.
 HOMES_PER_TASK = 4096
+#: Partners at one anchor that a fingerprint has at most if its pairs are to be listed.
+FEW = 2
 #: Fingerprint pairs compared at a time.
 PAIRS = 1 << 21
 
@@ -253,9 +256,13 @@ def _matches(homes: list[np.ndarray], nears: list[np.ndarray], distance: int):
         at = stop
 
 
-def _pairs(homes: list[np.ndarray], nears: list[np.ndarray], distance: int):
-    """(a, b) of every near and every home with the same key, a smaller node, another label
-    and few differing bits. Rows: key, node, label and some lanes; homes sorted by key."""
+def _pairs(
+    homes: list[np.ndarray], nears: list[np.ndarray], distance: int, alike: tuple[int, int]
+):
+    """(a, b, crowd) of the nears and the homes with the same key, a smaller node, another
+    label and few differing bits: up to ``FEW`` of a near as they are; of a near with more, a
+    forest that connects them. Rows: key, node, label, n and some lanes; homes sorted by key.
+    Of a pair the smaller ``n`` is at least the part ``alike`` of the larger."""
     homes = [c[np.lexsort((homes[1], homes[0]))] for c in homes]
     low = np.searchsorted(homes[0], nears[0], "left")
     # homes up to a near's own key and node: only smaller nodes are met
@@ -280,15 +287,22 @@ def _pairs(homes: list[np.ndarray], nears: list[np.ndarray], distance: int):
         first = np.repeat(low[at:stop] - (total[at:stop] - count - before), count)
         other = first + np.arange(len(mine))
         apart = np.zeros(len(mine), np.uint16)
-        for a, b in zip(nears[3:], homes[3:]):
+        for a, b in zip(nears[4:], homes[4:]):
             apart += np.bitwise_count((a[mine] ^ b[other]).view(np.uint64))
         near = np.flatnonzero(apart <= distance)
         mine, other = mine[near], other[near]
-        new = nears[2][mine] != homes[2][other]
-        if new.any():
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(nears[1][mine[new]]), pa.array(homes[1][other[new]])], ["a", "b"]
-            )
+        n, m = nears[3][mine], homes[3][other]
+        fits = np.minimum(n, m) * alike[1] >= np.maximum(n, m) * alike[0]
+        new = fits & (nears[2][mine] != homes[2][other])
+        mine, other = mine[new], other[new]
+        crowd = np.bincount(mine - at, minlength=stop - at)[mine - at] > FEW
+        a, b = nears[1][mine], homes[1][other]
+        few = np.unique(np.stack([a[~crowd], b[~crowd]]), axis=1)
+        for left, right, many_there in ((*few, False), (*local_forest(a[crowd], b[crowd]), True)):
+            if len(left):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(left), pa.array(right), pa.array([many_there] * len(left))], ["a", "b", "crowd"]
+                )
         at = stop
 
 
@@ -366,17 +380,24 @@ def near_pairs(
     lanes: int,
     width: int,
     shown: int,
+    alike: tuple[int, int],
     homes_per_task: int = HOMES_PER_TASK,
 ) -> DataFrame:
-    """Candidates: the pairs a > b of ``nodes`` (node, label, fp0, ...) under different labels
-    that meet at an anchor of any lane and differ in at most ``distance`` bits of the first
-    ``shown`` lanes, which are what travels to the anchors. A pair may come several times."""
+    """Candidates among ``nodes`` (node, label, n, fp0, ...): the pairs a > b under different
+    labels that meet at an anchor of any lane, differ in at most ``distance`` bits of the
+    first ``shown`` lanes, which are what travels to the anchors, and have sizes ``n`` of
+    which the smaller is at least the part ``alike`` of the larger.
+
+    (a, b, crowd): a pair that is not listed is connected by links marked as ``crowd``. So an
+    anchor gives no more rows than ``FEW`` times what came to it, however alike that is.
+    """
     blocks = blocks_for(distance, lanes, width)
-    columns = ["node", "label", *_lanes(shown)]
+    columns = ["node", "label", "n", *_lanes(shown)]
     rows = _at_anchors(
-        nodes.select("node", "label", *_lanes(lanes)), columns, blocks, homes_per_task
+        nodes.select("node", "label", "n", *_lanes(lanes)), columns, blocks, homes_per_task
     )
-    return rows.mapInArrow(_compare(distance, _pairs), "a long, b long").distinct()
+    found = partial(_pairs, alike=alike)
+    return rows.mapInArrow(_compare(distance, found), "a long, b long, crowd boolean").distinct()
 
 
 def homes_of(nodes: DataFrame, lanes: int, width: int, columns: list[str]) -> DataFrame:

@@ -12,11 +12,13 @@ thousand at worst, since one shingle more tips more bits). What meets and differ
 
 In two turns each text meets one hub of each of its home anchors first, and confirmed links
 join texts under one label. Then all texts under different labels that meet at an anchor are
-compared, within the task that holds the anchor or a part of it. So copies of copies do not
-leave the tasks as all their pairs; texts that are near 0.8 and not linked do. Pairs are
-confirmed in cells: texts are dealt to parts, and a cell holds the pairs between two parts
-and the sets of their texts once, however many pairs they have. What is stored between the
-steps is compressed and deleted at the end.
+compared, within the task that holds the anchor or a part of it. Pairs are confirmed in
+cells: texts are dealt to parts, and a cell holds the pairs between two parts and the sets of
+their texts once, however many pairs they have. A text that has several candidates at an
+anchor, such as one of many texts a little below 0.8, is not listed with each of them: such
+texts leave the anchors as crowds, and all pairs of a crowd are compared in its cells, which
+only links leave. Rows thus grow with the texts, comparisons with the square of a crowd. What
+is stored between the steps is compressed and deleted at the end.
 
 Defined results: shingles are those of the lower-cased (A-Z) text cut at ASCII white space,
 a text of fewer words is one shingle; NULL text is the empty text, and empty texts are
@@ -44,8 +46,12 @@ LANES, WIDTH = 8, 15
 #: Of the first SHOWN lanes a candidate pair differs in APART bits at most: at 0.8 more differ
 #: with a chance of one in a million, of unlike texts so few with one of one in 100,000.
 SHOWN, APART = 2, 40
-#: Turns of comparing with hubs, homes of an anchor in one task, and texts of a cell's part.
-TURNS, BLOCK, CELL = 2, 4096, 1000
+#: Bits of all lanes in which texts of a crowd that are linked differ at most: 6 deviations
+#: from what is expected at 0.8, 3.6 for texts of 4 and 5 shingles.
+FAR = 128
+#: Turns of comparing with hubs, texts that are compared in one task, and shingles of the
+#: texts of a cell's part (12 MB; one text may have more).
+TURNS, BLOCK, CELL = 2, 4096, 1_500_000
 FP = [f"fp{i}" for i in range(LANES)]
 
 
@@ -65,14 +71,19 @@ def shingles(text: bytes, words: int) -> np.ndarray:
 def _fingerprints(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [
-                simhash.fingerprint_of_set(shingles(text.as_py(), words), LANES)
-                for text in batch.column(1)
-            ]
+            found, sizes = [], []
+            for text in batch.column(1):
+                hashes = shingles(text.as_py(), words)
+                sizes.append(len(hashes))
+                found.append(simhash.fingerprint_of_set(hashes, LANES))
             lanes = np.stack(found).T if found else np.zeros((LANES, 0), np.int64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *(pa.array(np.ascontiguousarray(lane)) for lane in lanes)],
-                ["key", *FP],
+                [
+                    batch.column(0),
+                    pa.array(sizes, pa.int64()),
+                    *(pa.array(np.ascontiguousarray(lane)) for lane in lanes),
+                ],
+                ["key", "n", *FP],
             )
 
     return run
@@ -91,34 +102,65 @@ def _sets(words: int):
     return run
 
 
+def _held(sets: pa.Table) -> dict[int, np.ndarray]:
+    """The shingle sets of a cell by node."""
+    flat = sets.column("shingles").combine_chunks()
+    ends = flat.offsets.to_numpy()
+    values = flat.values.to_numpy().view(np.uint64)
+    return {n: values[s:e] for n, s, e in zip(sets.column("node").to_pylist(), ends, ends[1:])}
+
+
+def _linked(own: np.ndarray, others: list[np.ndarray], alike: tuple[int, int]) -> np.ndarray:
+    """Which of the other sets are similar enough to a text's own."""
+    n, sizes = len(own), np.array([len(o) for o in others], np.int64)
+    enough = np.minimum(sizes, n) * alike[1] >= np.maximum(sizes, n) * alike[0]
+    for at in np.flatnonzero(enough).tolist():
+        place = np.minimum(np.searchsorted(own, others[at]), n - 1)
+        shared = int((own[place] == others[at]).sum())
+        # shared / (both - shared) >= p / q, in whole numbers
+        enough[at] = shared * (alike[0] + alike[1]) >= (n + sizes[at]) * alike[0]
+    return enough
+
+
 def _checked(alike: tuple[int, int]):
     """The pairs of one cell whose whole shingle sets are similar enough."""
 
     def run(pairs: pa.Table, sets: pa.Table) -> pa.Table:
-        flat = sets.column("shingles").combine_chunks()
-        ends = flat.offsets.to_numpy()
-        values = flat.values.to_numpy().view(np.uint64)
-        held = {n: values[s:e] for n, s, e in zip(sets.column("node").to_pylist(), ends, ends[1:])}
+        held = _held(sets)
         a, b = (pairs.column(c).to_numpy() for c in ("a", "b"))
         enough = np.zeros(len(a), bool)
         order = np.argsort(a, kind="stable")
         cuts = np.flatnonzero(np.diff(a[order])) + 1
         for rows in np.split(order, cuts) if len(a) else []:
-            own = held[int(a[rows[0]])]
-            n = len(own)
-            sizes = np.array([len(held[int(x)]) for x in b[rows]])
-            fits = np.minimum(sizes, n) * alike[1] >= np.maximum(sizes, n) * alike[0]
-            for at, size in zip(rows[fits].tolist(), sizes[fits].tolist()):
-                other = held[int(b[at])]
-                place = np.minimum(np.searchsorted(own, other), n - 1)
-                shared = int((own[place] == other).sum())
-                # shared / (both - shared) >= p / q, in whole numbers
-                enough[at] = shared * (alike[0] + alike[1]) >= (n + size) * alike[0]
+            enough[rows] = _linked(held[int(a[rows[0]])], [held[x] for x in b[rows].tolist()], alike)
         return pa.table({"a": a[enough], "b": b[enough]})
 
     return run
 
 
+def _all_checked(alike: tuple[int, int]):
+    """The links of one cell of a crowd: between two of its parts, or inside one."""
+
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([("own", "ascending"), ("node", "ascending")])
+        node, label, own = (rows.column(c).to_numpy() for c in ("node", "label", "own"))
+        fps = np.stack([rows.column(c).to_numpy() for c in FP], axis=1)
+        held = _held(rows)
+        first = int(np.searchsorted(own, key[1].as_py(), "right"))
+        out: list[np.ndarray] = [np.zeros((2, 0), np.int64)]
+        for u in range(first if key[1] != key[2] else len(own) - 1):
+            start = first if key[1] != key[2] else u + 1
+            apart = np.bitwise_count((fps[start:] ^ fps[u]).view(np.uint64)).sum(axis=1, dtype=np.int64)
+            at = start + np.flatnonzero((label[start:] != label[u]) & (apart <= FAR))
+            if len(at):
+                at = at[_linked(held[int(node[u])], [held[x] for x in node[at].tolist()], alike)]
+                out.append(np.stack([np.maximum(node[at], node[u]), np.minimum(node[at], node[u])]))
+        a, b = np.concatenate(out, axis=1)
+        return pa.table({"a": a, "b": b})
+
+    return run
+
+
 class _Texts:
     """The documents as (key, text), and their nodes; gives the shingle sets of some nodes."""
 
@@ -142,7 +184,8 @@ class _Texts:
         """The candidates (a, b) whose whole shingle sets are similar enough."""
         pairs = self.held.store(candidates)
         wanted = self.held.store(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
-        parts = F.lit(max(1, -(-wanted.count() // CELL)))
+        n = wanted.join(self.nodes, "node").agg(F.sum("n")).first()[0] or 0
+        parts = F.lit(max(1, -(-n // CELL)))
         dealt = pairs.select(
             F.pmod(F.xxhash64("a"), parts).alias("i"), F.pmod(F.xxhash64("b"), parts).alias("j"), "a", "b"
         )
@@ -153,28 +196,46 @@ class _Texts:
         found = dealt.groupBy("i", "j").cogroup(beside.groupBy("to_i", "to_j"))
         return self.held.store(found.applyInArrow(_checked(alike), "a long, b long"))
 
+    def crowds(self, links: DataFrame, rows: DataFrame, alike: tuple[int, int]) -> DataFrame:
+        """The links (a, b) between texts under different labels of each connected crowd."""
+        roots = components(links)
+        crowds = roots.select(F.col("a").alias("node"), F.col("b").alias("crowd"))
+        crowds = self.held.store(crowds.union(roots.select("b", "b").distinct()))
+        parts_of = F.greatest(F.ceil(F.sum("n") / CELL), F.ceil(F.count("*") / BLOCK))
+        sizes = crowds.join(self.nodes.select("node", "n"), "node")
+        parts = sizes.groupBy("crowd").agg(parts_of.cast("int").alias("parts"))
+        own = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
+        dealt = crowds.join(parts, "crowd").withColumn("own", own).join(rows, "node")
+        dealt = dealt.join(self.sets(crowds.select("node")), "node")
+        dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        cells = {"i": F.least("own", "other"), "j": F.greatest("own", "other")}
+        dealt = dealt.withColumns(cells).drop("parts", "other").groupBy("crowd", "i", "j")
+        return self.held.store(dealt.applyInArrow(_all_checked(alike), "a long, b long"))
+
 
 def _labelled(nodes: DataFrame, roots: DataFrame | None) -> DataFrame:
     """(node, label, fp0, ...): the label is the smallest node that a node is linked to so far."""
     if roots is None:
-        return nodes.select("node", F.col("node").alias("label"), *FP)
+        return nodes.select("node", F.col("node").alias("label"), "n", *FP)
     found = nodes.join(roots.select(F.col("a").alias("node"), F.col("b").alias("root")), "node", "left")
-    return found.select("node", F.coalesce("root", "node").alias("label"), *FP)
+    return found.select("node", F.coalesce("root", "node").alias("label"), "n", *FP)
 
 
-def _with_hubs(rows: DataFrame, turn: int) -> DataFrame:
-    """(a, b) of each text and the hubs of its home anchors, if few bits differ.
+def _with_hubs(rows: DataFrame, turn: int, alike: tuple[int, int]) -> DataFrame:
+    """(a, b) of each text and the hubs of its home anchors, if few bits and sizes differ.
 
     The hub is one text of an anchor, another one each turn. There are 65,536 anchors that
     texts may be at home at, however many texts there are, so their hubs go to all tasks.
     """
     shown = FP[:SHOWN]
-    homes = simhash.homes_of(rows, LANES, WIDTH, ["node", "label", *shown])
-    hub = F.struct(F.xxhash64("node", F.lit(turn)).alias("order"), "node", "label", *shown)
+    homes = simhash.homes_of(rows, LANES, WIDTH, ["node", "label", "n", *shown])
+    hub = F.struct(F.xxhash64("node", F.lit(turn)).alias("order"), "node", "label", "n", *shown)
     hubs = homes.groupBy("anchor").agg(F.min(hub).alias("hub"))
     apart = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"hub.{c}"))) for c in shown), F.lit(0))
+    n, m = F.col("n"), F.col("hub.n")
+    near = (apart <= APART) & (F.least(n, m) * alike[1] >= F.greatest(n, m) * alike[0])
     beside = homes.join(F.broadcast(hubs), "anchor").where(
-        (F.col("label") != F.col("hub.label")) & (apart <= APART)
+        near & (F.col("label") != F.col("hub.label"))
     )
     return beside.select(
         F.greatest("node", "hub.node").alias("a"), F.least("node", "hub.node").alias("b")
@@ -187,10 +248,12 @@ def roots_of(nodes: DataFrame, texts: _Texts, alike: tuple[int, int]) -> DataFra
     for turn in range(TURNS + 1):
         rows = _labelled(nodes, roots)
         if turn < TURNS:
-            candidates = _with_hubs(rows, turn)
+            found = texts.confirmed(_with_hubs(rows, turn, alike), alike)
         else:
-            candidates = simhash.near_pairs(rows, APART, LANES, WIDTH, SHOWN, BLOCK)
-        found = texts.confirmed(candidates, alike)
+            near = texts.held.store(simhash.near_pairs(rows, APART, LANES, WIDTH, SHOWN, alike, BLOCK))
+            found = texts.confirmed(near.where("not crowd").select("a", "b"), alike)
+            crowds = near.where("crowd").select("a", "b")
+            found = found.union(texts.crowds(crowds, rows, alike))
         links = found if links is None else links.union(found)
         roots = components(links)
     return roots
@@ -218,12 +281,12 @@ def keep_one(
     with scratch(docs.sparkSession) as held:
         lanes = ", ".join(f"{c} long" for c in FP)
         nodes = held.store(
-            keyed.mapInArrow(_fingerprints(words), f"key {kind}, {lanes}")
+            keyed.mapInArrow(_fingerprints(words), f"key {kind}, n long, {lanes}")
             .groupBy("key")
-            .agg(*[F.first(c).alias(c) for c in FP])
+            .agg(*[F.first(c).alias(c) for c in ("n", *FP)])
             .withColumn("node", F.monotonically_increasing_id())
         )
-        roots = roots_of(nodes, _Texts(keyed, nodes.select("node", "key"), words, held), alike)
+        roots = roots_of(nodes, _Texts(keyed, nodes.select("node", "key", "n"), words, held), alike)
         rooted = nodes.select("node", "key").join(
             roots.withColumnRenamed("a", "node"), "node", "left"
         )
