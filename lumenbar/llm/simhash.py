@@ -12,7 +12,9 @@ such a home. Linked fingerprints therefore meet at the home of either, and only
 compared with what came to the anchor. Without ``width`` no link is lost.
 
 Equal fingerprints are one fingerprint before anything is compared. An anchor gives a
-spanning forest of its links, at most one row for each fingerprint that came.
+spanning forest of its links, at most one row for each fingerprint that came. The visits
+need not go both ways: of two fingerprints one bit apart each may visit the other's home, so
+it is enough that each visits the anchors below its own home (``once``).
 
 Defined results: NULL text is the empty text; texts without words have fingerprint zero
 and are linked like any other; repeated rows have the same fingerprint; NULL ids never are
@@ -183,8 +185,11 @@ def code_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return home, out
 
 
-def _anchors(fps: np.ndarray, blocks: list[Block], tables: dict) -> Iterator[tuple]:
-    """(anchors, rows of ``fps``, role): role 0 at home, role 1 come to be compared."""
+def _anchors(fps: np.ndarray, blocks: list[Block], tables: dict, once: bool) -> Iterator[tuple]:
+    """(anchors, rows of ``fps``, role): role 0 at home, role 1 come to be compared.
+
+    With ``once`` the homes are compared among themselves and visited from higher ones only.
+    """
     everyone = np.arange(len(fps))
     for b in blocks:
         part = (fps[:, b.lane] >> np.int64(b.low)) & np.int64((1 << (b.code + b.plain)) - 1)
@@ -196,16 +201,18 @@ def _anchors(fps: np.ndarray, blocks: list[Block], tables: dict) -> Iterator[tup
 
         own = home[code]
         yield key(own, plain), everyone, 0
-        yield key(own, plain), everyone, 1
+        if not once:
+            yield key(own, plain), everyone, 1
         for k in range(near.shape[1]):
             other = near[code, k]
-            apart = np.nonzero(other != own)[0]
+            apart = np.nonzero(other < own if once else other != own)[0]
             yield key(other[apart], plain[apart]), apart, 1
         for bit in range(b.plain):
-            yield key(own, plain ^ (1 << bit)), everyone, 1
+            at = np.nonzero(plain >> bit & 1)[0] if once else everyone
+            yield key(own[at], plain[at] ^ (1 << bit)), at, 1
 
 
-def _replicate(blocks: list[Block], homes_only: bool, names: list[str]):
+def _replicate(blocks: list[Block], homes_only: bool, names: list[str], once: bool = False):
     lanes = _lanes(1 + max(b.lane for b in blocks))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -217,7 +224,7 @@ def _replicate(blocks: list[Block], homes_only: bool, names: list[str]):
             }
             fps = np.stack([taken[c] for c in lanes], axis=1)
             columns = [taken[n] for n in names]
-            for anchor, at, role in _anchors(fps, blocks, tables):
+            for anchor, at, role in _anchors(fps, blocks, tables, once):
                 if homes_only and role:
                     continue
                 yield pa.RecordBatch.from_arrays(
@@ -232,8 +239,9 @@ def _replicate(blocks: list[Block], homes_only: bool, names: list[str]):
     return run
 
 
-def _matches(homes: list[np.ndarray], nears: list[np.ndarray], distance: int):
+def _matches(homes: list[np.ndarray], role: np.ndarray, rows: list[np.ndarray], distance: int):
     """Forests of the links between nears and the homes with the same key, both sorted."""
+    nears = [c[role == 1] for c in rows]
     low = np.searchsorted(homes[0], nears[0], "left")
     many = np.searchsorted(homes[0], nears[0], "right") - low
     upto = np.cumsum(many)
@@ -256,57 +264,79 @@ def _matches(homes: list[np.ndarray], nears: list[np.ndarray], distance: int):
         at = stop
 
 
-def _pairs(
-    homes: list[np.ndarray], nears: list[np.ndarray], distance: int, alike: tuple[int, int]
-):
-    """(a, b, crowd) of the nears and the homes with the same key, a smaller node, another
-    label and few differing bits: up to ``FEW`` of a near as they are; of a near with more, a
-    forest that connects them. Rows: key, node, label, n and some lanes; homes sorted by key.
-    Of a pair the smaller ``n`` is at least the part ``alike`` of the larger."""
-    homes = [c[np.lexsort((homes[1], homes[0]))] for c in homes]
-    low = np.searchsorted(homes[0], nears[0], "left")
-    # homes up to a near's own key and node: only smaller nodes are met
-    size = len(homes[0])
-    order = np.lexsort(
-        (
-            np.repeat([1, 0], [size, len(low)]),
-            np.concatenate([homes[1], nears[1]]),
-            np.concatenate([homes[0], nears[0]]),
+def _met_before(
+    left: list[np.ndarray], right: list[np.ndarray], key: np.ndarray, blocks: list[Block]
+) -> np.ndarray:
+    """Which pairs meet in a block before that of their key, as the given lanes show."""
+    before = np.zeros(len(key), bool)
+    lanes = [a ^ b for a, b in zip(left, right)]
+    for b in blocks:
+        if b.lane < len(lanes):
+            part = (lanes[b.lane] >> np.int64(b.low)) & np.int64((1 << (b.code + b.plain)) - 1)
+            before |= (key >> 52 > b.number) & (part & (part - 1) == 0)
+    return before
+
+
+def _pairs(distance: int, alike: tuple[int, int], blocks: list[Block]):
+    """(a, b, crowd) of what came to an anchor and the homes with the same key, node a above
+    b, with another label and few differing bits, if they did not meet in an earlier block:
+    up to ``FEW`` of a row as they are; of a row with more, a forest that connects them.
+
+    Rows: role, key, node, label, n and some lanes, sorted by key, role and node; homes by key
+    and node. A home meets the homes of smaller nodes, a visitor (role 1) all. Of a pair the
+    smaller ``n`` is at least the part ``alike`` of the larger.
+    """
+
+    def run(homes: list[np.ndarray], role: np.ndarray, nears: list[np.ndarray]):
+        low = np.searchsorted(homes[0], nears[0], "left")
+        # homes up to a near's own key and node
+        size = len(homes[0])
+        order = np.lexsort(
+            (
+                np.repeat([1, 0], [size, len(low)]),
+                np.concatenate([homes[1], nears[1]]),
+                np.concatenate([homes[0], nears[0]]),
+            )
         )
-    )
-    upto = np.empty(len(order), np.int64)
-    upto[order] = np.cumsum(order < size)
-    many = upto[size:] - low
-    total = np.cumsum(many)
-    at = 0
-    while at < len(low):
-        before = total[at - 1] if at else 0
-        stop = max(at + 1, int(np.searchsorted(total, before + PAIRS, "right")))
-        count = many[at:stop]
-        mine = np.repeat(np.arange(at, stop), count)
-        first = np.repeat(low[at:stop] - (total[at:stop] - count - before), count)
-        other = first + np.arange(len(mine))
-        apart = np.zeros(len(mine), np.uint16)
-        for a, b in zip(nears[4:], homes[4:]):
-            apart += np.bitwise_count((a[mine] ^ b[other]).view(np.uint64))
-        near = np.flatnonzero(apart <= distance)
-        mine, other = mine[near], other[near]
-        n, m = nears[3][mine], homes[3][other]
-        fits = np.minimum(n, m) * alike[1] >= np.maximum(n, m) * alike[0]
-        new = fits & (nears[2][mine] != homes[2][other])
-        mine, other = mine[new], other[new]
-        crowd = np.bincount(mine - at, minlength=stop - at)[mine - at] > FEW
-        a, b = nears[1][mine], homes[1][other]
-        few = np.unique(np.stack([a[~crowd], b[~crowd]]), axis=1)
-        for left, right, many_there in ((*few, False), (*local_forest(a[crowd], b[crowd]), True)):
-            if len(left):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(left), pa.array(right), pa.array([many_there] * len(left))], ["a", "b", "crowd"]
-                )
-        at = stop
+        upto = np.empty(len(order), np.int64)
+        upto[order] = np.cumsum(order < size)
+        many = np.where(role == 1, np.searchsorted(homes[0], nears[0], "right"), upto[size:]) - low
+        total = np.cumsum(many)
+        at = 0
+        while at < len(low):
+            before = total[at - 1] if at else 0
+            stop = max(at + 1, int(np.searchsorted(total, before + PAIRS, "right")))
+            count = many[at:stop]
+            mine = np.repeat(np.arange(at, stop), count)
+            first = np.repeat(low[at:stop] - (total[at:stop] - count - before), count)
+            other = first + np.arange(len(mine))
+            apart = np.zeros(len(mine), np.uint16)
+            for a, b in zip(nears[4:], homes[4:]):
+                apart += np.bitwise_count((a[mine] ^ b[other]).view(np.uint64))
+            near = np.flatnonzero(apart <= distance)
+            mine, other = mine[near], other[near]
+            n, m = nears[3][mine], homes[3][other]
+            fits = np.minimum(n, m) * alike[1] >= np.maximum(n, m) * alike[0]
+            new = np.flatnonzero(fits & (nears[2][mine] != homes[2][other]))
+            mine, other = mine[new], other[new]
+            lanes = [c[mine] for c in nears[4:]], [c[other] for c in homes[4:]]
+            new = ~_met_before(*lanes, nears[0][mine], blocks)
+            mine, other = mine[new], other[new]
+            crowd = np.bincount(mine - at, minlength=stop - at)[mine - at] > FEW
+            a, b = np.maximum(nears[1][mine], homes[1][other]), np.minimum(nears[1][mine], homes[1][other])
+            few = np.unique(np.stack([a[~crowd], b[~crowd]]), axis=1)
+            for left, right, many_there in ((*few, False), (*local_forest(a[crowd], b[crowd]), True)):
+                if len(left):
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(left), pa.array(right), pa.array([many_there] * len(left))],
+                        ["a", "b", "crowd"],
+                    )
+            at = stop
+
+    return run
 
 
-def _compare(distance: int, found=_matches):
+def _compare(found):
     """Rows come sorted by (key, role): an anchor's homes, then what came to it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -319,7 +349,7 @@ def _compare(distance: int, found=_matches):
             homes = [c[role == 0] for c in rows]
             if held is not None:
                 homes = [np.concatenate(pair) for pair in zip(held, homes)]
-            yield from found(homes, [c[role == 1] for c in rows], distance)
+            yield from found(homes, role, rows)
             last = homes[0] == key[-1]  # the last anchor may go on in the next batch
             held = [c[last] for c in homes]
 
@@ -327,16 +357,20 @@ def _compare(distance: int, found=_matches):
 
 
 def _at_anchors(
-    source: DataFrame, columns: list[str], blocks: list[Block], homes_per_task: int
+    source: DataFrame,
+    columns: list[str],
+    blocks: list[Block],
+    homes_per_task: int,
+    once: bool = False,
 ) -> DataFrame:
     """(role, key, ``columns``) of every node at its anchors, each key's rows side by side.
 
     ``source`` has a node and lanes, and other numbers between or behind them. An anchor with
     very many homes is dealt to several keys: each takes a part of the homes and sees all
-    that came to the anchor.
+    that came to the anchor; with ``once`` also the homes of the other parts, as role 2.
     """
     shape = "anchor long, role byte, " + ", ".join(f"{c} long" for c in columns)
-    rows = source.mapInArrow(_replicate(blocks, False, columns), shape)
+    rows = source.mapInArrow(_replicate(blocks, False, columns, once), shape)
     crowded = cut_lineage(
         source.mapInArrow(_replicate(blocks, True, columns), shape)
         .groupBy("anchor")
@@ -348,16 +382,19 @@ def _at_anchors(
     else:
         own = F.pmod(F.xxhash64("node"), F.col("tasks"))
         every = F.sequence(F.lit(0).cast("long"), F.col("tasks") - 1)
-        task = F.when(F.col("tasks").isNull(), F.array(F.lit(0).cast("long"))).when(
-            F.col("role") == 0, F.array(own)
-        )
+        task = F.when(F.col("tasks").isNull(), F.array(F.lit(0).cast("long")))
+        if not once:
+            task = task.when(F.col("role") == 0, F.array(own))
+        elsewhere = (F.col("role") == 0) & (F.col("task") != own)
         dealt = (
             rows.join(crowded, "anchor", "left")
             .withColumn("task", F.explode(task.otherwise(every)))
+            .withColumn("role", F.when(elsewhere, 2).otherwise(F.col("role")).cast("byte"))
             .withColumn("key", F.shiftleft("anchor", 24) + F.col("task"))
         )
     dealt = dealt.select("role", "key", *columns)
-    return dealt.repartition("key").sortWithinPartitions("key", "role")
+    by = ("key", "role", "node") if once else ("key", "role")
+    return dealt.repartition("key").sortWithinPartitions(*by)
 
 
 def linked_nodes(
@@ -371,7 +408,7 @@ def linked_nodes(
     blocks = blocks_for(distance, lanes, width)
     columns = ["node", *_lanes(lanes)]
     rows = _at_anchors(nodes.select(*columns), columns, blocks, homes_per_task)
-    return rows.mapInArrow(_compare(distance), "a long, b long")
+    return rows.mapInArrow(_compare(partial(_matches, distance=distance)), "a long, b long")
 
 
 def near_pairs(
@@ -394,10 +431,10 @@ def near_pairs(
     blocks = blocks_for(distance, lanes, width)
     columns = ["node", "label", "n", *_lanes(shown)]
     rows = _at_anchors(
-        nodes.select("node", "label", "n", *_lanes(lanes)), columns, blocks, homes_per_task
+        nodes.select("node", "label", "n", *_lanes(lanes)), columns, blocks, homes_per_task, once=True
     )
-    found = partial(_pairs, alike=alike)
-    return rows.mapInArrow(_compare(distance, found), "a long, b long, crowd boolean").distinct()
+    found = _compare(_pairs(distance, alike, blocks))
+    return rows.mapInArrow(found, "a long, b long, crowd boolean").distinct()
 
 
 def homes_of(nodes: DataFrame, lanes: int, width: int, columns: list[str]) -> DataFrame:

@@ -18,7 +18,8 @@ their texts once, however many pairs they have. A text that has several candidat
 anchor, such as one of many texts a little below 0.8, is not listed with each of them: such
 texts leave the anchors as crowds, and all pairs of a crowd are compared in its cells, which
 only links leave. Rows thus grow with the texts, comparisons with the square of a crowd. What
-is stored between the steps is compressed and deleted at the end.
+is stored between the steps is compressed and deleted at the end. Links, which are few, are
+checkpoints, so that the shuffle files behind them are deleted when they are found.
 
 Defined results: shingles are those of the lower-cased (A-Z) text cut at ASCII white space,
 a text of fewer words is one shingle; NULL text is the empty text, and empty texts are
@@ -38,7 +39,7 @@ from pyspark.sql import functions as F
 from lumenbar.llm import simhash
 from lumenbar.llm.common import free_name, whole
 from lumenbar.llm.components import components
-from lumenbar.session import Scratch, scratch, stored
+from lumenbar.session import Scratch, cut_lineage, scratch, shuffles_deleted, stored
 
 SEED = 42
 #: Lanes of 64 bits of a fingerprint, and bits of a block (all under the Hamming code).
@@ -194,7 +195,7 @@ class _Texts:
         ).distinct()
         beside = sent.join(self.sets(wanted), "node")
         found = dealt.groupBy("i", "j").cogroup(beside.groupBy("to_i", "to_j"))
-        return self.held.store(found.applyInArrow(_checked(alike), "a long, b long"))
+        return cut_lineage(found.applyInArrow(_checked(alike), "a long, b long"))
 
     def crowds(self, links: DataFrame, rows: DataFrame, alike: tuple[int, int]) -> DataFrame:
         """The links (a, b) between texts under different labels of each connected crowd."""
@@ -210,7 +211,7 @@ class _Texts:
         dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
         cells = {"i": F.least("own", "other"), "j": F.greatest("own", "other")}
         dealt = dealt.withColumns(cells).drop("parts", "other").groupBy("crowd", "i", "j")
-        return self.held.store(dealt.applyInArrow(_all_checked(alike), "a long, b long"))
+        return cut_lineage(dealt.applyInArrow(_all_checked(alike), "a long, b long"))
 
 
 def _labelled(nodes: DataFrame, roots: DataFrame | None) -> DataFrame:
@@ -250,7 +251,7 @@ def roots_of(nodes: DataFrame, texts: _Texts, alike: tuple[int, int]) -> DataFra
         if turn < TURNS:
             found = texts.confirmed(_with_hubs(rows, turn, alike), alike)
         else:
-            near = texts.held.store(simhash.near_pairs(rows, APART, LANES, WIDTH, SHOWN, alike, BLOCK))
+            near = cut_lineage(simhash.near_pairs(rows, APART, LANES, WIDTH, SHOWN, alike, BLOCK))
             found = texts.confirmed(near.where("not crowd").select("a", "b"), alike)
             crowds = near.where("crowd").select("a", "b")
             found = found.union(texts.crowds(crowds, rows, alike))
@@ -278,7 +279,7 @@ def keep_one(
         whole(F.col(text_col)).cast("binary").alias("text"),
     )
     kind = keyed.schema["key"].dataType.simpleString()
-    with scratch(docs.sparkSession) as held:
+    with scratch(docs.sparkSession) as held, shuffles_deleted(docs.sparkSession):
         lanes = ", ".join(f"{c} long" for c in FP)
         nodes = held.store(
             keyed.mapInArrow(_fingerprints(words), f"key {kind}, n long, {lanes}")

@@ -99,3 +99,22 @@ def scratch(spark: SparkSession) -> Iterator[Scratch]:
         yield held
     finally:
         discard(spark, held.folder)
+
+
+#: Spark deletes the shuffle files of a query or checkpoint (not of a write, in Spark 4.1) when
+#: it has ended, not when the driver happens to collect its garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def shuffles_deleted(spark: SparkSession) -> Iterator[None]:
+    """For jobs of many steps, each of which checkpoints what it found."""
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)

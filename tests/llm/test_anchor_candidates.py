@@ -1,9 +1,12 @@
 """Near-dedup's candidates: anchor SimHash finds them, and nothing beside it."""
 
+from pathlib import Path
+
 import numpy as np
 
 from lumenbar.llm import similar, simhash
 from lumenbar.llm.components import components
+from lumenbar.session import CLEANUP, cut_lineage, shuffles_deleted
 
 SHAPE = "node long, label long, n long, " + ", ".join(f"{c} long" for c in similar.FP)
 
@@ -87,3 +90,46 @@ def test_crowd_of_unlinked_texts(spark, monkeypatch):
     for turns in (0, 2):
         monkeypatch.setattr(similar, "TURNS", turns)
         assert {r.doc_id for r in similar.keep_one(docs).select("doc_id").collect()} == set(label)
+
+
+def test_texts_visit_only_anchors_below_their_home():
+    """Of two fingerprints one bit apart each could visit the other's home: one visit is enough."""
+    blocks = simhash.blocks_for(40, 1, 15)
+    tables = {15: simhash.code_tables(15)}
+    fps = np.random.default_rng(9).integers(-(2**63), 2**63, (400, 1))
+    rows = {once: list(simhash._anchors(fps, blocks, tables, once)) for once in (False, True)}
+    size = {once: sum(len(at) for _, at, _ in found) for once, found in rows.items()}
+    assert size[True] < 0.55 * size[False]
+    for bit in range(60):
+        other = list(simhash._anchors(fps ^ (1 << bit), blocks, tables, True))
+        came = [set(zip(a.tolist(), at.tolist())) for a, at, _ in (*rows[True], *other)]
+        mine, theirs = set().union(*came[: len(rows[True])]), set().union(*came[len(rows[True]) :])
+        assert {at for _, at in mine & theirs} == set(range(len(fps)))
+
+
+def test_a_pair_is_listed_where_it_meets_first(spark):
+    fps = np.zeros((2, 8), np.int64)
+    fps[1, 7] = 1
+    rows = [(i, i, 100, *map(int, f)) for i, f in enumerate(fps)]
+    nodes = spark.createDataFrame(rows, SHAPE)
+    blocks = simhash.blocks_for(40, 8, 15)
+    columns = ["node", "label", "n", "fp0", "fp1"]
+    at_anchors = simhash._at_anchors(nodes, columns, blocks, 4096, once=True)
+    found = at_anchors.mapInArrow(
+        simhash._compare(simhash._pairs(40, (4, 5), blocks)), "a long, b long, crowd boolean"
+    )
+    assert [tuple(r) for r in found.collect()] == [(1, 0, False)]
+
+
+def test_shuffle_files_of_a_step_go_with_it(spark):
+    def files():
+        return sum(1 for _ in root.rglob("shuffle_*.data"))
+
+    manager = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    root = Path(manager.localDirs()[0].getPath())
+    before = spark.conf.get(CLEANUP)
+    with shuffles_deleted(spark):
+        had = files()
+        assert cut_lineage(spark.range(1000).repartition(3, "id")).count() == 1000
+        assert files() <= had
+    assert spark.conf.get(CLEANUP) == before
