@@ -80,46 +80,73 @@ def initial(layout: Layout, hidden: int, mass: np.ndarray, seed: int) -> Weights
     )
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 + 0.5 * np.tanh(0.5 * x)
-
-
 def step(w: Weights, h: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, tuple]:
     """State after reading the symbols ``x``, one a lane; what the way back needs."""
+    return _moved(w, h, w.inputs[x])
+
+
+def _moved(w: Weights, h: np.ndarray, a: np.ndarray) -> tuple[np.ndarray, tuple]:
+    """State after the gate inputs ``a``, which are overwritten; what the way back needs."""
     n = h.shape[1]
-    a, u = w.inputs[x], h @ w.recurrent
-    gates = _sigmoid(a[:, : 2 * n] + u[:, : 2 * n])
+    u = h @ w.recurrent
+    gates, c, un = a[:, : 2 * n], a[:, 2 * n :], u[:, 2 * n :]
+    gates += u[:, : 2 * n]
+    gates *= 0.5
+    np.tanh(gates, out=gates)
+    gates *= 0.5
+    gates += 0.5
     z, r = gates[:, :n], gates[:, n:]
-    un = u[:, 2 * n :]
-    c = np.tanh(a[:, 2 * n :] + r * un)
-    return c + z * (h - c), (h, z, r, un, c)
+    c += r * un
+    np.tanh(c, out=c)
+    after = h - c
+    after *= z
+    after += c
+    return after, (h, z, r, un, c)
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(axis=1, keepdims=True)
-    return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
+def _softmax(x: np.ndarray, goal: np.ndarray) -> np.ndarray:
+    """Turns ``x`` into probabilities in place; the log probability of each row's goal."""
+    rows = np.arange(len(x))
+    x -= x.max(axis=1, keepdims=True)
+    at_goal = x[rows, goal]
+    np.exp(x, out=x)
+    total = x.sum(axis=1, keepdims=True)
+    x /= total
+    return at_goal - np.log(total[:, 0])
+
+
+def _goal_log_softmax(x: np.ndarray, goal: np.ndarray) -> np.ndarray:
+    """Log probability of each row's goal; ``x`` is overwritten."""
+    x -= x.max(axis=1, keepdims=True)
+    at_goal = x[np.arange(len(x)), goal]
+    np.exp(x, out=x)
+    return at_goal - np.log(x.sum(axis=1))
 
 
 def by_class(layout: Layout, class_of: np.ndarray, y: np.ndarray):
-    """For each head class among the targets: (class, positions in ``y``)."""
-    classes = class_of[y]
+    """Positions in ``y`` ordered by class, and for each head class among the targets:
+    (class, first and last place in that order)."""
+    classes = class_of[y].astype(np.int16 if layout.classes < 2**15 else np.int64)
     order = np.argsort(classes, kind="stable")
-    cut = np.searchsorted(classes[order], np.arange(layout.head_classes + 1))
-    for g in range(layout.head_classes):
-        if cut[g] < cut[g + 1]:
-            yield g, order[cut[g] : cut[g + 1]]
+    cut = np.searchsorted(classes[order], np.arange(layout.head_classes + 1)).tolist()
+    found = ((g, cut[g], cut[g + 1]) for g in range(layout.head_classes))
+    return order, [x for x in found if x[1] < x[2]]
 
 
 def log_probabilities(
     w: Weights, layout: Layout, class_of: np.ndarray, h: np.ndarray, y: np.ndarray
 ) -> np.ndarray:
     """Natural log probability of each target symbol (a rare word's class) given states."""
-    logit = h @ w.to_class + w.class_bias
-    out = _log_softmax(logit)[np.arange(len(y)), class_of[y]].astype(np.float64)
-    for g, at in by_class(layout, class_of, y):
+    logit = h @ w.to_class
+    logit += w.class_bias
+    out = _goal_log_softmax(logit, class_of[y]).astype(np.float64)
+    order, classes = by_class(layout, class_of, y)
+    states, goals = h[order], y[order]
+    for g, start, end in classes:
         lo, hi = layout.edges[g], layout.edges[g + 1]
-        inside = _log_softmax(h[at] @ w.to_word[:, lo:hi] + w.word_bias[lo:hi])
-        out[at] += inside[np.arange(len(at)), y[at] - lo]
+        inside = states[start:end] @ w.to_word[:, lo:hi]
+        inside += w.word_bias[lo:hi]
+        out[order[start:end]] += _goal_log_softmax(inside, goals[start:end] - lo)
     return out
 
 
@@ -129,54 +156,68 @@ def _window_gradient(
     """Gradients of the mean loss over a window (steps, lanes), the last state, the loss."""
     steps, lanes = x.shape
     n = h.shape[1]
-    kept, states, saved = [], [], []
+    kept = (x != layout.start).astype(np.float32)[:, :, None]
+    inputs = w.inputs[x]
+    flat = np.empty((steps, lanes, n), h.dtype)
+    saved = []
     for t in range(steps):
-        keep = (x[t] != layout.start).astype(np.float32)[:, None]
-        h, back = step(w, h * keep, x[t])
-        kept.append(keep)
-        states.append(h)
+        flat[t], back = _moved(w, h * kept[t], inputs[t])
+        h = flat[t]
         saved.append(back)
-    flat, goal = np.concatenate(states), y.reshape(-1)
-    scale = 1.0 / len(goal)
-    rows = np.arange(len(goal))
-    logs = _log_softmax(flat @ w.to_class + w.class_bias)
-    loss = -logs[rows, class_of[goal]].sum()
-    off = np.exp(logs)
-    off[rows, class_of[goal]] -= 1.0
+    flat, goal = flat.reshape(-1, n), y.reshape(-1)
+    scale = np.float32(1.0 / len(goal)) if flat.dtype == np.float32 else 1.0 / len(goal)
+    off = flat @ w.to_class
+    off += w.class_bias
+    targets = class_of[goal]
+    loss = -_softmax(off, targets).sum()
+    off[np.arange(len(goal)), targets] -= 1.0
     off *= scale
     d_class, d_class_bias = flat.T @ off, off.sum(axis=0)
     d_flat = off @ w.to_class.T
     d_word, d_word_bias = np.zeros_like(w.to_word), np.zeros_like(w.word_bias)
-    for g, at in by_class(layout, class_of, goal):
+    order, classes = by_class(layout, class_of, goal)
+    ordered, goals = flat[order], goal[order]
+    for g, start, end in classes:
         lo, hi = layout.edges[g], layout.edges[g + 1]
-        logs = _log_softmax(flat[at] @ w.to_word[:, lo:hi] + w.word_bias[lo:hi])
-        some = np.arange(len(at))
-        loss -= logs[some, goal[at] - lo].sum()
-        off = np.exp(logs)
-        off[some, goal[at] - lo] -= 1.0
+        states, inside = ordered[start:end], goals[start:end] - lo
+        off = states @ w.to_word[:, lo:hi]
+        off += w.word_bias[lo:hi]
+        loss -= _softmax(off, inside).sum()
+        off[np.arange(end - start), inside] -= 1.0
         off *= scale
-        d_word[:, lo:hi] = flat[at].T @ off
+        d_word[:, lo:hi] = states.T @ off
         d_word_bias[lo:hi] = off.sum(axis=0)
-        d_flat[at] += off @ w.to_word[:, lo:hi].T
+        d_flat[order[start:end]] += off @ w.to_word[:, lo:hi].T
     d_states = d_flat.reshape(steps, lanes, n)
-    d_recurrent = np.zeros_like(w.recurrent)
-    d_gates = np.zeros((steps, lanes, 3 * n), np.float32)
-    carry = np.zeros((lanes, n), np.float32)
+    # gradients at the gates: as the recurrent weights see them, and of the candidate's input
+    d_gates = np.empty((steps, lanes, 3 * n), h.dtype)
+    d_inner = np.empty((steps, lanes, n), h.dtype)
+    carry = np.zeros((lanes, n), h.dtype)
+    back_weights = np.ascontiguousarray(w.recurrent.T)
     for t in range(steps - 1, -1, -1):
         before, z, r, un, c = saved[t]
-        d = d_states[t] + carry
-        dc = d * (1 - z) * (1 - c * c)
-        du = np.concatenate(
-            [d * (before - c) * z * (1 - z), dc * un * r * (1 - r), dc * r], axis=1
-        )
-        d_gates[t] = du
-        d_gates[t, :, 2 * n :] = dc
-        d_recurrent += before.T @ du
-        carry = (d * z + du @ w.recurrent.T) * kept[t]
+        du, dc = d_gates[t], d_inner[t]
+        d = d_states[t]
+        d += carry
+        rest = 1 - z
+        dz = d * z
+        np.multiply(d, rest, out=dc)
+        dc *= 1 - c * c
+        np.multiply(before - c, dz, out=du[:, :n])
+        du[:, :n] *= rest
+        np.multiply(dc, r, out=du[:, 2 * n :])
+        np.multiply(du[:, 2 * n :], un, out=du[:, n : 2 * n])
+        du[:, n : 2 * n] *= 1 - r
+        carry = du @ back_weights
+        carry += dz
+        carry *= kept[t]
+    before = np.concatenate([s[0] for s in saved])
+    d_recurrent = before.T @ d_gates.reshape(-1, 3 * n)
+    d_gates[:, :, 2 * n :] = d_inner
     d_inputs = np.zeros_like(w.inputs)
     # rows of equal symbols next to each other, summed at once
     symbols = x.reshape(-1)
-    order = np.argsort(symbols, kind="stable")
+    order = np.argsort(symbols.astype(np.int16) if layout.start < 2**15 else symbols, kind="stable")
     begins = np.nonzero(np.diff(symbols[order], prepend=-1))[0]
     d_inputs[symbols[order][begins]] = np.add.reduceat(
         d_gates.reshape(-1, 3 * n)[order], begins, axis=0
@@ -231,11 +272,21 @@ def train(
             speed = rate * max(0.05, 1 - done / tokens)
             norm = np.sqrt(sum(float((s * s).sum()) for s in slopes))
             shrink = min(1.0, 1.0 / max(norm, 1e-9))
+            fast, slow = 1 / (1 - 0.9**count), 1 / (1 - 0.999**count)
             for a, s, m, v in zip(w.arrays(), slopes, first, second):
                 s *= shrink
-                m += 0.1 * (s - m)
-                v += 0.001 * (s * s - v)
-                a -= speed * (m / (1 - 0.9**count)) / (np.sqrt(v / (1 - 0.999**count)) + 1e-8)
+                m *= 0.9
+                m += 0.1 * s
+                s *= s
+                s *= 0.001
+                v *= 0.999
+                v += s
+                np.multiply(v, slow, out=s)
+                np.sqrt(s, out=s)
+                s += 1e-8
+                np.divide(m, s, out=s)
+                s *= speed * fast
+                a -= s
     return loss
 
 
