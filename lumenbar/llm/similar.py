@@ -10,14 +10,16 @@ most on average, so they differ in at most one bit of a block with a chance of 0
 thousand at worst, since one shingle more tips more bits). What meets and differs in at most
 ``APART`` of 128 bits is confirmed on the whole shingle sets.
 
-In two turns each text meets one hub of each of its home anchors first, and confirmed links
-join texts under one label. Then all texts under different labels that meet at an anchor are
-compared, within the task that holds the anchor or a part of it. Pairs are confirmed in
+In two turns each text meets the nearest of the hubs of its home anchors first, and confirmed
+links join texts under one label. Then all texts under different labels that meet at an anchor
+are compared, within the task that holds the anchor or a part of it. Pairs are confirmed in
 cells: texts are dealt to parts, and a cell holds the pairs between two parts and the sets of
 their texts once, however many pairs they have. A text that has several candidates at an
 anchor, such as one of many texts a little below 0.8, is not listed with each of them: such
 texts leave the anchors as crowds, and all pairs of a crowd are compared in its cells, which
-only links leave. Rows thus grow with the texts, comparisons with the square of a crowd. What
+only links leave, fewer than a cell has texts. Pairs that an anchor lists are compared by whole
+fingerprints first: those inside a crowd are not confirmed twice, those too far apart not at
+all. Rows thus grow with the texts, comparisons with the square of a crowd. What
 is stored between the steps is compressed and deleted at the end. Links, which are few, are
 checkpoints, so that the shuffle files behind them are deleted when they are found.
 
@@ -48,8 +50,9 @@ LANES, WIDTH = 8, 15
 #: with a chance of one in a million, of unlike texts so few with one of one in 100,000.
 SHOWN, APART = 2, 40
 #: Bits of all lanes in which texts of a crowd that are linked differ at most: 6 deviations
-#: from what is expected at 0.8, 3.6 for texts of 4 and 5 shingles.
-FAR = 128
+#: from what is expected at 0.8, 3.6 for texts of 4 and 5 shingles. Pairs that anchors list differ
+#: in no more either, but for texts of fewer than SHORT shingles, which are always confirmed.
+FAR, SHORT = 128, 20
 #: Turns of comparing with hubs, texts that are compared in one task, and shingles of the
 #: texts of a cell's part (12 MB; one text may have more).
 TURNS, BLOCK, CELL = 2, 4096, 1_500_000
@@ -140,11 +143,13 @@ def _checked(alike: tuple[int, int]):
 
 
 def _all_checked(alike: tuple[int, int]):
-    """The links of one cell of a crowd: between two of its parts, or inside one."""
+    """Links that connect what is similar in one cell of a crowd: between two of its parts, or
+    inside one. Texts that are connected by links found before are not confirmed again."""
 
     def run(key: tuple, rows: pa.Table) -> pa.Table:
         rows = rows.sort_by([("own", "ascending"), ("node", "ascending")])
         node, label, own = (rows.column(c).to_numpy() for c in ("node", "label", "own"))
+        label = label.copy()
         fps = np.stack([rows.column(c).to_numpy() for c in FP], axis=1)
         held = _held(rows)
         first = int(np.searchsorted(own, key[1].as_py(), "right"))
@@ -155,6 +160,9 @@ def _all_checked(alike: tuple[int, int]):
             at = start + np.flatnonzero((label[start:] != label[u]) & (apart <= FAR))
             if len(at):
                 at = at[_linked(held[int(node[u])], [held[x] for x in node[at].tolist()], alike)]
+                joined, first_of = np.unique(label[at], return_index=True)
+                at = at[first_of]
+                label[np.isin(label, joined)] = label[u]
                 out.append(np.stack([np.maximum(node[at], node[u]), np.minimum(node[at], node[u])]))
         a, b = np.concatenate(out, axis=1)
         return pa.table({"a": a, "b": b})
@@ -197,11 +205,14 @@ class _Texts:
         found = dealt.groupBy("i", "j").cogroup(beside.groupBy("to_i", "to_j"))
         return cut_lineage(found.applyInArrow(_checked(alike), "a long, b long"))
 
-    def crowds(self, links: DataFrame, rows: DataFrame, alike: tuple[int, int]) -> DataFrame:
-        """The links (a, b) between texts under different labels of each connected crowd."""
+    def members(self, links: DataFrame) -> DataFrame:
+        """(node, crowd) of the texts of each connected crowd."""
         roots = components(links)
-        crowds = roots.select(F.col("a").alias("node"), F.col("b").alias("crowd"))
-        crowds = self.held.store(crowds.union(roots.select("b", "b").distinct()))
+        members = roots.select(F.col("a").alias("node"), F.col("b").alias("crowd"))
+        return self.held.store(members.union(roots.select("b", "b").distinct()))
+
+    def crowds(self, crowds: DataFrame, rows: DataFrame, alike: tuple[int, int]) -> DataFrame:
+        """The links (a, b) between texts under different labels of each crowd (node, crowd)."""
         parts_of = F.greatest(F.ceil(F.sum("n") / CELL), F.ceil(F.count("*") / BLOCK))
         sizes = crowds.join(self.nodes.select("node", "n"), "node")
         parts = sizes.groupBy("crowd").agg(parts_of.cast("int").alias("parts"))
@@ -214,6 +225,20 @@ class _Texts:
         return cut_lineage(dealt.applyInArrow(_all_checked(alike), "a long, b long"))
 
 
+def _beside_crowds(pairs: DataFrame, rows: DataFrame, crowds: DataFrame) -> DataFrame:
+    """The pairs (a, b) that are left to confirm: of two texts with more than ``FAR`` differing
+    bits only short ones may be similar enough, and a crowd (node, crowd) compares its own."""
+    named = rows.select("node", "n", *FP).join(crowds, "node", "left")
+    for end in ("a", "b"):
+        columns = (F.col(c).alias(f"{c}_{end}") for c in ("n", "crowd", *FP))
+        # all fingerprints: not to be sent through the driver
+        pairs = pairs.join(named.select(F.col("node").alias(end), *columns).hint("merge"), end)
+    apart = sum((F.bit_count(F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b"))) for c in FP), F.lit(0))
+    compared = F.coalesce(F.col("crowd_a") == F.col("crowd_b"), F.lit(False))
+    left = F.when(apart <= FAR, ~compared).otherwise(F.least("n_a", "n_b") < SHORT)
+    return pairs.where(left).select("a", "b")
+
+
 def _labelled(nodes: DataFrame, roots: DataFrame | None) -> DataFrame:
     """(node, label, fp0, ...): the label is the smallest node that a node is linked to so far."""
     if roots is None:
@@ -223,10 +248,11 @@ def _labelled(nodes: DataFrame, roots: DataFrame | None) -> DataFrame:
 
 
 def _with_hubs(rows: DataFrame, turn: int, alike: tuple[int, int]) -> DataFrame:
-    """(a, b) of each text and the hubs of its home anchors, if few bits and sizes differ.
+    """(a, b) of each text and the nearest hub of its home anchors, if few bits and sizes differ.
 
-    The hub is one text of an anchor, another one each turn. There are 65,536 anchors that
-    texts may be at home at, however many texts there are, so their hubs go to all tasks.
+    Texts that are joined so meet no more; all others do behind the turns. The hub is one text
+    of an anchor, another one each turn. There are 65,536 anchors that texts may be at home at,
+    however many texts there are, so their hubs go to all tasks.
     """
     shown = FP[:SHOWN]
     homes = simhash.homes_of(rows, LANES, WIDTH, ["node", "label", "n", *shown])
@@ -238,8 +264,9 @@ def _with_hubs(rows: DataFrame, turn: int, alike: tuple[int, int]) -> DataFrame:
     beside = homes.join(F.broadcast(hubs), "anchor").where(
         near & (F.col("label") != F.col("hub.label"))
     )
-    return beside.select(
-        F.greatest("node", "hub.node").alias("a"), F.least("node", "hub.node").alias("b")
+    nearest = beside.groupBy("node").agg(F.min(F.struct(apart, "hub.node")).alias("to"))
+    return nearest.select(
+        F.greatest("node", "to.node").alias("a"), F.least("node", "to.node").alias("b")
     ).distinct()
 
 
@@ -252,8 +279,9 @@ def roots_of(nodes: DataFrame, texts: _Texts, alike: tuple[int, int]) -> DataFra
             found = texts.confirmed(_with_hubs(rows, turn, alike), alike)
         else:
             near = cut_lineage(simhash.near_pairs(rows, APART, LANES, WIDTH, SHOWN, alike, BLOCK))
-            found = texts.confirmed(near.where("not crowd").select("a", "b"), alike)
-            crowds = near.where("crowd").select("a", "b")
+            crowds = texts.members(near.where("crowd").select("a", "b"))
+            few = _beside_crowds(near.where("not crowd").select("a", "b"), rows, crowds)
+            found = texts.confirmed(few, alike)
             found = found.union(texts.crowds(crowds, rows, alike))
         links = found if links is None else links.union(found)
         roots = components(links)

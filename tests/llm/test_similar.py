@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from odd_rows import TEXTS, no_documents, odd_documents
 
-from lumenbar.llm.similar import keep_one, shingles
+from lumenbar.llm.similar import _Texts, keep_one, shingles
 
 
 def plain(text, words=5):
@@ -120,3 +120,34 @@ def test_unlike_texts_with_one_passage_stay(spark):
     ]
     assert 0.4 < similarity(texts[0], texts[1]) < 0.8
     assert len(kept(spark, [*texts, texts[7] + " x"], keep_one)) == 2_000
+
+
+def test_crowds_are_not_listed_pair_by_pair(spark, monkeypatch):
+    """Texts around one passage, most a little below the similarity: few pairs are confirmed
+    one by one, however many anchors they meet at, and the links are those of all pairs."""
+    listed = []
+    confirmed = _Texts.confirmed
+
+    def counted(self, candidates, alike):
+        listed.append(candidates.count())
+        return confirmed(self, candidates, alike)
+
+    monkeypatch.setattr(_Texts, "confirmed", counted)
+    rng = np.random.default_rng(11)
+    passage = rng.integers(0, 10**9, 120).astype(str)
+    texts = [
+        " ".join(np.concatenate([passage, rng.integers(0, 10**9, own).astype(str)]))
+        for own in (24, 40, 60)
+        for _ in range(300)
+    ]
+    texts += [" ".join([*texts[i].split(), "x", "y"]) for i in range(0, 900, 100)]
+    assert kept(spark, texts, keep_one) == set(range(900))
+    assert sum(listed) < 6 * len(texts), listed
+
+
+def test_short_texts_are_confirmed_however_far_apart(spark, monkeypatch):
+    """Of few shingles one more may tip many bits: no bound on them decides."""
+    monkeypatch.setattr("lumenbar.llm.similar.FAR", 0)
+    short = ["a b c d e f g h i", "a b c d e f g h i j"]
+    assert similarity(*short) >= 0.8
+    assert kept(spark, short, keep_one) == {0}
